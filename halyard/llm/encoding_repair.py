@@ -54,7 +54,7 @@ def _script(c: str) -> str:
         return "d"
     if _CJK(c):
         return "j"
-    return "o" if c.isalpha() else " "
+    return "o" if c.isalpha() and c not in "µºª" else " "
 
 
 def _own(c: str, a: str, b: str) -> float:
@@ -62,6 +62,8 @@ def _own(c: str, a: str, b: str) -> float:
     if c == "�" or "\x80" <= c <= "\x9f" or "" <= c <= "":
         return 4.0
     s, sa, sb = _script(c), _script(a), _script(b)
+    if c == "μ" and not a.isalpha():
+        return 0.0
     if s in "lcg":
         cost = 0.0
         if (s != sa and sa in "lcg") or (s != sb and sb in "lcg"):
@@ -80,6 +82,8 @@ def _own(c: str, a: str, b: str) -> float:
     letters = (sa in "lcgo") + (sb in "lcgo")
     if c in "’‐‑·":
         return 0.0 if c != "·" or letters < 2 else 2.0
+    if c == "µ":
+        return 2.0 if sa in "lcgo" else 0.0
     if c in "²³¹":
         return 2.0 if sb in "lcgo" else 0.0
     if c in "°":

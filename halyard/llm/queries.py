@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import encoding_repair
+from halyard.llm import encoding_repair, shared_spans
 from halyard.sources.tables import table
 
 
@@ -22,5 +22,20 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.where("garbled").select(F.col("record_id").alias("email_id"), "field_name", "restored")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_restored": p2_restored}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with an equal span of 200 or more code points."""
+    return shared_spans.sharing_pairs(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands elsewhere too."""
+    return shared_spans.shared_part(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p8_found": p8_found,
+    "p8_shared": p8_shared,
+}
 SQL: dict[str, str] = {}
