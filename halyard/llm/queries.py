@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import encoding_repair, shared_spans
+from halyard.llm import encoding_repair, mixing, shared_spans, tokenization
 from halyard.sources.tables import table
 
 
@@ -22,6 +22,28 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.where("garbled").select(F.col("record_id").alias("email_id"), "field_name", "restored")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokenization.encode_texts(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ids of each document decode to its text."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    back = tokenization.decode_ids(tokenization.encode_texts(docs)).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("exact"))
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document stands in each mix."""
+    return mixing.select(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target shares and those reached, in tokens."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with an equal span of 200 or more code points."""
     return shared_spans.sharing_pairs(table(spark, d, "documents", "doc_id", "text"))
@@ -35,6 +57,10 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
 }
