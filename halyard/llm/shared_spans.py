@@ -20,6 +20,7 @@ from halyard.llm.staging import staged
 
 LEAST = 200
 K = 120
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MASK = (1 << 64) - 1
@@ -86,7 +87,16 @@ def winnow(texts: list[str], least: int = LEAST, k: int = K) -> tuple[np.ndarray
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        who, pos, h = winnow(texts)
+        at, parts = 0, []
+        while at < len(texts):  # some 256 thousand code points at a time, so that the arrays stay in the cache
+            end, n = at, 0
+            while end < len(texts) and (end == at or n + len(texts[end]) <= CHUNK):
+                n += len(texts[end])
+                end += 1
+            w, p, h = winnow(texts[at:end])
+            parts.append((w + at, p, h))
+            at = end
+        who, pos, h = (np.concatenate(x) for x in zip(*parts)) if parts else winnow([])
         offsets = np.searchsorted(who, np.arange(len(texts) + 1)).astype(np.int32)
         items = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(pos.astype(np.int32))], ["h", "pos"])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), b.column("n"), pa.ListArray.from_arrays(pa.array(offsets), items)], ["doc_id", "same", "n", "anchors"])
