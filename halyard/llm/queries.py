@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import encoding_repair, mixing, shared_spans, tokenization
+from halyard.llm import email_layout, encoding_repair, mixing, shared_spans, tokenization
 from halyard.sources.tables import table
 
 
@@ -22,6 +22,16 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.where("garbled").select(F.col("record_id").alias("email_id"), "field_name", "restored")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of email bodies that their sender didn't newly write."""
+    return email_layout.lines_not_new(table(spark, d, "emails"))
+
+
+def p3_reduced(spark: SparkSession, d: str) -> DataFrame:
+    """Email bodies reduced to the newly written text."""
+    return email_layout.reduced(table(spark, d, "emails"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokenization.encode_texts(table(spark, d, "documents", "doc_id", "text"))
@@ -57,6 +67,8 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_reduced": p3_reduced,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_selection": p7_selection,
