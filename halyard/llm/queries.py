@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import email_layout, encoding_repair, mixing, shared_spans, tokenization
+from halyard.llm import email_layout, encoding_repair, mixing, page_noise, shared_spans, tokenization
 from halyard.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of scanning noise in each file's markdown."""
+    return page_noise.found_noise(table(spark, d, "docling", "sha256", "markdown"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Files' markdown in continuous paragraphs of whole, rightly read words."""
+    return page_noise.repaired_files(table(spark, d, "docling", "sha256", "markdown"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields of emails that hold characters produced by a wrong decoding."""
     return encoding_repair.garbled_fields(table(spark, d, "emails"), "email_id", ["subject", "body_text"]).withColumnRenamed("record_id", "email_id")
@@ -65,6 +75,8 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
