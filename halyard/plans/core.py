@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.operators import timestamps
+from halyard.plans import reference
 from halyard.sources.tables import table
 
 
@@ -29,5 +30,5 @@ def p4_normalised(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(_sent_records(spark, d), table(spark, d, "mailboxes"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_normalised": p4_normalised}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_normalised": p4_normalised} | reference.QUERIES
+SQL: dict[str, str] = dict(reference.SQL)
