@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import email_layout, encoding_repair, mixing, page_noise, shared_spans, tokenization
+from halyard.llm import email_layout, encoding_repair, mixing, page_noise, pii, shared_spans, tokenization
 from halyard.sources.tables import table
 
 
@@ -42,6 +42,16 @@ def p3_reduced(spark: SparkSession, d: str) -> DataFrame:
     return email_layout.reduced(table(spark, d, "emails"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information in messages, sender fields and files."""
+    return pii.found_spans(pii.texts_of(table(spark, d, "emails"), table(spark, d, "docling", "sha256", "markdown")))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    return pii.redacted(pii.texts_of(table(spark, d, "emails"), table(spark, d, "docling", "sha256", "markdown")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokenization.encode_texts(table(spark, d, "documents", "doc_id", "text"))
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_restored": p2_restored,
     "p3_found": p3_found,
     "p3_reduced": p3_reduced,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_selection": p7_selection,
