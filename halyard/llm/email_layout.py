@@ -123,12 +123,35 @@ def _is_signature_line(s: str) -> bool:
     return len(words) <= 10 and (s[0].isupper() or s[0].isdigit() or s[0] in "-–(" or len(words) <= 2 or words[0] in ("ul.", "al.", "os."))
 
 
+def _blocks(numbers: list[int]) -> list[list[int]]:
+    """Line numbers in runs without gaps."""
+    out: list[list[int]] = []
+    for i in numbers:
+        if out and i == out[-1][-1] + 1:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def _initials(letter: _Letter, lines: list[str], sender: str) -> bool:
+    """Whether a letter's sign-off bears initials that fit the sender's name or address."""
+    for i in letter.off:
+        if m := re.match(r"\s*(?:br|rgds|brgds)?\s*/?\s?([^\W\d_]{2})\s*$", lines[i], re.I):
+            a, b = (fold(c) for c in m[1])
+            words = [fold(w) for w in re.split(r"[\s,._\"<>@-]+", sender.split("@")[0]) if fold(w)]
+            first = {w[0] for w in words}
+            return bool(a and b) and ((a in first and b in first) or any(w[0] == a and b in w[1:3] for w in words))
+    return False
+
+
 class _Letter:
     def __init__(self, start: int, quoted: bool, origin: str) -> None:
         self.start, self.quoted, self.origin = start, quoted, origin
         self.text: list[int] = []
         self.off: list[int] = []
         self.name = ""
+        self.copied: set[int] = set()
         self.weak = False  # below marked lines within history: the sender's only if signed so
 
 
@@ -213,7 +236,8 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             j = i
             while j < n and not blank[j] and not marked[j] and not intro[j]:
                 j += 1
-            if long and (lines[i].lstrip()[:1].islower() or (j < n and marked[j]) or not marked[i - 1]):
+            open_end = lines[i - 1].rstrip()[-1:] not in ".?!:,;"
+            if long and (lines[i].lstrip()[:1].islower() or open_end or (j < n and marked[j]) or not marked[i - 1]):
                 shown[i] = True
 
     # Letters.
@@ -335,6 +359,13 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             size = sum(len(lines[i]) for i in own)
             if sum(len(lines[i]) for i in inside) >= 0.6 * size:
                 x.quoted = True
+        elif not own:
+            continue
+        if source and not x.quoted:  # paragraphs of the answered message that stand among the sender's own
+            for block in _blocks(own):
+                text = _squash(" ".join(lines[i] for i in block))
+                if len(text) >= 30 and (text in source or sum(len(_squash(lines[i])) for i in block if len(_squash(lines[i])) >= 20 and _squash(lines[i]) in source) >= 0.7 * len(text)):
+                    x.copied.update(block)
     left = [x for x in free if not x.quoted]
     if len(left) > 1:
         fits = [_signed_by(x.name, sender) for x in left]
@@ -342,6 +373,10 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             for x, f in zip(left, fits):
                 if f is False:
                     x.quoted = True
+    if not any(x.text for x in free if not x.quoted):  # all else is history: the last text below it may be the sender's
+        last = next((x for x in reversed(letters) if x.weak and x.text), None)
+        if last and last is [x for x in letters if x.text][-1] and (_signed_by(last.name, sender) or not last.name and _initials(last, lines, sender)):
+            last.quoted = False
     top = letters[0]
     if not top.quoted and top.text and top.off:  # below a letter that is signed off and a header there is only history
         later = False
@@ -355,6 +390,7 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             out.add(i)
     for x in letters:
         out.update(x.off)
+        out.update(x.copied)
         if x.quoted:
             out.update(x.text)
     return sorted(i for i in out if not blank[i])

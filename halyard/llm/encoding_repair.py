@@ -100,6 +100,8 @@ def _own(c: str, a: str, b: str) -> float:
         return 0.0
     if c == "­":
         return 1.0
+    if c in "≤≥≈√" and sa in "lcgo":
+        return 2.0
     if c in _PUNCT:
         return 2.0 if letters == 2 else 1.0 if letters and c not in "€£¥™®©√✓✔→☎•×µ" else 0.0
     if "─" <= c <= "▟" or c in "⌐¬╬ⁿ∙¦¨¯¸´ƒ‰†‡ˆ˜¤˙˚˛˝ﬁﬂ◊∂∑∏∫Ω∞≠∆⁄ªΠ":
@@ -182,7 +184,7 @@ def run_verdict(run: str, before: str, after: str) -> tuple[bool, str, tuple[str
 
 
 #: Leftovers whose continuation became blanks or was lost: they can't be restored.
-_LOST = re.compile(r"(?<![^\s\"'(>|])[ÃÂâ](?=[ \n]|$)|[a-zà-ÿ][ÃÂÄÅÐÑ](?= [a-z]|\s|$)")
+_LOST = re.compile(r"(?<=\s)[ûñ](?=\s)|(?<![^\s\"'(>|])[ÃÂâ](?=[ \n]|$)|[a-zà-ÿ][ÃÂÄÅÐÑ](?= [a-z]|\s|$)")
 
 
 def unescape(text: str) -> str:
