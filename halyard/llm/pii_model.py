@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, MARGIN, BATCH = 512, 32, 512
+WINDOW, MARGIN, BATCH = 768, 32, 384
 
 # Characters with a row of their own; the others share rows by what kind of character they are.
 ALPHABET = "\n\t !\"#&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]_`abcdefghijklmnopqrstuvwxyz|~°§¦–—’‘“”„′³²±☎€£" + "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿąćęłńóśźżĄĆĘŁŃŚŹŻčďěňřšťůžČŠŽāēģīķļņūėįųğışŞİșțăœŒ"
@@ -167,11 +167,38 @@ def train(streams: list[tuple[np.ndarray, np.ndarray]], labels: int, hidden: int
     return p
 
 
+def _states(ids: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The states of _run, faster: the input gate's candidate g is carried as (g + 1) / 2, so that one clip to [0, 1] serves all gates."""
+    steps, b = ids.shape
+    n = u.shape[0]
+    scale = np.concatenate([np.ones(3 * n), np.full(n, 0.5)]).astype(np.float32)
+    x, u = x * scale + (1 - scale), u * scale
+    z, zx, t1 = np.empty((b, 4 * n), np.float32), np.empty((b, 4 * n), np.float32), np.empty((b, n), np.float32)
+    h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
+    out = np.empty((steps, b, n), np.float32)
+    i, f, o, g = (z[:, k * n : (k + 1) * n] for k in range(4))
+    for t in range(steps):
+        np.take(x, ids[t], axis=0, out=zx, mode="clip")
+        np.matmul(h, u, out=z)
+        np.add(z, zx, out=z)
+        np.clip(z, 0, 1, out=z)
+        np.multiply(c, f, out=c)
+        np.multiply(i, g, out=t1)
+        np.add(t1, t1, out=t1)
+        np.subtract(t1, i, out=t1)
+        np.add(c, t1, out=c)
+        np.clip(c, -1, 1, out=t1)
+        h = out[t]
+        np.multiply(t1, o, out=h)
+    return out
+
+
 def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
     """(T, B, labels) of windows (T, B)."""
-    f, _ = _run(ids, p["xf"], p["uf"])
-    b, _ = _run(ids[::-1], p["xb"], p["ub"])
-    return f @ p["wf"] + b[::-1] @ p["wb"] + p["bias"]
+    e = _states(ids, p["xf"], p["uf"]) @ p["wf"]
+    e += (_states(ids[::-1], p["xb"], p["ub"]) @ p["wb"])[::-1]
+    e += p["bias"]
+    return e
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -29,6 +29,12 @@ def test_gradients():
         assert abs((losses[0] - losses[1]) / 0.02 - g[k][i]) < 2e-3
 
 
+def test_fast_states_are_those_of_training(model):
+    ids = np.random.default_rng(1).integers(0, M.SIZE, (40, 7))
+    for d in "fb":
+        assert np.abs(M._states(ids, model["x" + d], model["u" + d]) - M._run(ids, model["x" + d], model["u" + d])[0]).max() < 1e-4
+
+
 def test_viterbi_against_all_paths():
     import itertools
 
