@@ -4,11 +4,13 @@ Every source of a mix needs r = size x share / tokens copies of itself. All its
 times; the fraction that is left is an inclusion probability, the same for all records of the source. The
 flight moves these probabilities along the null space of the constraints (tokens and number of records of the
 source stay as they are) until each is 0 or 1 but for two; it runs in blocks of records, then over what the
-blocks left, and a landing decides the last two by the smallest deviation in tokens.
+blocks left and a small reserve, and a landing decides the last two by the smallest deviation in tokens, which
+swaps within the reserve make smaller still.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 
 import pandas as pd
@@ -19,6 +21,8 @@ from halyard.llm.staging import staged
 from halyard.llm.tokenization import token_counts
 
 BLOCK = 4096
+#: Records of a source (about so many) that wait for the landing, so that it can come near in tokens.
+RESERVE = 128
 SEED = 20
 _EPS = 1e-9
 
@@ -66,6 +70,25 @@ def land(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
     return [float(i in best[1]) if i in left else p for i, p in enumerate(pi)]
 
 
+def exchange(pi: list[float], size: list[float], target: float) -> list[float]:
+    """Decided units with one taken and one left swapped, if that brings the tokens nearer to the target; again while it does."""
+    pi = list(pi)
+    for _ in range(4):
+        off = target - sum(p * s for p, s in zip(pi, size))
+        inside, outside = [i for i, p in enumerate(pi) if p == 1], sorted((i for i, p in enumerate(pi) if p == 0), key=size.__getitem__)
+        sizes = [size[i] for i in outside]
+        best = (abs(off), None, None)
+        for i in inside:
+            k = bisect.bisect_left(sizes, size[i] + off)
+            for j in (k - 1, k):
+                if 0 <= j < len(sizes) and abs(off - sizes[j] + size[i]) < best[0]:
+                    best = (abs(off - sizes[j] + size[i]), i, outside[j])
+        if best[1] is None:
+            break
+        pi[best[1]], pi[best[2]] = 0.0, 1.0
+    return pi
+
+
 def _fly(last: bool, salt: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id")
@@ -74,9 +97,10 @@ def _fly(last: bool, salt: int):
         order = list(range(len(pdf)))
         rng.shuffle(order)
         p, s = pdf["pi"].to_numpy()[order].tolist(), pdf["n_tokens"].to_numpy()[order].tolist()
+        target = sum(x * y for x, y in zip(p, s))
         p = flight(p, s, rng)
         if last:
-            p = land(p, s, rng)
+            p = exchange(land(p, s, rng), s, target)
         out = pdf.iloc[order].copy()
         out["pi"] = p
         return out
@@ -135,7 +159,8 @@ def _select(units: DataFrame, targets: DataFrame) -> DataFrame:
     fixed = every.where("pi = 0").select("mix_id", "source", "doc_id", "n_tokens", F.col("whole").alias("repeats"))
     decided = [fixed]
     salt = 0
-    left = open_
+    waits = F.pmod(F.xxhash64("doc_id", F.lit("reserve")), F.col("in_source")) < RESERVE
+    reserve, left = open_.where(waits), open_.where(~waits)
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("in_source") / BLOCK))
         cut = left.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt)), blocks))
@@ -146,7 +171,7 @@ def _select(units: DataFrame, targets: DataFrame) -> DataFrame:
         salt += 1
         if left.agg(F.max("in_source")).first()[0] is None or left.agg(F.max("in_source")).first()[0] <= BLOCK:
             break
-    landed = left.groupBy("mix_id", "source").applyInPandas(_fly(True, salt), _UNIT)
+    landed = left.unionByName(reserve).groupBy("mix_id", "source").applyInPandas(_fly(True, salt), _UNIT)
     decided.append(landed.select("mix_id", "source", "doc_id", "n_tokens", (F.col("whole") + F.col("pi")).cast("bigint").alias("repeats")))
     out = decided[0]
     for d in decided[1:]:
