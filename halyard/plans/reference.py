@@ -326,11 +326,10 @@ def earlier_messages(s: SparkSession, d: str) -> DataFrame:
     return threads.earlier_in_thread(e).withColumnRenamed("id", "email_id")
 
 
-@query(f"SELECT thread_id, string_agg(email_id, ',' ORDER BY ingested_at, email_id) AS emails, CAST(count(*) AS BIGINT) AS n FROM {_EMAILS} WHERE thread_id IS NOT NULL GROUP BY thread_id")
+@query(f"SELECT thread_id, email_id, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY ingested_at, email_id) AS INTEGER) AS position FROM {_EMAILS} WHERE thread_id IS NOT NULL")
 def thread_lists(s: SparkSession, d: str) -> DataFrame:
     e = _emails(s, d, "thread_id").where("thread_id is not null")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ingested_at", "email_id"))), lambda x: x["email_id"])
-    return e.groupBy("thread_id").agg(F.array_join(ids, ",").alias("emails"), F.count("*").alias("n"))
+    return e.select("thread_id", "email_id", F.row_number().over(Window.partitionBy("thread_id").orderBy("ingested_at", "email_id")).alias("position"))
 
 
 @query()
@@ -388,15 +387,14 @@ def embedded_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""SELECT email_id, 'From: ' || coalesce(from_addr, '') || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || 'Files: ' || coalesce(f.names, 'none') || chr(10) || chr(10) || coalesce(body_cleaned, '') AS prompt
-    FROM {_EMAILS} LEFT JOIN (SELECT email_id, string_agg(coalesce(file_name, ''), ', ' ORDER BY id) AS names FROM attachments GROUP BY email_id) f USING (email_id)"""
+    rf"""SELECT email_id, 'From: ' || coalesce(from_addr, '') || chr(10) || 'Subject: ' || coalesce(subject, '') || chr(10) || 'Files: ' || CAST(coalesce(f.n, 0) AS VARCHAR) || ' ' || coalesce(f.name, '-') || chr(10) || chr(10) || coalesce(body_cleaned, '') AS prompt
+    FROM {_EMAILS} LEFT JOIN (SELECT email_id, count(*) AS n, arg_min(file_name, id) AS name FROM attachments GROUP BY email_id) f USING (email_id)"""
 )
 def email_prompts(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "attachments", "email_id", "id", "file_name")
-    names = a.groupBy("email_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("file_name", F.lit("")).alias("n")))), lambda x: x["n"]), ", ").alias("names"))
-    e = _emails(s, d, "from_addr", "subject", "body_cleaned").join(names, "email_id", "left")
-    c = lambda x, y="": F.coalesce(F.col(x), F.lit(y))
-    return e.select("email_id", F.concat(F.lit("From: "), c("from_addr"), F.lit("\nSubject: "), c("subject"), F.lit("\nFiles: "), c("names", "none"), F.lit("\n\n"), c("body_cleaned")).alias("prompt"))
+    files = table(s, d, "attachments", "email_id", "id", "file_name").groupBy("email_id").agg(F.count("*").alias("n"), F.min_by("file_name", "id").alias("name"))
+    e = _emails(s, d, "from_addr", "subject", "body_cleaned").join(files, "email_id", "left")
+    c = lambda x, y="": F.coalesce(F.col(x).cast("string"), F.lit(y))
+    return e.select("email_id", F.concat(F.lit("From: "), c("from_addr"), F.lit("\nSubject: "), c("subject"), F.lit("\nFiles: "), c("n", "0"), F.lit(" "), c("name", "-"), F.lit("\n\n"), c("body_cleaned")).alias("prompt"))
 
 
 # Retrieval and its measures
