@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.staging import staged
+
 #: A word belongs to the vocabulary if it stands in this share of the documents, and in at least so many.
 MIN_SHARE, MIN_DOCS = 0.0005, 3
 #: Bounds of what is broadcast: the most frequent words and pairs of words.
@@ -302,8 +304,6 @@ def _prune_batches(lexicon):
 
 def learn(texts: DataFrame, column: str = "markdown") -> Lexicon:
     """Counts words over all texts; what comes to the driver is bounded by MAX_WORDS and MAX_PAIRS."""
-    from halyard.llm.staging import staged
-
     docs = texts.select(F.col(column).alias("markdown")).where("markdown is not null and markdown <> ''")
     spark = texts.sparkSession
     counts = staged(docs.mapInPandas(_word_batches, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n")).where(f"n >= {MIN_DOCS}"), "words")
@@ -466,7 +466,7 @@ def _files(docling: DataFrame) -> DataFrame:
 
 def found_noise(docling: DataFrame) -> DataFrame:
     """(sha256, noise_kind), distinct. Null, empty and placeholder-only texts have none; other columns are ignored."""
-    files = _files(docling)
+    files = staged(_files(docling), "files")
     lex = learn(files)
     shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra))
     return files.where("markdown is not null").mapInPandas(_noise_batches(shared), "sha256 string, noise_kind string")
@@ -474,7 +474,7 @@ def found_noise(docling: DataFrame) -> DataFrame:
 
 def repaired_files(docling: DataFrame) -> DataFrame:
     """(sha256, repaired): one row per file; null stays null."""
-    files = _files(docling)
+    files = staged(_files(docling), "files")
     lex = learn(files)
     shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra))
     return files.mapInPandas(_repair_batches(shared), "sha256 string, repaired string")

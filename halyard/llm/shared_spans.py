@@ -21,6 +21,8 @@ from halyard.llm.staging import staged
 LEAST = 200
 K = 120
 CHUNK = 1 << 18
+#: Places an anchor may stand at before texts meet on whole windows around it.
+HOT = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MASK = (1 << 64) - 1
@@ -113,17 +115,44 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, firsts
 
 
-def _meetings(reps: DataFrame) -> DataFrame:
-    """(a, b, pa, pb): one meeting of two texts on an anchor for each way in which they lie side by side."""
-    anchors = reps.select("rep", F.explode("anchors").alias("x")).select("rep", "x.h", "x.pos")
-    shared = anchors.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
-    hot = staged(anchors.join(shared, "h", "left_semi"), "shared_anchors")
-    a = hot.select("h", F.col("rep").alias("a"), F.col("pos").alias("pa"))
-    b = hot.select("h", F.col("rep").alias("b"), F.col("pos").alias("pb"))
+def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of all windows of LEAST code points that hold one of a text's given anchors."""
+    for b in batches:
+        parts = []
+        for rep, text, at in zip(b["rep"], b["text"], b["at"]):
+            n = len(text)
+            starts = np.unique(np.concatenate([np.arange(max(0, p - LEAST + K), min(p, n - LEAST) + 1) for p in at]))
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            prefix = np.zeros(n + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
+            h = _mix((prefix[starts + LEAST] - prefix[starts]) * _powers(_INV, n)[starts])
+            parts.append(pd.DataFrame({"h": h.view(np.int64), "rep": np.int64(rep), "pos": starts.astype(np.int32)}))
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
+
+
+def _pairs(anchors: DataFrame) -> DataFrame:
+    """(a, b, pa, pb): one meeting for each way in which two texts lie side by side on an equal hash."""
+    a = anchors.select("h", F.col("rep").alias("a"), F.col("pos").alias("pa"))
+    b = anchors.select("h", F.col("rep").alias("b"), F.col("pos").alias("pb"))
     met = a.join(b, "h").where("a < b")
     return met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.min("pa").alias("pa")).select("a", "b", "pa", (F.col("pa") - F.col("shift")).alias("pb"))
 
 
+def _meetings(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Meetings of different texts. An anchor that many texts hold may stand in a stretch shorter than LEAST that
+    they all have (a formula, a notice): there the texts meet on whole windows around it instead, so that no two
+    texts meet that don't share one."""
+    anchors = reps.select("rep", F.explode("anchors").alias("x")).select("rep", "x.h", "x.pos")
+    shared = anchors.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+    held = staged(anchors.join(shared, "h"), "shared_anchors")
+    few, many = held.where(F.col("n") <= HOT), held.where(F.col("n") > HOT)
+    at = many.groupBy("rep").agg(F.collect_set("pos").alias("at"))  # a text's own anchors
+    windows = staged(at.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "text", "at").mapInPandas(_window_batches, "h bigint, rep bigint, pos int"), "windows")
+    common = windows.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
+    return _pairs(few).unionByName(_pairs(windows.join(common, "h", "left_semi")))
+
+
 def extend(x: str, y: str, i: int, j: int, k: int = K) -> tuple[int, int, int]:
     """(start in x, start in y, length) of the longest equal span around x[i:i+k] and y[j:j+k]; length 0 where these differ."""
     if x[i : i + k] != y[j : j + k]:
@@ -162,7 +191,7 @@ def _extend_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def class_spans(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b, pa, pb, n): maximal equal spans of at least LEAST code points between different texts."""
-    met = staged(_meetings(reps), "meetings")
+    met = staged(_meetings(docs, reps), "meetings")
     texts = docs.select("doc_id", "text")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))

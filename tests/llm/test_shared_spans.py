@@ -38,6 +38,23 @@ def test_pairs_against_brute_force(spark):
     assert sharing_pairs(df.limit(0)).count() == 0
 
 
+def test_common_formula_brings_no_pairs(spark, monkeypatch):
+    """Many texts with a stretch shorter than the threshold meet only where they share a whole window."""
+    from halyard.llm import shared_spans
+
+    monkeypatch.setattr(shared_spans, "HOT", 1)
+    docs = corpus()
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    formula = word(180)
+    docs |= {100 + i: word(80) + formula + word(60) for i in range(12)} | {200: docs[1], 201: "q" + formula + "x" * 30, 202: "z" + formula + "x" * 30}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    found = {tuple(r) for r in sharing_pairs(df).collect()}
+    assert found == {(i, j) for i in docs for j in docs if i < j and docs[i] and docs[j] and longest(docs[i], docs[j]) >= 200}
+    meetings = shared_spans._meetings(df, shared_spans.text_classes(df)[1]).collect()
+    assert all(longest(docs[r.a], docs[r.b]) >= 200 for r in meetings) and (201, 202) in found
+
+
 def test_part(spark):
     docs = corpus()
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
