@@ -83,30 +83,36 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, term, tf) of the documents' words that are among the terms."""
-    t = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term")).where(F.col("term").isin(*terms))
-    return t.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, len, tf): words of each document and how often each of the terms stands in it; null texts are left out."""
+    w = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    return w.select("doc_id", F.size("w").alias("len"), F.array(*[count(t) for t in terms]).alias("tf"))
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, score) of documents that hold any of the terms; document counts and lengths are of all documents, also where a filter follows."""
-    sizes = docs.where("text is not null").select("doc_id", F.size(words(F.col("text"))).alias("len"))
-    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    p = postings(docs, terms)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = p.join(F.broadcast(df), "term").join(sizes, "doc_id").crossJoin(F.broadcast(stats))  # df: a row per query term; stats: one row
-    return scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    """(doc_id, score) of documents that hold any of the terms; document counts and lengths are of all documents, also where a filter follows.
+
+    Documents are unique by doc_id. Only one row of sums is gathered; the scores need no shuffle.
+    """
+    terms = list(dict.fromkeys(terms))
+    c = term_counts(docs, terms)
+    stats = c.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
+    scored = c.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats has one row
+    total = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col("tf")[i], F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return scored.select("doc_id", total.alias("score"))
 
 
 def term_rank(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, score): every term adds 0.1 * sum of 1 / i^2 over its occurrences, over 1.644934 and the number of terms. Terms of one letter don't count."""
     terms = [t for t in dict.fromkeys(terms) if len(t) > 1]
-    p = postings(docs, terms)
-    gain = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i)) / 1.644934 * 0.1
-    return p.groupBy("doc_id").agg((F.sum(gain) / len(terms)).alias("score"))
+    gain = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).otherwise(0.0) / 1.644934 * 0.1
+    c = term_counts(docs, terms).where(F.exists("tf", lambda x: x > 0))
+    return c.select("doc_id", (F.aggregate("tf", F.lit(0.0), lambda s, n: s + gain(n)) / len(terms)).alias("score"))
 
 
 def topk(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score", digits: int = 9) -> DataFrame:
