@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import text as T
-from halyard.operators import chunking, evaluation, retrieval, threads, upserts
+from halyard.operators import chunking, evaluation, providers, retrieval, threads, upserts
 from halyard.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +397,36 @@ def email_prompts(s: SparkSession, d: str) -> DataFrame:
     return e.select("email_id", F.concat(F.lit("From: "), c("from_addr"), F.lit("\nSubject: "), c("subject"), F.lit("\nFiles: "), c("n", "0"), F.lit(" "), c("name", "-"), F.lit("\n\n"), c("body_cleaned")).alias("prompt"))
 
 
+@query()
+def email_summaries(s: SparkSession, d: str) -> DataFrame:
+    return providers.complete(email_prompts(s, d), "email_id", F.col("prompt"), least=50)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, 'document_type: draft' || chr(10) || 'DOCUMENT_TYPE: ' || coalesce(source, '') || chr(10) || 'Summary: ' || coalesce(substr(text, 1, 40), '') AS x FROM documents),
+    l AS (SELECT doc_id, regexp_extract_all(x, '(?im)^[ 	]*DOCUMENT_TYPE:[ 	]*([^
+]*)$', 1) AS a, regexp_extract_all(x, '(?im)^[ 	]*SUMMARY:[ 	]*([^
+]*)$', 1) AS b FROM t)
+    SELECT doc_id, nullif(regexp_replace(a[len(a)], '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '') AS document_type, nullif(regexp_replace(b[len(b)], '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '') AS summary FROM l"""
+)
+def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
+    x = F.concat(F.lit("document_type: draft\nDOCUMENT_TYPE: "), F.coalesce("source", F.lit("")), F.lit("\nSummary: "), F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    return table(s, d, "documents", "doc_id", "source", "text").select("doc_id", providers.labelled_line(x, "DOCUMENT_TYPE").alias("document_type"), providers.labelled_line(x, "SUMMARY").alias("summary"))
+
+
+@query(
+    r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count_if(score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
+    (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(trim(regexp_extract(x, 'REASONING:\s*([^
+]+)', 1)), '') AS reasoning FROM
+    (SELECT lang, 'SCORE: ' || CAST(coalesce(n_chars, 0) % 7 AS VARCHAR) || chr(10) || 'REASONING: ' || coalesce(substr(text, 1, 30), '') AS x FROM documents)) GROUP BY lang"""
+)
+def judged_by_language(s: SparkSession, d: str) -> DataFrame:
+    x = F.concat(F.lit("SCORE: "), (F.coalesce("n_chars", F.lit(0)) % 7).cast("string"), F.lit("\nREASONING: "), F.coalesce(F.substring("text", 1, 30), F.lit("")))
+    score, reasoning = providers.judgement(x)
+    docs = table(s, d, "documents", "lang", "n_chars", "text").select("lang", score.alias("score"), reasoning.alias("reasoning"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 4).alias("good"), F.count("reasoning").alias("explained"))
+
+
 # Retrieval and its measures
 
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
@@ -515,6 +545,15 @@ def context_groups(s: SparkSession, d: str) -> DataFrame:
     return top.withColumn("g", first).select("voyage_key", "doc_id", "rank", F.dense_rank().over(Window.orderBy("g")).alias("group_no"))  # 60 rows
 
 
+@query()
+def context_text(s: SparkSession, d: str) -> DataFrame:
+    """The best 60 documents as one text a group, groups by their best document, documents by rank."""
+    docs = table(s, d, "documents", "doc_id", "text")
+    rows = context_groups(s, d).join(docs, "doc_id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])  # 60 rows in all
+    return rows.groupBy("group_no", "voyage_key").agg(F.concat(F.lit("## "), F.first("voyage_key"), F.lit("\n\n"), F.array_join(parts, "\n\n")).alias("context"))
+
+
 @query(
     "SELECT a.vec_id, round(CASE WHEN list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) = 0 THEN 0 ELSE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) END, 9) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 )

@@ -137,3 +137,18 @@ def test_mailbox_and_stream(spark, tmp_path):
     q = ingest(spark, str(tmp_path / "in"), data.schema, lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert seen == [1]
+
+
+def test_providers(spark):
+    from halyard.operators import providers
+
+    def picky(p):
+        if "boom" in p:
+            raise ValueError("no")
+        return p.upper()
+
+    df = spark.createDataFrame([("a", "head\n\nhello"), ("b", "boom"), ("c", None), ("d", " ")], "id string, p string")
+    got = {r.id: (r.text, r.status) for r in providers.complete(df, "id", F.col("p"), picky).collect()}
+    assert got == {"a": ("HEAD\n\nHELLO", "ok"), "b": (None, "error"), "c": (None, "skipped"), "d": (None, "skipped")}
+    assert providers.first_sentences("head\n\nOne. Two! Three.") == "One. Two!"
+    assert providers.complete(df.limit(0), "id", F.col("p")).count() == 0
