@@ -185,7 +185,7 @@ def sidecar_fields(s: SparkSession, d: str) -> DataFrame:
     return _emails(s, d, "email_json").select("email_id", j("$.DocumentGid").alias("gid"), F.when(way == "Incoming", "in").when(way == "Outgoing", "out").alias("direction"), j("$.Mailboxes[0].Name").alias("mailbox"))
 
 
-_SUBJECT = r"lower(regexp_replace(regexp_replace(regexp_replace(subject, '^(\s*(re|fw|fwd|sv|vs|tr|aw)\s*:\s*)+', '', 'i'), '\s+', ' ', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'))"
+_SUBJECT = r"lower(regexp_replace(regexp_replace(regexp_replace(subject, '^(\s*(re|fw|fwd|sv|vs|tr|aw)\s*:\s*)+', '', 'i'), '\s+', ' ', 'g'), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'))"
 
 
 @query(f"SELECT email_id, {_SUBJECT} AS topic FROM {_EMAILS}")
@@ -407,7 +407,7 @@ def email_summaries(s: SparkSession, d: str) -> DataFrame:
     l AS (SELECT doc_id, regexp_extract_all(x, '(?im)^[ 	]*DOCUMENT_TYPE:[ 	]*([^
 ]*)$', 1) AS a, regexp_extract_all(x, '(?im)^[ 	]*SUMMARY:[ 	]*([^
 ]*)$', 1) AS b FROM t)
-    SELECT doc_id, nullif(regexp_replace(a[len(a)], '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '') AS document_type, nullif(regexp_replace(b[len(b)], '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '') AS summary FROM l"""
+    SELECT doc_id, nullif(regexp_replace(a[len(a)], '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS document_type, nullif(regexp_replace(b[len(b)], '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS summary FROM l"""
 )
 def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
     x = F.concat(F.lit("document_type: draft\nDOCUMENT_TYPE: "), F.coalesce("source", F.lit("")), F.lit("\nSummary: "), F.coalesce(F.substring("text", 1, 40), F.lit("")))
