@@ -416,8 +416,7 @@ def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count_if(score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
-    (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(trim(regexp_extract(x, 'REASONING:\s*([^
-]+)', 1)), '') AS reasoning FROM
+    (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:\s*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
     (SELECT lang, 'SCORE: ' || CAST(coalesce(n_chars, 0) % 7 AS VARCHAR) || chr(10) || 'REASONING: ' || coalesce(substr(text, 1, 30), '') AS x FROM documents)) GROUP BY lang"""
 )
 def judged_by_language(s: SparkSession, d: str) -> DataFrame:
