@@ -191,26 +191,37 @@ class Lexicon:
         self.find = lru_cache(1 << 16)(self._find)
 
     def within(self, form: str, most: int) -> list[tuple[str, int]]:
-        """All words within the edit distance: the trie walked together with the form's Levenshtein automaton, whose state is a row of distances."""
-        out: list[tuple[str, int]] = []
+        """All words within the edit distance: the trie walked together with the form's Levenshtein automaton.
+
+        The automaton's states are sets of places in the form, one set for each number of edits, held as bits.
+        """
         n = len(form)
-        stack = [(self.trie, tuple(range(n + 1)))]
+        places: dict[str, int] = {}
+        for j, c in enumerate(form, 1):
+            places[c] = places.get(c, 0) | 1 << j
+        full, end = (1 << n + 1) - 1, 1 << n
+        out: list[tuple[str, int]] = []
+        stack = [(self.trie, [(1 << d + 1) - 1 & full for d in range(most + 1)])]
         while stack:
-            node, row = stack.pop()
+            node, state = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= most:
-                        out.append((child, row[n]))
+                    for d, r in enumerate(state):
+                        if r & end:
+                            out.append((child, d))
+                            break
                     continue
-                new = [row[0] + 1]
-                low = new[0]
-                for j in range(1, n + 1):
-                    d = row[j - 1] if form[j - 1] == c else 1 + min(row[j - 1], row[j], new[j - 1])
-                    new.append(d)
-                    if d < low:
-                        low = d
-                if low <= most:
-                    stack.append((child, tuple(new)))
+                mask = places.get(c, 0)
+                old = state[0]
+                r = old << 1 & mask
+                new = [r]
+                for d in range(1, most + 1):
+                    here = state[d]
+                    r = (here << 1 & mask | old | old << 1 | r << 1) & full
+                    new.append(r)
+                    old = here
+                if r:
+                    stack.append((child, new))
         return out
 
     def _find(self, form: str) -> tuple[tuple[str, float], ...]:
