@@ -26,3 +26,13 @@ def canonical_source(results: DataFrame, attachments: DataFrame) -> DataFrame:
     owner = attachments.where("sha256 is not null").groupBy("sha256").agg(F.min("email_id").alias("__email"))
     joined = results.join(owner, (F.col("source_type") == "attachment") & (F.col("source_id") == F.col("sha256")), "left")
     return joined.withColumn("email_id", F.when(F.col("source_type") == "email", F.col("source_id")).otherwise(F.col("__email"))).drop("__email", "sha256")
+
+
+def resolve_filter(values: list[str] | None, allowed: list[str], default: list[str]) -> list[str] | None:
+    """Chosen values in lower case, each once, in order; none given: the default; "all" among them: no filter (None)."""
+    chosen = list(dict.fromkeys(v.lower() for v in values or default))
+    if "all" in chosen:
+        return None
+    if wrong := [v for v in chosen if v not in allowed]:
+        raise ValueError(f"not among {allowed}: {wrong}")
+    return chosen

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,20 +42,21 @@ def group_vote(nearest: DataFrame, group: str = "label") -> DataFrame:
     return v.join(F.broadcast(top), F.col("votes") == F.col("most"), "left").select(group, "votes", "best", F.col("most").isNotNull().alias("wins"))  # top has one row
 
 
-def batch_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, similarity, rank) of the k nearest vectors of each query other than itself.
+def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity, rank) of the k nearest vectors of each query other than itself, of the same `within` only if a column is named.
 
-    Queries come in blocks; every block meets each block of the vectors once, in a matrix product, and
-    leaves k rows a query there, from which the final k are taken. Ties fall to the smaller vec_id.
+    Queries come in blocks; every block meets each block of the vectors once, in a matrix product, and leaves k
+    rows a query there, from which the final k are taken. Ties fall to the smaller vec_id.
     """
-    blocks = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).alias("spread"), F.struct("vec_id", "embedding").alias("q"))
-    n = blocks.count()
-    count = max(1, -(-n // QUERY_BLOCK))
-    packed = blocks.groupBy(F.pmod("spread", F.lit(count)).alias("block")).agg(F.collect_list("q").alias("qs"))  # about QUERY_BLOCK rows each
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
-    parts = max(1, -(-rows.count() // VECTOR_BLOCK))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    keyed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    group = F.col(within).cast("string") if within else F.lit("")
+    q = queries.where("embedding is not null").select(group.alias("group"), F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("spread"), F.struct("vec_id", "embedding").alias("q"))
+    v = vectors.where("embedding is not null").select(group.alias("group"), "vec_id", "embedding")
+    blocks = q.groupBy("group").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("n_blocks"))
+    parts = v.groupBy("group").agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("n_parts"))
+    sizes = blocks.join(parts, "group")
+    packed = q.join(sizes, "group").groupBy("group", F.pmod("spread", "n_blocks").alias("block")).agg(F.collect_list("q").alias("qs"), F.first("n_parts").alias("n_parts"))  # about QUERY_BLOCK rows each
+    one = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts") - 1))).drop("n_parts")
+    keyed = v.join(sizes, "group").select("group", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), "n_parts").alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("block"))
 
     def near(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "vec_id", "similarity"]
@@ -77,8 +76,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             out += [(q["vec_id"], ids[i], s[i]) for i in top if s[i] > -2]
         return pd.DataFrame(out, columns=cols)
 
-    one = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = keyed.groupBy("block", "part").cogroup(one.groupBy("block", "part")).applyInPandas(near, "query_id bigint, vec_id bigint, similarity double")
+    keys = ["group", "block", "part"]
+    found = keyed.groupBy(*keys).cogroup(one.groupBy(*keys)).applyInPandas(near, "query_id bigint, vec_id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -130,6 +129,18 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int, key: str = "doc_id") ->
     return both.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def hybrid(docs: DataFrame, vectors: DataFrame, query: list[float], terms: list[str], k: int, mode: str = "hybrid") -> DataFrame:
+    """Search by vectors and words: both lists hold 2 k candidates. Modes: hybrid (BM25), hybrid_rank (term ranks), bm25_only, rank_only, vector_only."""
+    lexical = term_rank if "rank" in mode else bm25
+    if mode == "vector_only":
+        near = vector_topk(vectors, query, k).withColumnsRenamed({"vec_id": "doc_id", "similarity": "score"})
+        return topk(near, k, digits=15).select("doc_id", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank"), F.col("score").alias("fused_score"), "rank")
+    if mode.endswith("_only"):
+        return topk(lexical(docs, terms), k).select("doc_id", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("lexical_rank"), F.col("score").alias("fused_score"), "rank")
+    near = vector_topk(vectors, query, 2 * k).withColumnsRenamed({"vec_id": "doc_id", "similarity": "score"})
+    return fuse(topk(near, 2 * k, digits=15), topk(lexical(docs, terms), 2 * k), k)
+
+
 def rerank(candidates: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The default scorer: share of the query's words that stand in the first 24,000 characters of a candidate."""
     q = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])

@@ -469,6 +469,20 @@ def nearest_vectors(s: SparkSession, d: str) -> DataFrame:
     return _near(s, d).select("query_id", "vec_id", "rank")
 
 
+@query(
+    """SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS rank
+    FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5"""
+)
+def nearest_of_label(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    return retrieval.batch_topk(v, v.where("vec_id % 20 = 0"), 5, "label").select("query_id", "vec_id", "rank")
+
+
+@query()
+def hybrid_rank_topk(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.hybrid(table(s, d, "documents", "doc_id", "text"), table(s, d, "embeddings"), _first_vector(s, d), list(_TERMS), 20, "hybrid_rank")
+
+
 _HITS = f"(SELECT n.query_id, min(CASE WHEN a.label = b.label THEN rank END) AS first_rank, min(a.label) AS label FROM {_NEAR} n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.vec_id GROUP BY n.query_id)"
 
 

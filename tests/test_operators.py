@@ -152,3 +152,24 @@ def test_providers(spark):
     assert got == {"a": ("HEAD\n\nHELLO", "ok"), "b": (None, "error"), "c": (None, "skipped"), "d": (None, "skipped")}
     assert providers.first_sentences("head\n\nOne. Two! Three.") == "One. Two!"
     assert providers.complete(df.limit(0), "id", F.col("p")).count() == 0
+
+
+def test_hybrid_modes_and_filter(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "pilot pilot rate"), (2, "rate"), (3, None), (4, "")], "doc_id bigint, text string")
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (5, 0, [0.9, 0.1])], "vec_id bigint, label int, embedding array<double>")
+    run = lambda mode: [r.doc_id for r in retrieval.hybrid(docs, v, [1.0, 0.0], ["pilot", "rate"], 3, mode).orderBy("rank").collect()]
+    assert run("vector_only") == [1, 5, 2] and run("bm25_only")[0] == 1 and run("rank_only") == [1, 2]
+    assert run("hybrid")[0] == 1 and set(run("hybrid_rank")) == {1, 2, 5}
+    assert evaluation.resolve_filter(None, ["a"], ["a"]) == ["a"] and evaluation.resolve_filter(["B", "b"], ["a", "b"], []) == ["b"] and evaluation.resolve_filter(["all"], ["a"], []) is None
+    with pytest.raises(ValueError):
+        evaluation.resolve_filter(["x"], ["a"], [])
+
+
+def test_fixture_sheet(spark, tmp_path):
+    from halyard.sources.tables import read_fixtures
+
+    (tmp_path / "f.csv").write_text("Vessel_Name,VOYAGE_NO,Quantity\nM/V Foo,3,NaN\nBar,4,2.5\n")
+    got = [tuple(r) for r in read_fixtures(spark, str(tmp_path / "f.csv")).orderBy("voyage_no").collect()]
+    assert got == [("M/V Foo", 3, None, "M_V_FOO_3"), ("Bar", 4, 2.5, "BAR_4")]
