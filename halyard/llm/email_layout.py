@@ -46,7 +46,7 @@ NOTICES = (
     r"as agents only\b|no responsibility is taken for|confidentiality\s*:|confidentiality notice|consider whether a paper copy|incoming mail is scanned|\[external( sender)?\]|take care with links and files|if it reached you by mistake|"
     r"reference \S+ applies to any query about this mail|liability is capped as stated|registered office as stated|bank details never change by mail|this (?:message|e-?mail|communication)\b.{0,40}(?:attachments|intended|confidential|meant only|privileged)|"
     r"disclaimer\s*[-:–]|.{2,60} trades under its general terms|any contract needs the signature|denne e-posten kan inneholde|har du fått den ved en feil|sitz der gesellschaft|diese (?:nachricht|e-mail) ist (?:ausschließlich|ausschliesslich|vertraulich|nur)|"
-    r"eine weitergabe an dritte|dossier \S+, conditions générales|pensez à la planète|antes de imprimir|ce (?:message|courriel) est (?:réservé|confidentiel)|este (?:correo|mensaje) va dirigido|esta mensagem (?:é|destina|e os)|niniejsza wiadomość|ta wiadomość (?:jest|zawiera)|"
+    r"eine weitergabe an dritte|dossier \S+, conditions générales|pensez à la planète|expediente \S+\.\s+(?:antes|este)\b|antes de imprimir|ce (?:message|courriel) est (?:réservé|confidentiel)|este (?:correo|mensaje) va dirigido|esta mensagem (?:é|destina|e os)|niniejsza wiadomość|ta wiadomość (?:jest|zawiera)|"
     r"настоящее (?:сообщение|письмо)|это (?:сообщение|письмо) предназначено|το παρόν μήνυμα|please consider the environment|the information (?:contained )?in this (?:e-?mail|message)|we process personal data|företaget|ikke skriv ut|bitte denken sie an die umwelt|unsubscribe\b"
 )
 TITLES = "claims handler|director|shipbroker|master|agent|port captain|operations manager|senior operator|chartering manager|demurrage analyst|crewing officer|technical superintendent|manager|officer|broker|operator|superintendent|assistant|executive|surveyor|coordinator"
@@ -203,6 +203,11 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             header_start[i] = i + 2
             i += 2
             continue
+        if s.rstrip().endswith(":") and _INTRO_HEAD.match(s) and (k := next((k for k in range(i + 1, n) if not blank[k]), n)) < n and marked[k] and k <= i + 2:
+            intro[i] = True
+            header_start[i] = i + 1
+            i += 1
+            continue
         if m := _HEADER.match(s):
             j, words = i, []
             while j < n and not blank[j] and (h := _HEADER.match(lines[j])):
@@ -236,6 +241,9 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
             j = i
             while j < n and not blank[j] and not marked[j] and not intro[j]:
                 j += 1
+            if marked[i - 1] and i + 1 < n and marked[i + 1]:
+                shown[i] = True
+                continue
             open_end = lines[i - 1].rstrip()[-1:] not in ".?!:,;"
             if long and (lines[i].lstrip()[:1].islower() or open_end or (j < n and marked[j]) or not marked[i - 1]):
                 shown[i] = True
@@ -265,9 +273,11 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
                     i = header_start_end
                 continue
             if nxt < n and shown[nxt]:
-                i = end  # the quote that follows bears marks
-                if phase != "text":
-                    letters.append(_Letter(end, cur.quoted, "after-quote"))
+                # The quote that follows bears marks. Below a header it is what that message quoted.
+                block = not _INTRO_END.search(lines[end - 1]) and not _INTRO_FULL.match(lines[end - 1])
+                i = end
+                if phase != "text" or block:
+                    letters.append(_Letter(end, cur.quoted, "header-shown" if block else "after-quote"))
                     letters[-1].weak = cur.quoted
                     phase, content = "text", 0
             else:
@@ -381,7 +391,7 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
     if not top.quoted and top.text and top.off:  # below a letter that is signed off and a header there is only history
         later = False
         for x in letters[1:]:
-            later = later or x.origin == "header"
+            later = later or x.origin.startswith("header")
             if later:
                 x.quoted = True
     out = set()
