@@ -1,4 +1,4 @@
-"""Sending this package to executors that don't have it on their path."""
+"""Sending this package to the executors."""
 
 from __future__ import annotations
 
@@ -12,9 +12,9 @@ from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a zip once per application; local runs share the driver's path."""
+    """Adds the package as a zip once per application: workers need not have the driver's path, local ones neither."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_halyard_shipped", False):
+    if getattr(sc, "_halyard_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
     buffer = io.BytesIO()
