@@ -16,7 +16,7 @@ PHONE = re.compile(
     rf"(?<![\w/.,-])(?:\+{_D}{{1,3}}|00{_D}{{2}}|\(0?{_D}{{2,4}}\)|0{_D}{{1,4}}|{_D}{{3}}(?=[.-]{_D}{{3}}[.-]{_D}{{4}}(?!\w)))(?:(?:[ ]?[-./ ]?[ ]?|[-./ ]?\n)\(?{_D}{{2,}}\)?){{1,7}}(?![\w/])"
 )
 ID = re.compile(
-    rf"(?<![\w/-])(?:[A-Z]{{1,2}}{_D}{{7,8}}|SB-{_D}{{6}}|{_D}{{5}}-[A-Z]{{2}}|{_D}{{3}}-{_D}{{2}}-{_D}{{4}}|[A-Z]{_D}{{2}}[ \n]{_D}{{3}}[ \n]{_D}{{3}}[ \n]{_D}{{2}}|[A-Z0-9]{{2,3}}{_D}{{6}}[A-Z])(?![\w-])"
+    rf"(?<![\w/-])(?:[A-Z]{{1,2}}\d{_D}{{6,7}}|SB-{_D}{{6}}|{_D}{{5}}-[A-Z]{{2}}|{_D}{{3}}-{_D}{{2}}-{_D}{{4}}|[A-Z]{_D}{{2}}[ \n]{_D}{{3}}[ \n]{_D}{{3}}[ \n]{_D}{{2}}|[A-Z]{{3}}\d{_D}{{5}}[A-Z])(?![\w-])"
 )
 ID_LABEL = re.compile(r"(?:passport(?:\s+no\.?)?|seaman['’]s\s+book|\bCDC(?:\s+no\.?)?|social\s+security\s+(?:number|no\.?)|national\s+ID|driving\s+licen[cs]e|identity\s+card)[\s:.(|]*$", re.I)
 _U = r"[A-ZÀ-ÞĀ-ŽȘȚ]"
