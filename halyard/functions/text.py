@@ -249,3 +249,34 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     h = F.lower(F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(name, "UTF-8"))))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def first_json_object(c: Column) -> Column:
+    """The JSON object of an answer as text: code fences removed, the first of a list, or what stands between the outer braces; null where none is valid."""
+    s = F.regexp_replace(c, r"(?s)^\s*```[A-Za-z]*\s*|\s*```\s*$", "")
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{"), x)
+    inner = F.nullif(F.regexp_extract(s, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.coalesce(valid(F.trim(s)), valid(F.get_json_object(s, "$[0]")), valid(inner))
+
+
+def acceptable_question(question: Column, banned: list[str], name: Column, key: Column) -> Column:
+    """Whether a question holds none of the banned words and names its group, in any case."""
+    free = ~question.rlike(r"(?iU)\b(" + "|".join(banned) + r")\b")
+    low = F.lower(question)
+    named = F.coalesce(low.contains(F.lower(name)), F.lit(False)) | F.coalesce(low.contains(F.lower(key)), F.lit(False))
+    return F.coalesce(free & named, F.lit(False))
+
+
+def megabytes(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.format_string("%.1f MB", c / 1_048_576))
+
+
+def letter_label(n: Column) -> Column:
+    """A, B, ... Z, AA, AB, ... for 0, 1, ... up to ZZ."""
+    one = lambda x: F.char(F.lit(65) + x)
+    return F.when(n < 26, one(n)).otherwise(F.concat(one(F.floor(n / 26) - 1), one(n % 26)))
+
+
+def short_time(c: Column) -> Column:
+    """Date and minute, the date alone at midnight."""
+    return F.when(F.date_format(c, "HH:mm:ss") == "00:00:00", F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm"))

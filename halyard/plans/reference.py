@@ -283,6 +283,16 @@ def first_references(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "text").select("doc_id", F.regexp_extract("text", p, 1).alias("series"), F.nullif(F.regexp_extract("text", p, 2), F.lit("")).cast("bigint").alias("number"))
 
 
+@query("SELECT id, format('{:.1f} MB', size_bytes / 1048576) AS shown FROM attachments")
+def file_sizes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "attachments", "id", "size_bytes").select("id", T.megabytes(F.col("size_bytes")).alias("shown"))
+
+
+@query(r"SELECT doc_id, coalesce(NOT regexp_matches(text, '(?i)\b(berth|agents)\b') AND (coalesce(contains(lower(text), lower('USD')), false) OR coalesce(contains(lower(text), lower(voyage_key)), false)), false) AS fits FROM documents")
+def fitting_texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents", "doc_id", "text", "voyage_key").select("doc_id", T.acceptable_question(F.col("text"), ["berth", "agents"], F.lit("USD"), F.col("voyage_key")).alias("fits"))
+
+
 # Groups, windows, samples
 
 

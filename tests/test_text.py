@@ -50,3 +50,13 @@ def test_contacts():
 def test_clean_body(spark):
     bodies = ["<p>Hi&nbsp;there</p><br>x  ,y\r\n----\r\n", "This mail is confidential", "", None, "a\n\nThis is for the intended recipient only.\n\nb", "Subject: x\nok"]
     assert column(spark, T.clean_body, bodies) == ["Hi\xa0there\n\nx,y", None, "", None, "a\n\nb", "ok"]
+
+
+def test_answers_and_labels(spark):
+    got = column(spark, T.first_json_object, ['```json\n{"a": 1}\n```', '[{"a": 2}, {"b": 3}]', 'so: {"a": {"b": 4}} ok', "none", None, "{broken"])
+    assert got == ['{"a": 1}', '{"a":2}', '{"a": {"b": 4}}', None, None, None]
+    ask = lambda c: T.acceptable_question(c, ["email", "thread"], F.lit("Orrin Gannet"), F.lit("ORRIN_1"))
+    assert column(spark, ask, ["When did orrin gannet sail?", "Which email names Orrin Gannet?", "When?", None, "emails of ORRIN_1"]) == [True, False, False, False, True]
+    assert column(spark, T.letter_label, [0, 25, 26, 701], "int") == ["A", "Z", "AA", "ZZ"]
+    assert column(spark, T.megabytes, [1_048_576, 0, None], "bigint") == ["1.0 MB", "0.0 MB", None]
+    assert column(spark, lambda c: T.short_time(c.cast("timestamp")), ["2024-01-02 00:00:00", "2024-01-02 03:04:05"]) == ["2024-01-02", "2024-01-02 03:04"]
