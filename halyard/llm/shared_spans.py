@@ -13,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.staging import staged
 
 LEAST = 200
-K = 120
+K = 100
 CHUNK = 1 << 18
 #: Places an anchor may stand at before texts meet on whole windows around it.
 HOT = 64
@@ -105,14 +105,14 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, rep; reps: rep, n, anchors). Equal texts form one class, named by its smallest doc_id."""
-    long = docs.select("doc_id", "text").where(F.length("text") >= LEAST).withColumn("same", F.sha2("text", 256)).withColumn("n", F.length("text"))
-    found = long.select("doc_id", "same", "n", "text").mapInArrow(_anchor_batches, "doc_id bigint, same string, n int, anchors array<struct<h:bigint,pos:int>>")
-    found = staged(found, "anchors")
-    reps = found.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    members = found.select("doc_id", "same", "n").join(reps, "same").select("doc_id", "rep", "n")
-    firsts = found.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "anchors")
-    return members, firsts
+    """(members: doc_id, rep, n; reps: rep, n, anchors). Equal texts form one class, named by its smallest doc_id."""
+    same = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+    long = docs.select("doc_id", "text").where(F.length("text") >= LEAST).withColumn("same", same).withColumn("n", F.length("text"))
+    found = staged(long.select("doc_id", "same", "n", "text").mapInArrow(_anchor_batches, "doc_id bigint, same binary, n int, anchors array<struct<h:bigint,pos:int>>"), "anchors")
+    keys = found.select("doc_id", "same", "n")
+    members = staged(keys.join(keys.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep", "n").distinct(), "members")
+    firsts = members.where("doc_id = rep").select("doc_id")
+    return members, found.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "anchors")
 
 
 def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,11 +132,17 @@ def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _pairs(anchors: DataFrame) -> DataFrame:
-    """(a, b, pa, pb): one meeting for each way in which two texts lie side by side on an equal hash."""
+    """(a, b, shift, at): the places in a, one text's anchors at most, at which two texts lie side by side on equal hashes."""
     a = anchors.select("h", F.col("rep").alias("a"), F.col("pos").alias("pa"))
     b = anchors.select("h", F.col("rep").alias("b"), F.col("pos").alias("pb"))
     met = a.join(b, "h").where("a < b")
-    return met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.min("pa").alias("pa")).select("a", "b", "pa", (F.col("pa") - F.col("shift")).alias("pb"))
+    return met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.sort_array(F.collect_set("pa")).alias("at"))
+
+
+def _shared(hashes: DataFrame) -> DataFrame:
+    """The rows whose hash more than one text holds, with n, the number of places that hold it."""
+    w = Window.partitionBy("h")
+    return hashes.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w), "n": F.count("*").over(w)}).where("lo < hi").drop("lo", "hi")
 
 
 def _meetings(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -144,13 +150,11 @@ def _meetings(docs: DataFrame, reps: DataFrame) -> DataFrame:
     they all have (a formula, a notice): there the texts meet on whole windows around it instead, so that no two
     texts meet that don't share one."""
     anchors = reps.select("rep", F.explode("anchors").alias("x")).select("rep", "x.h", "x.pos")
-    shared = anchors.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
-    held = staged(anchors.join(shared, "h"), "shared_anchors")
+    held = staged(_shared(anchors), "shared_anchors")
     few, many = held.where(F.col("n") <= HOT), held.where(F.col("n") > HOT)
     at = many.groupBy("rep").agg(F.collect_set("pos").alias("at"))  # a text's own anchors
-    windows = staged(at.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "text", "at").mapInPandas(_window_batches, "h bigint, rep bigint, pos int"), "windows")
-    common = windows.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h")
-    return _pairs(few).unionByName(_pairs(windows.join(common, "h", "left_semi")))
+    windows = at.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "text", "at").mapInPandas(_window_batches, "h bigint, rep bigint, pos int")
+    return _pairs(few).unionByName(_pairs(staged(_shared(windows), "windows")))
 
 
 def extend(x: str, y: str, i: int, j: int, k: int = K) -> tuple[int, int, int]:
@@ -183,19 +187,26 @@ def _extend_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
-            i, j, n = extend(r.ta, r.tb, int(r.pa), int(r.pb))
-            if n >= LEAST:
-                rows.append((r.a, r.b, i, j, n))
+            done = -1
+            for p in r.at:  # rising; those within the last span are its own
+                if p < done:
+                    continue
+                i, j, n = extend(r.ta, r.tb, int(p), int(p) - int(r.shift))
+                if n:
+                    done = i + n - K + 1
+                if n >= LEAST:
+                    rows.append((r.a, r.b, i, j, n))
         yield pd.DataFrame(rows, columns=["a", "b", "pa", "pb", "n"]).astype("int64")
 
 
 def class_spans(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b, pa, pb, n): maximal equal spans of at least LEAST code points between different texts."""
     met = staged(_meetings(docs, reps), "meetings")
-    texts = docs.select("doc_id", "text")
+    ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = staged(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = met.join(ta, "a").join(tb, "b").select("a", "b", "pa", "pb", "ta", "tb")
+    both = met.join(ta, "a").join(tb, "b").select("a", "b", "shift", "at", "ta", "tb")
     return both.mapInPandas(_extend_batches, "a bigint, b bigint, pa bigint, pb bigint, n bigint").distinct()
 
 
@@ -207,7 +218,6 @@ def sharing_pairs(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     members, reps = text_classes(docs)
-    members = staged(members, "members")
     pairs = class_spans(docs, reps).select("a", "b").distinct()
     same = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).groupBy("a", "b").count().where("count > 1").select("a", "b")
     left = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
@@ -221,11 +231,8 @@ def shared_part(docs: DataFrame) -> DataFrame:
 
     Null texts have n_chars null, 0 shared characters and share 0.0; so have blank ones with their length.
     """
-    from pyspark.sql import Window
-
     docs = docs.select("doc_id", "text")
     members, reps = text_classes(docs)
-    members = staged(members, "members")
     spans = staged(class_spans(docs, reps), "spans")
     parts = spans.select(F.col("a").alias("rep"), F.col("pa").alias("s"), (F.col("pa") + F.col("n")).alias("e")).unionByName(spans.select(F.col("b").alias("rep"), F.col("pb").alias("s"), (F.col("pb") + F.col("n")).alias("e"))).distinct()
     before = F.max("e").over(Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
