@@ -7,6 +7,7 @@ ends, and whether it can be of its kind at all. Spans the tagger doesn't touch a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from halyard.llm import pii_model as M
 from halyard.llm import pii_patterns as P
 
 AROUND = 60
+_SURNAME_FIRST = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-ÞĀ-ŽŁŚȘ][A-ZÀ-ÖØ-ÞĀ-ŽŁŚȘŒ’'-]{3,}), ?\n?$")
 
 
 def weights() -> dict[str, np.ndarray]:
@@ -48,7 +50,7 @@ def settle(text: str, start: int, end: int, kind: str) -> list[tuple[int, int, s
     digits = sum(c.isdigit() for c in s)
     good = {
         "email": ("@" in s or "at" in s.lower()) and len(s) > 6,
-        "id_number": digits >= 5 and len(s) >= 7,
+        "id_number": digits >= 5 and len(s) >= 7 and not re.fullmatch(r"[A-Z]{2}[-/]?\w{5,6}", s),  # that is a reference's form
         "phone": digits >= 8,
         "address": len(s) >= 8 and digits > 0 and sum(c.isalpha() for c in s) >= 5,
     }[kind]
@@ -72,6 +74,8 @@ def _person(text: str, start: int, end: int) -> list[tuple[int, int]]:
         i, j = run[0][0], run[-1][1]
         if (m := P.TITLES.match(text, i)) and m.end() < j:
             i = m.end()
+        if m := _SURNAME_FIRST.search(text, max(0, i - 25), i):  # the capital surname of "SURNAME, Given"
+            i = m.start(1)
         if text[i:j].rstrip(".").isupper() and len(text[i:j].rstrip(".")) < 3 or P.SHIP.search(text[max(0, i - 12) : i]):
             continue
         if j - i >= 2:
