@@ -89,6 +89,15 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     return w.select("doc_id", F.size("w").alias("len"), F.array(*[count(t) for t in terms]).alias("tf"))
 
 
+def _holding(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """term_counts of the documents that hold any of the terms; texts without their letters aren't split into words."""
+    low = F.lower(F.col("text"))
+    some = F.lit(False)
+    for t in terms:
+        some = some | low.contains(t)
+    return term_counts(docs.where(some), terms).where(F.exists("tf", lambda x: x > 0))
+
+
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, score) of documents that hold any of the terms; document counts and lengths are of all documents, also where a filter follows.
 
@@ -97,7 +106,7 @@ def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
     terms = list(dict.fromkeys(terms))
     c = term_counts(docs, terms)
     stats = c.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    scored = c.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats has one row
+    scored = _holding(docs, terms).crossJoin(F.broadcast(stats))  # stats has one row
     total = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col("tf")[i], F.col(f"df{i}")
@@ -110,7 +119,7 @@ def term_rank(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, score): every term adds 0.1 * sum of 1 / i^2 over its occurrences, over 1.644934 and the number of terms. Terms of one letter don't count."""
     terms = [t for t in dict.fromkeys(terms) if len(t) > 1]
     gain = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).otherwise(0.0) / 1.644934 * 0.1
-    c = term_counts(docs, terms).where(F.exists("tf", lambda x: x > 0))
+    c = _holding(docs, terms)
     return c.select("doc_id", (F.aggregate("tf", F.lit(0.0), lambda s, n: s + gain(n)) / len(terms)).alias("score"))
 
 
