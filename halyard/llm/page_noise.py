@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -44,7 +44,9 @@ _SYMBOLS = "0-9§¦|!¢€†ﬀ-ﬄ"
 _TOKEN = re.compile(rf"[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*|[{_SYMBOLS}]+[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*")
 _SKIP = re.compile(r"\S+@\S+|<[^>\n]{0,80}>|https?://\S+|\b[A-ZÀ-Þ0-9]{1,4}[-/]?\d{3,}\w*|\b\d[\w.,:/°′-]*|\b[A-Z]{1,3}\d+\w*")
 _MARKS = "-‐‑¬­"
-_DIVIDED = re.compile(rf"((?:[^\W_]|[{_SYMBOLS}])+)([{_MARKS}])[ \t]*\r?\n(?:[ \t]*\r?\n)*[ \t]*((?:[^\W_]|[{_SYMBOLS}])\S*)")
+_CUT = re.compile(rf"\S*[{_MARKS}][ \t]*\r?\n\s*\S*")
+_END = re.compile(rf"[{_MARKS}][ \t]*\r?\n(?:[ \t]*\r?\n)*[ \t]*")
+_LEFT = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+$")
 _TAIL = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+")
 _SUSPENDED = set("and or und oder og eller et ou y e o i a bis to och en és и или και ή".split())
 _PAGE_WORD = r"(?:page|seite|side|sida|página|pagina|pág\.?|strona|str\.|стр\.|p\.|pg\.?|blad|σελ\.?)"
@@ -225,18 +227,18 @@ class Lexicon:
         return out
 
     def _find(self, form: str) -> tuple[tuple[str, float], ...]:
-        """(word, cost) of the words that a form can be a misreading of, the best first."""
+        """(word, cost) of the words that a form can be a misreading of, the best first: all within the smallest edit distance at which there are any."""
         n = len(form)
-        most = 2 if n < 9 else 3
         count = self.words.get(form, self.extra.get(form, 1))
-        out = []
-        for w, _ in self.within(form, most):
-            if w == form or self.words[w] < RATIO * count:
-                continue
-            c = explained(w, form)
-            if c is not None and c <= (1.0 if n < 4 else 2.2 if n < 8 else 3.2):
-                out.append((w, c - 0.15 * math.log10(self.words[w])))
-        return tuple(sorted(out, key=lambda x: (x[1], x[0])))
+        limit = 1.0 if n < 4 else 2.2 if n < 8 else 3.2
+        for most in range(1, 3 if n < 9 else 4):
+            out = []
+            for w, _ in self.within(form, most):
+                if w != form and self.words[w] >= RATIO * count and (c := explained(w, form)) is not None and c <= limit:
+                    out.append((w, c - 0.15 * math.log10(self.words[w])))
+            if out:
+                return tuple(sorted(out, key=lambda x: (x[1], x[0])))
+        return ()
 
     def known(self, word: str) -> bool:
         return word in self.words
@@ -262,34 +264,36 @@ def explained(word: str, form: str) -> float | None:
     return d[n][m] if d[n][m] < inf else None
 
 
-def tokens(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, token) of the words of a text; addresses, codes and numbers aren't words."""
-    skip = [m.span() for m in _SKIP.finditer(text)]
-    out, k = [], 0
+def _coded(text: str, start: int, end: int) -> bool:
+    """Whether a token is part of an address, code, number or markup, and not a word with one wrong sign."""
+    lo, hi = start, end
+    while lo > 0 and not text[lo - 1].isspace():
+        lo -= 1
+    while hi < len(text) and not text[hi].isspace():
+        hi += 1
+    near = text[lo:hi]
+    if "@" in near or near.startswith(("<", "http")) or near.endswith("-->"):
+        return True
+    if any(m.start() < end - lo and m.end() > start - lo for m in _SKIP.finditer(near)):
+        t = text[start:end]  # "l0gged", "1umpsum" look like codes
+        return not (sum(c.islower() for c in t) >= 3 and sum(c.isdigit() for c in t) <= 2)
+    return False
+
+
+def unknown_tokens(text: str, known: Container[str]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, token, token before) of the words of a text that aren't known; addresses, codes and numbers aren't words."""
+    before = ""
     for m in _TOKEN.finditer(text):
-        while k < len(skip) and skip[k][1] <= m.start():
-            k += 1
-        if k < len(skip) and skip[k][0] < m.end():
-            t = m.group()
-            s = text[skip[k][0] : skip[k][1]]
-            # a word with one wrong sign looks like a code ("l0gged", "1umpsum"): it keeps its chance
-            if not (sum(c.islower() for c in t) >= 3 and "@" not in s and "<" not in s and sum(c.isdigit() for c in t) <= 2):
-                continue
-        out.append((m.start(), m.end(), m.group()))
-    return out
+        t = m.group()
+        low = t.lower()
+        if low not in known and not _coded(text, m.start(), m.end()):
+            yield m.start(), m.end(), t, before
+        before = low
 
 
 def _whole(text: str) -> list[str]:
     """Lower-case words of a text without those that a line end divides."""
-    out = []
-    for i, j, t in tokens(text):
-        if text[j : j + 1] in _MARKS and text[j : j + 1] and text[j + 1 : j + 3].lstrip(" ").startswith(("\n", "\r")):
-            continue
-        head = text[max(0, i - 8) : i].rstrip(" \t")
-        if head.endswith("\n") and head.rstrip()[-1:] in _MARKS and head.rstrip():
-            continue
-        out.append(t.lower())
-    return out
+    return [t.lower() for t in _TOKEN.findall(_SKIP.sub(" ", _CUT.sub(" ", text)))]
 
 
 def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,15 +355,17 @@ def _starts(token: str) -> bool:
 def divided(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, whole word) of the words that a line end divides by a mark that isn't part of them."""
     out = []
-    for m in _DIVIDED.finditer(text):
-        left, mark, right = m[1], m[2], m[3]
-        tail = _TAIL.match(right)[0]
+    for m in _END.finditer(text):
+        head, end = _LEFT.search(text, max(0, m.start() - 60), m.start()), _TAIL.match(text, m.end())
+        if not head or not end:
+            continue
+        left, mark, tail = head[0], m[0][0], end[0]
         if not any(c.isalpha() for c in left) or not any(c.isalpha() for c in tail):
             continue
         low, joined = left.lower(), (left + tail).lower()
         if tail.lower() in _SUSPENDED and not lex.known(joined):
             continue
-        start = m.start()
+        start = head.start()
         before = text[start - 1 : start]
         if before and (before.isalnum() or before in "-/@.") and mark == "-" and not lex.known(joined):
             continue
@@ -372,7 +378,7 @@ def divided(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
                 continue
         elif mark == "-" and lex.known(low) and lex.known(tail.lower()) and lex.pairs.get((low, tail.lower()), 0) > lex.words.get(joined, 0):
             continue
-        out.append((m.start(), m.start(3) + len(tail), left + tail))
+        out.append((start, end.end(), left + tail))
     return out
 
 
@@ -391,19 +397,15 @@ def noise(text: str | None, lex: Lexicon) -> list[str]:
 
 
 def _misread_spans(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
-    out, before = [], ""
-    for i, j, t in tokens(text):
+    out = []
+    for i, j, t, before in unknown_tokens(text, lex.words):
         if text[j : j + 1] in tuple(_MARKS) and text[j + 1 : j + 2] in ("\n", "\r"):
-            before = ""
             continue
         head = text[max(0, i - 6) : i].rstrip(" \t")
         if head.endswith("\n") and head.rstrip()[-1:] in tuple(_MARKS):
-            before = ""
             continue
-        w = misread(t, lex, before)
-        if w:
+        if w := misread(t, lex, before):
             out.append((i, j, w))
-        before = (w or t).lower()
     return out
 
 
