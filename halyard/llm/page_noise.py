@@ -42,9 +42,8 @@ _WEAK = {("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("g", "q"), ("q", "g"),
 
 _SYMBOLS = "0-9§¦|!¢€†ﬀ-ﬄ"
 _TOKEN = re.compile(rf"[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*|[{_SYMBOLS}]+[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*")
-_SKIP = re.compile(r"\S+@\S+|<[^>\n]{0,80}>|https?://\S+|\b[A-ZÀ-Þ0-9]{1,4}[-/]?\d{3,}\w*|\b\d[\w.,:/°′-]*|\b[A-Z]{1,3}\d+\w*")
+_SKIP = re.compile(r"(?<!\S)[^\s@]+@\S+|<[^>\n]{0,80}>|https?://\S+|\b(?:[A-ZÀ-Þ0-9]{1,4}[-/]?\d{3,}\w*|\d[\w.,:/°′-]*|[A-Z]{1,3}\d\w*)")
 _MARKS = "-‐‑¬­"
-_CUT = re.compile(rf"\S*[{_MARKS}][ \t]*\r?\n\s*\S*")
 _END = re.compile(rf"[{_MARKS}][ \t]*\r?\n(?:[ \t]*\r?\n)*[ \t]*")
 _LEFT = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+$")
 _TAIL = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+")
@@ -293,7 +292,12 @@ def unknown_tokens(text: str, known: Container[str]) -> Iterator[tuple[int, int,
 
 def _whole(text: str) -> list[str]:
     """Lower-case words of a text without those that a line end divides."""
-    return [t.lower() for t in _TOKEN.findall(_SKIP.sub(" ", _CUT.sub(" ", text)))]
+    parts, at = [], 0
+    for m in _END.finditer(text):
+        if (head := _LEFT.search(text, max(at, m.start() - 60), m.start())) and (end := _TAIL.match(text, m.end())):
+            parts.append(text[at : head.start()])
+            at = end.end()
+    return [t.lower() for t in _TOKEN.findall(_SKIP.sub(" ", " ".join([*parts, text[at:]])))]
 
 
 def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
