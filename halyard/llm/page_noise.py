@@ -179,10 +179,11 @@ def _rising(where: list[tuple[int, int]]) -> list[tuple[int, int]]:
 class Lexicon:
     """Words with document counts as a trie, and pairs of words."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, extra: dict[str, int] | None = None) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, extra: dict[str, int] | None = None, ready: dict[str, tuple] | None = None) -> None:
         self.words = words
         self.pairs = pairs or {}
         self.extra = extra or {}  # counts of forms that aren't words
+        self.ready = ready or {}  # what forms that several documents hold can stand for
         self.trie: dict = {}
         for w in words:
             node = self.trie
@@ -227,6 +228,8 @@ class Lexicon:
 
     def _find(self, form: str) -> tuple[tuple[str, float], ...]:
         """(word, cost) of the words that a form can be a misreading of, the best first: all within the smallest edit distance at which there are any."""
+        if (known := self.ready.get(form)) is not None:
+            return known
         n = len(form)
         count = self.words.get(form, self.extra.get(form, 1))
         limit = 1.0 if n < 4 else 2.2 if n < 8 else 3.2
@@ -321,18 +324,36 @@ def _prune_batches(lexicon):
     return run
 
 
+def _retrieve_batches(lexicon):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(*lexicon.value)
+        for b in batches:
+            found = [lex.find(w) for w in b["word"]]
+            yield pd.DataFrame({"word": b["word"], "words": [[w for w, _ in f] for f in found], "costs": [[c for _, c in f] for f in found]})
+
+    return run
+
+
 def learn(texts: DataFrame, column: str = "markdown") -> Lexicon:
-    """Counts words over all texts; what comes to the driver is bounded by MAX_WORDS and MAX_PAIRS."""
+    """Counts words over all texts; what comes to the driver is bounded by MAX_WORDS (words, and as many other forms) and MAX_PAIRS.
+
+    Candidates of forms that several documents hold are retrieved here, once for all; those of rarer ones where they stand.
+    """
     docs = texts.select(F.col(column).alias("markdown")).where("markdown is not null and markdown <> ''")
     spark = texts.sparkSession
     counts = staged(docs.mapInPandas(_word_batches, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n")).where(f"n >= {MIN_DOCS}"), "words")
     least = max(MIN_DOCS, MIN_SHARE * docs.count())
-    frequent = counts.where(f"before = '' and n >= {least}").orderBy(F.desc("n"), "word").limit(MAX_WORDS)
-    words = {r.word: r.n for r in frequent.select("word", "n").collect()}
-    shared = spark.sparkContext.broadcast(words)
-    sound = {r.word: r.n for r in spark.createDataFrame([(w, n) for w, n in words.items()] or [("", 0)], "word string, n bigint").repartition(8).mapInPandas(_prune_batches(shared), "word string, n bigint").collect() if r.word}
+    forms = counts.where("before = ''").select("word", "n")
+    words = {r.word: r.n for r in forms.where(f"n >= {least}").orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
+    spread = 2 * spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(list(words.items()) or [("", 0)], "word string, n bigint").repartition(spread)
+    sound = {r.word: r.n for r in rows.mapInPandas(_prune_batches(spark.sparkContext.broadcast(words)), "word string, n bigint").collect() if r.word}
+    extra = {w: n for w, n in words.items() if w not in sound}
+    others = forms.where(f"n < {least}").orderBy(F.desc("n"), "word").limit(MAX_WORDS).unionByName(rows.where(~F.col("word").isin("")).join(spark.createDataFrame(list(extra.items()) or [("", 0)], "word string, k bigint").select("word"), "word", "left_semi"))
+    lexicon = spark.sparkContext.broadcast((sound, {}, extra))
+    ready = {r.word: tuple(zip(r.words, r.costs)) for r in others.repartition(spread).mapInPandas(_retrieve_batches(lexicon), "word string, words array<string>, costs array<double>").collect()}
     pairs = {(r.before, r.word): r.n for r in counts.where(f"before <> '' and n >= {least}").orderBy(F.desc("n"), "before", "word").limit(MAX_PAIRS).collect() if r.word in sound and r.before in sound}
-    return Lexicon(sound, pairs, {w: n for w, n in words.items() if w not in sound})
+    return Lexicon(sound, pairs, extra, ready)
 
 
 def misread(token: str, lex: Lexicon, before: str = "") -> str | None:
@@ -485,7 +506,7 @@ def found_noise(docling: DataFrame) -> DataFrame:
     """(sha256, noise_kind), distinct. Null, empty and placeholder-only texts have none; other columns are ignored."""
     files = staged(_files(docling), "files")
     lex = learn(files)
-    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra))
+    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra, lex.ready))
     return files.where("markdown is not null").mapInPandas(_noise_batches(shared), "sha256 string, noise_kind string")
 
 
@@ -493,5 +514,5 @@ def repaired_files(docling: DataFrame) -> DataFrame:
     """(sha256, repaired): one row per file; null stays null."""
     files = staged(_files(docling), "files")
     lex = learn(files)
-    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra))
+    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra, lex.ready))
     return files.mapInPandas(_repair_batches(shared), "sha256 string, repaired string")
