@@ -60,6 +60,7 @@ _PAGENO = [
     ("roman", re.compile(r"([ivxlcIVXLC1]{1,7})")),
 ]
 _BESIDE = re.compile(r"^(?P<left>\S.*?)[ \t]{3,}(?P<right>\S.*)$")
+_LETTERS = re.compile(r"[^\W\d_]{3}")
 _DIGIT = str.maketrans("OolISB", "001158")
 _CANON = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("fi", "ﬁ")]
 _CANON_CHARS = str.maketrans({"c": "e", "l": "i", "1": "i", "|": "i", "!": "i", "0": "o", "5": "s", "§": "s", "¦": "r", "8": "b", "á": "a", "à": "a", "í": "i", "é": "e", "ó": "o", "f": "t", "y": "v", "b": "h", "6": "o", "9": "g", "q": "g", "ﬁ": "u", "j": "i"})
@@ -109,29 +110,31 @@ def furniture(text: str) -> tuple[set[int], set[int], list[str]]:
             if p[0] in ("bare", "slash", "roman") and k >= 0 and rest[k].rstrip().endswith(":"):
                 continue
             found.append((i, p[0], p[1], ""))
-        elif m := _BESIDE.match(s):
+        elif ("   " in s or "\t" in s) and (m := _BESIDE.match(s)):
             for side, other in (("right", "left"), ("left", "right")):
                 if (p := _pageno(m[side])) and len(m[other].strip()) > 5:
                     found.append((i, p[0], p[1], m[other].strip()))
                     break
     # Running lines: the same line on at least two pages, standing between the text of two pages.
-    texts: dict[str, list[int]] = {}
+    beside = {i: o for i, _, _, o in found if o}
     numbered = {i for i, *_ in found}
+    width = max((len(x.strip()) for x in rest if x.strip() and x.strip()[0] not in "#|<"), default=0)
+    lone: list[tuple[int, str]] = []  # lines that may be running lines, and whether they end by themselves
+    texts: dict[str, list[int]] = {}
     for i, s in enumerate(rest):
-        s = s.strip()
-        other = next((o for j, _, _, o in found if j == i and o), "")
-        if i in numbered and not other:
-            continue
-        body = other or s
-        if len(body) < 8 or body[0] in "#|<*->" or body[-1] in ":.,;?!" or len(body) > 110 or not re.search(r"[^\W\d_]{3}", body):
+        body = beside.get(i, "" if i in numbered else s.strip())
+        if len(body) < 8 or body[0] in "#|<*->" or body[-1] in ":.,;?!" or len(body) > 110 or not _LETTERS.search(body):
             continue
-        texts.setdefault(canonical(body), []).append(i)
-    width = max((len(x.strip()) for x in rest if x.strip() and x.strip()[0] not in "#|<"), default=0)
+        if i in numbered or not _wrapped(rest, i, width) or _interrupts(rest, i):
+            texts.setdefault(canonical(body), []).append(i)
+        else:
+            lone.append((i, body))
     header: set[int] = set()
-    for where in texts.values():
-        good = [i for i in where if i in numbered or not _wrapped(rest, i, width) or _interrupts(rest, i)]
-        if len(good) >= 2 and len(good) >= 0.6 * len(where):
-            header.update(good)
+    if any(len(where) > 1 for where in texts.values()):
+        full_lines = Counter(canonical(body) for _, body in lone)
+        for key, good in texts.items():
+            if len(good) >= 2 and len(good) >= 0.6 * (len(good) + full_lines[key]):
+                header.update(good)
     # Page numbers: one style, rising.
     number: set[int] = set()
     styles: dict[str, list[tuple[int, int]]] = {}
@@ -148,7 +151,7 @@ def furniture(text: str) -> tuple[set[int], set[int], list[str]]:
             near = i in header or any(j in header for j in (full(i, -1), full(i, 1)))
             if style in ("of", "word", "dash") or near:
                 number.add(i)
-    header = {i for i in header if i not in number or any(j == i and o for j, _, _, o in found)}
+    header = {i for i in header if i not in number or i in beside}
     kept = [x for i, x in enumerate(rest) if i not in number and i not in header]
     return number, header, kept
 
