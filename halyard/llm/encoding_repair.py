@@ -32,6 +32,8 @@ PAIRS = tuple(
     for b in bs
 )
 LAYERS = 4
+#: Cost of taking a run that strictly decodes as UTF-8 for text: by chance that hardly happens.
+STRICT = 2.0
 
 _LATIN = set("àâäáãåæçćčďéèêëęėěğíìîïıłńñňóòôöõøœőřśšşșťțúùûüůűýźżžßąđ")
 _LATIN |= {c.upper() for c in _LATIN if len(c.upper()) == 1}
@@ -68,7 +70,7 @@ def _own(c: str, a: str, b: str) -> float:
         cost = 0.0
         if (s != sa and sa in "lcg") or (s != sb and sb in "lcg"):
             cost += 2.0
-        if ord(c) > 127 and c.isupper() and (a.islower() or (a.isupper() and b.islower() and ord(a) > 127)):
+        if ord(c) > 127 and c.isupper() and not ("A" <= b <= "Z" and a.islower()) and (a.islower() or (a.isupper() and b.islower() and ord(a) > 127)):
             cost += 1.5
         if a.isupper() and c.islower() and b.isupper():
             cost += 1.0
@@ -77,8 +79,8 @@ def _own(c: str, a: str, b: str) -> float:
         return 0.0
     if s == "d":  # digits outside ASCII, superscripts among them
         return 0.0 if c in _PUNCT and not (sa in "lcg" and sb in "lcg") else 2.0
-    if s == "o":
-        return 2.0
+    if s == "o":  # letters of other scripts are at home among themselves
+        return 2.0 if not 0x530 <= ord(c) < 0x2000 or sa in "lcg" or sb in "lcg" else 0.0
     letters = (sa in "lcgo") + (sb in "lcgo")
     if c in "’‐‑·":
         return 0.0 if c != "·" or letters < 2 else 2.0
@@ -160,7 +162,7 @@ def run_verdict(run: str, before: str, after: str) -> tuple[bool, str, tuple[str
             if enc in ("mac_roman", "cp1251", "koi8_r", "cp866") and len(s) == 1 and s in _CYRILLIC and here < 2:
                 continue
             if _common(s) or _RUN.search(s) and any(_encode(s, e) for e in READ_AS[:2]):
-                c = cost(s, before, after) - 2
+                c = cost(s, before, after) - STRICT
                 if best is None or c < best[0]:
                     best = (c, s, (enc, "utf-8"))
         if best is None and first is None and here >= 1.5:

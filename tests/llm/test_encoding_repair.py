@@ -2,7 +2,7 @@ import pytest
 
 from halyard.llm.encoding_repair import garbled_fields, repair, restored_fields
 
-CLEAN = ["Kårstø og Ålesund – «æøå»", "¿Podrían confirmar 13°42′S?", "√ tanks dry", "INFORMAÇÃO DE NAVEGAÇÃO", "Größe 12 m³ ±2", "Добрый день, Сёстры", "Το τιμολόγιο", "£6669 per hour", "l’échantillon n° 4", "東京 港", "5 µm", "CAFÉ « fermé »", "Łódź, Świnoujście, węże"]
+CLEAN = ["مرفأ UJ725812", "AT kØGE. nOON", "Kårstø og Ålesund – «æøå»", "¿Podrían confirmar 13°42′S?", "√ tanks dry", "INFORMAÇÃO DE NAVEGAÇÃO", "Größe 12 m³ ±2", "Добрый день, Сёстры", "Το τιμολόγιο", "£6669 per hour", "l’échantillon n° 4", "東京 港", "5 µm", "CAFÉ « fermé »", "Łódź, Świnoujście, węże"]
 
 
 @pytest.mark.parametrize("text", CLEAN)
