@@ -151,14 +151,17 @@ class _Letter:
         self.text: list[int] = []
         self.off: list[int] = []
         self.name = ""
+        self.below = False  # below a letter that was signed off before the marked lines
         self.copied: set[int] = set()
         self.weak = False  # below marked lines within history: the sender's only if signed so
 
 
-def not_new(body: str | None, sender: str | None = None, parent: str | None = None) -> list[int]:
+def not_new(body: str | None, sender: str | None = None, parent: str | None = None, cleaned: str | None = None) -> list[int]:
     """Numbers of the lines (pieces between LF, from 0) that the sender didn't newly write; blank lines never count.
 
-    Null and empty bodies give none. Texts that a wrong decoding garbled are read as restored.
+    Null and empty bodies give none. Texts that a wrong decoding garbled are read as restored. parent is the
+    body of the answered message, cleaned what an earlier cleaner made of this one; either helps where layout
+    alone doesn't tell where history without marks ends.
     """
     if not body:
         return []
@@ -274,11 +277,11 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
                 continue
             if nxt < n and shown[nxt]:
                 # The quote that follows bears marks. Below a header it is what that message quoted.
-                block = not _INTRO_END.search(lines[end - 1]) and not _INTRO_FULL.match(lines[end - 1])
+                block = bool(_HEADER.match(lines[end - 1]) or _SEPARATOR.match(lines[end - 1]) or table[end - 1])
                 i = end
                 if phase != "text" or block:
                     letters.append(_Letter(end, cur.quoted, "header-shown" if block else "after-quote"))
-                    letters[-1].weak = cur.quoted
+                    letters[-1].weak, letters[-1].below = cur.quoted, bool(cur.off)
                     phase, content = "text", 0
             else:
                 letters.append(_Letter(end, True, "header"))
@@ -288,7 +291,7 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
         if shown[i]:
             if phase in ("off", "notice", "closing"):
                 letters.append(_Letter(i, cur.quoted if cur.origin != "shown" else False, "after-quote"))
-                letters[-1].weak = cur.quoted
+                letters[-1].weak, letters[-1].below = cur.quoted, bool(cur.off)
                 phase, content = "text", 0
             elif cur.origin == "shown":
                 letters.append(_Letter(i, False, "after-quote"))
@@ -364,18 +367,15 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
     free = [x for x in letters if not x.quoted and (x.text or x.off)]
     for k, x in enumerate(free):
         own = [i for i in x.text if not _GREETING.match(lines[i])]
-        if source and own:
-            inside = [i for i in own if len(_squash(lines[i])) >= 12 and _squash(lines[i]) in source]
-            size = sum(len(lines[i]) for i in own)
-            if sum(len(lines[i]) for i in inside) >= 0.6 * size:
-                x.quoted = True
-        elif not own:
-            continue
-        if source and not x.quoted:  # paragraphs of the answered message that stand among the sender's own
-            for block in _blocks(own):
-                text = _squash(" ".join(lines[i] for i in block))
-                if len(text) >= 30 and (text in source or sum(len(_squash(lines[i])) for i in block if len(_squash(lines[i])) >= 20 and _squash(lines[i]) in source) >= 0.7 * len(text)):
+        if source and own:  # paragraphs of the answered message; a letter that has no other is that message
+            blocks = _blocks(own)
+            for block in blocks:
+                parts = [_squash(lines[i]) for i in block]
+                text = " ".join(parts)
+                if len(text) >= 30 and (text in source or sum(len(t) for t in parts if len(t) >= 20 and t in source) >= 0.7 * len(text)):
                     x.copied.update(block)
+            if x.copied.issuperset(own):
+                x.quoted = True
     left = [x for x in free if not x.quoted]
     if len(left) > 1:
         fits = [_signed_by(x.name, sender) for x in left]
@@ -385,10 +385,14 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
                     x.quoted = True
     if not any(x.text for x in free if not x.quoted):  # all else is history: the last text below it may be the sender's
         last = next((x for x in reversed(letters) if x.weak and x.text), None)
-        if last and last is [x for x in letters if x.text][-1] and (_signed_by(last.name, sender) or not last.name and _initials(last, lines, sender)):
+        signed = _signed_by(last.name, sender) if last else False
+        if last and last is [x for x in letters if x.text][-1] and signed is not False and (signed or last.below or _GREETING.match(lines[last.text[0]]) or _initials(last, lines, sender)):
             last.quoted = False
+    fresh: set[int] = set()
+    if not any(x.text for x in letters if not x.quoted):
+        fresh = _tail(letters, lines, sender, source, cleaned)
     top = letters[0]
-    if not top.quoted and top.text and top.off:  # below a letter that is signed off and a header there is only history
+    if not top.quoted and top.text:  # below a letter and a header there is only history
         later = False
         for x in letters[1:]:
             later = later or x.origin.startswith("header")
@@ -403,14 +407,32 @@ def not_new(body: str | None, sender: str | None = None, parent: str | None = No
         out.update(x.copied)
         if x.quoted:
             out.update(x.text)
-    return sorted(i for i in out if not blank[i])
-
-
-def newly_written(body: str | None, sender: str | None = None, parent: str | None = None) -> str | None:
+    return sorted(i for i in out - fresh if not blank[i])
+
+
+def _tail(letters: list[_Letter], lines: list[str], sender: str, source: str, cleaned: str | None) -> set[int]:
+    """Lines of the sender's that go on from a quoted message which wasn't signed off: those after the last that
+    stands in the answered message, or those that an earlier cleaner kept while it dropped the message's header."""
+    last = next((x for x in reversed(letters) if x.text), None)
+    if last is None or last.origin != "header" or _signed_by(last.name, sender) is False:
+        return set()
+    text = [i for i in last.text if len(_squash(lines[i])) >= 12]
+    known = [i for i in text if source and _squash(lines[i]) in source]
+    if known and text[-1] > known[-1]:
+        return {i for i in last.text if i > known[-1]}
+    if cleaned and not any(_HEADER.match(x) or _SEPARATOR.match(x) for x in cleaned.split("\n")):
+        kept = _squash(repair(cleaned)[1].replace("\r", ""))
+        mine = [i for i in text if _squash(lines[i]) in kept]
+        if mine and len(mine) < len(text) and mine[-1] == text[-1] and all(i in mine for i in text if i >= mine[0]):
+            return {i for i in last.text if i >= mine[0]}
+    return set()
+
+
+def newly_written(body: str | None, sender: str | None = None, parent: str | None = None, cleaned: str | None = None) -> str | None:
     """The body's newly written lines; runs of blank lines become one. Null stays null."""
     if body is None:
         return None
-    drop = set(not_new(body, sender, parent))
+    drop = set(not_new(body, sender, parent, cleaned))
     kept = "\n".join(x.rstrip("\r") for i, x in enumerate(body.split("\n")) if i not in drop)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^\s+$", "", kept)).strip()
 
@@ -437,7 +459,7 @@ def _mark_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, fields, numbers = [], [], []
         for r in b.itertuples(index=False):
             for f, body in (("body_text", r.body_text), ("body_cleaned", r.body_cleaned)):
-                found = not_new(body, r.from_addr, r.parent)
+                found = not_new(body, r.from_addr, r.parent, r.body_cleaned if f == "body_text" else None)
                 ids += [r.email_id] * len(found)
                 fields += [f] * len(found)
                 numbers += found
@@ -451,7 +473,7 @@ def lines_not_new(emails: DataFrame) -> DataFrame:
 
 def _reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(r.email_id, newly_written(r.body_text, r.from_addr, r.parent), newly_written(r.body_cleaned, r.from_addr, r.parent)) for r in b.itertuples(index=False)]
+        rows = [(r.email_id, newly_written(r.body_text, r.from_addr, r.parent, r.body_cleaned), newly_written(r.body_cleaned, r.from_addr, r.parent)) for r in b.itertuples(index=False)]
         yield pd.DataFrame(rows, columns=["email_id", "new_text", "new_cleaned"])
 
 

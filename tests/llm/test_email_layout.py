@@ -98,6 +98,13 @@ def test_history_without_marks_is_found_in_the_answered_message():
     assert not_new(body, "x@y.example", parent) == [0, 1, 3, 4]
 
 
+def test_answer_below_a_message_without_sign_off():
+    body = "From: A B <a@x.example>\nSent: today\nTo: me@x.example\n\nHi,\n\nThe hoses were off at noon today.\n\nWe will send another pilot tomorrow.\n-- \nMe"
+    assert not_new(body, "me@x.example", "Hi,\n\nThe hoses were off at noon today.") == [0, 1, 2, 4, 6, 9, 10]
+    assert not_new(body, "me@x.example", None, "We will send another pilot tomorrow.") == [0, 1, 2, 4, 6, 9, 10]
+    assert not_new(body, "me@x.example") == [0, 1, 2, 4, 6, 8, 9, 10]
+
+
 def test_edges():
     assert not_new(None) == [] and not_new("") == [] and not_new("\n \n") == [] and newly_written(None) is None
     assert newly_written("Hi,\n\n\n\ntext\n-- \nMe") == "Hi,\n\ntext"
