@@ -236,7 +236,7 @@ class Lexicon:
         n = len(form)
         count = self.words.get(form, self.extra.get(form, 1))
         limit = 1.0 if n < 4 else 2.2 if n < 8 else 3.2
-        for most in range(1, 3 if n < 9 else 4):
+        for most in (1, 2):
             out = []
             for w, _ in self.within(form, most):
                 if w != form and self.words[w] >= RATIO * count and (c := explained(w, form)) is not None and c <= limit:
@@ -271,6 +271,9 @@ def explained(word: str, form: str) -> float | None:
 
 def _coded(text: str, start: int, end: int) -> bool:
     """Whether a token is part of an address, code, number or markup, and not a word with one wrong sign."""
+    digits = sum(c.isdigit() for c in text[start:end])
+    if digits > 1 and 2 * digits >= end - start:
+        return True
     lo, hi = start, end
     while lo > 0 and not text[lo - 1].isspace():
         lo -= 1
