@@ -313,7 +313,7 @@ def file_types(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT coalesce(source, 'total') AS source, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 6) AS mean_chars, CAST(count_if(n_chars >= 1000) AS BIGINT) AS long_docs FROM documents WHERE source IS NOT NULL GROUP BY ROLLUP (source)"
+    "SELECT coalesce(source, 'total') AS source, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(n_chars), 6) AS mean_chars, CAST(count(*) FILTER (WHERE n_chars >= 1000) AS BIGINT) AS long_docs FROM documents WHERE source IS NOT NULL GROUP BY ROLLUP (source)"
 )
 def source_rollup(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents", "source", "n_chars").where("source is not null")
@@ -425,7 +425,7 @@ def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count_if(score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
+    r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count(*) FILTER (WHERE score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
     (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:\s*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
     (SELECT lang, 'SCORE: ' || CAST(coalesce(n_chars, 0) % 7 AS VARCHAR) || chr(10) || 'REASONING: ' || coalesce(substr(text, 1, 30), '') AS x FROM documents)) GROUP BY lang"""
 )
