@@ -244,6 +244,12 @@ def query_words(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "text", "lang").where("lang in ('en', 'nb', 'de')").select("doc_id", T.query_text(F.col("text")).alias("words"))
 
 
+@query()
+def query_words_whole(s: SparkSession, d: str) -> DataFrame:
+    """The words of every document, whatever its language; no SQL, as DuckDB's lower() differs for some letters."""
+    return table(s, d, "documents", "doc_id", "text").select("doc_id", T.query_text(F.col("text")).alias("words"))
+
+
 @query("SELECT sha256(text) AS content, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_groups(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "text").where("text is not null").groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
