@@ -68,3 +68,57 @@ def test_table(spark):
     assert {r.record_id: r.n_readings for r in n.collect()} == {"a": 1, "b": 0, "c": 0, "d": 2, "e": 1}
     assert {(r.email_id, r.sent_us) for r in one_instant(n).collect()} == {("a", 1706781600000000), ("e", 1704481572000000)}
     assert normalise(df.limit(0), zones).count() == 0
+
+
+def _mailbox(n, seed):
+    """Values of one mailbox in order of arrival, most of them with several readings."""
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(seed)
+    t, rows = datetime(2024, 1, 1, 8), []
+    forms = ["%d/%m/%Y %H:%M", "%m/%d/%Y %H:%M", "%d.%m.%Y %H:%M", "%Y-%m-%dT%H:%M:%SZ", "%m-%d-%Y %H:%M"]
+    for i in range(n):
+        t += timedelta(hours=rnd.choice([1, 5, 30, -20]))
+        rows.append((f"{i:06d}", rnd.choice(["n/a", None]) if rnd.random() < 0.05 else t.strftime(rnd.choices(forms, [8, 4, 4, 1, 4])[0])))
+    return rows
+
+
+@pytest.mark.parametrize("look", [8, 4096])
+def test_paths_do_not_depend_on_cuts(monkeypatch, look):
+    import pandas as pd
+
+    from halyard.operators import timestamps
+
+    monkeypatch.setattr(timestamps, "LOOK", look)
+    records = [("a", "UTC", "dmy", _mailbox(150, 1)), ("b", "Europe/Berlin", None, _mailbox(150, 2)), ("c", None, None, _mailbox(9, 3)), ("d", "UTC", "mdy", [(f"{i}", "03/04/2024 10:00") for i in range(9)])]
+    rows = [(p, i, v, home, order, "emails", f"{p}{i}") for p, home, order, box in records for i, v in box]
+    expected = {}
+    for p, home, order, box in records:
+        read = [(f"{p}{i}", o) for i, v in box if (o := interpretations(v, home, order))]
+        expected |= {k: (x[0], x[2]) for (k, _), x in zip(read, best_path([o for _, o in read]))} if read else {}
+    columns = ["path", "ord", "value", "home_zone", "date_order", "record_type", "record_id"]
+    for size in (1, 2, 3, 7, 40, 1000):
+        cut = [pd.DataFrame(rows[i : i + size], columns=columns) for i in range(0, len(rows), size)]
+        staged = pd.concat([df for part in cut for df in timestamps._parts(iter([part]))])
+        joints = staged[staged.kind != timestamps.DONE].sort_values(["path", "ord"], kind="stable")[[*columns, "kind", "format", "sent_us"]]
+        out = pd.concat([staged[staged.kind == timestamps.DONE], *timestamps._joints(iter([joints]))])
+        assert sorted(out.record_id) == sorted(r[6] for r in rows)
+        assert {r.record_id: (r.format, r.sent_us) for r in out.itertuples() if isinstance(r.format, str)} == expected
+
+
+def test_table_does_not_depend_on_partitions(spark):
+    rows = [("emails", f"{i}", "m", i, v) for i, v in _mailbox(400, 5)]
+    df = spark.createDataFrame(rows, "record_type string, record_id string, source string, ord string, value string")
+    zones = spark.createDataFrame([("m", "UTC", None)], "mailbox string, home_zone string, date_order string")
+    read = [(i, o) for i, v in _mailbox(400, 5) if (o := interpretations(v, "UTC", None))]
+    expected = {i: x[2] for (i, _), x in zip(read, best_path([o for _, o in read]))}
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.record_id: r.sent_us for r in normalise(df, zones).collect() if r.sent_us is not None} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
