@@ -14,6 +14,8 @@ from halyard.functions.text import strip
 Provider = Callable[[str], str]
 #: Fixed value: characters a token is estimated at before a call.
 CHARS_PER_TOKEN = 3
+#: Fixed value: signs that end a line.
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def first_sentences(prompt: str, n: int = 2) -> str:
@@ -50,12 +52,13 @@ def complete(df: DataFrame, key: str, prompt: Column, provider: Provider = first
 
 
 def labelled_line(text: Column, label: str) -> Column:
-    """The rest of the last line that begins with a label and a colon, in any case; null where it is blank or missing."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?im)^[ \t]*{label}:[ \t]*([^\n]*)$"), F.lit(1))
+    """The rest of the last line that begins with a label and a colon, in any case; null where it is blank or missing. Every sign that ends a line counts, also those of whole texts."""
+    lines = F.regexp_replace(text, LINE_END, "\n")
+    found = F.regexp_extract_all(lines, F.lit(rf"(?imU)^[\s&&[^\n]]*{label}:([^\n]*)$"), F.lit(1))
     return F.nullif(strip(F.when(F.size(found) > 0, F.element_at(found, -1))), F.lit(""))
 
 
 def judgement(text: Column) -> tuple[Column, Column]:
     """(score from 1 to 5, reasoning) of an answer's judgement, null where they are missing."""
-    score = F.nullif(F.regexp_extract(text, r"SCORE:\s*([1-5])", 1), F.lit("")).cast("int")
-    return score, F.nullif(strip(F.regexp_extract(text, r"REASONING:\s*([^\n]+)", 1)), F.lit(""))
+    score = F.nullif(F.regexp_extract(text, r"(?U)SCORE:\s*([1-5])", 1), F.lit("")).cast("int")
+    return score, F.nullif(strip(F.regexp_extract(text, r"(?U)REASONING:\s*([^\n]+)", 1)), F.lit(""))

@@ -430,6 +430,20 @@ def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "source", "text").select("doc_id", providers.labelled_line(x, "DOCUMENT_TYPE").alias("document_type"), providers.labelled_line(x, "SUMMARY").alias("summary"))
 
 
+_ENDS = r"'\r\n|[\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]'"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_replace('document_type: draft' || chr(10) || 'DOCUMENT_TYPE: ' || coalesce(source, '') || chr(10) || 'Summary: ' || coalesce(text, ''), {_ENDS}, chr(10), 'g') AS x FROM documents),
+    l AS (SELECT doc_id, regexp_extract_all(x, '(?im)^[\t\p{{Z}}]*DOCUMENT_TYPE:([^\n]*)$', 1) AS a, regexp_extract_all(x, '(?im)^[\t\p{{Z}}]*SUMMARY:([^\n]*)$', 1) AS b FROM t)
+    SELECT doc_id, nullif(regexp_replace(a[len(a)], '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '') AS document_type, nullif(regexp_replace(b[len(b)], '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '') AS summary FROM l"""
+)
+def parsed_classifications_whole(s: SparkSession, d: str) -> DataFrame:
+    """Answers that hold the whole text, with its own line ends and labels."""
+    x = F.concat(F.lit("document_type: draft\nDOCUMENT_TYPE: "), F.coalesce("source", F.lit("")), F.lit("\nSummary: "), F.coalesce("text", F.lit("")))
+    return table(s, d, "documents", "doc_id", "source", "text").select("doc_id", providers.labelled_line(x, "DOCUMENT_TYPE").alias("document_type"), providers.labelled_line(x, "SUMMARY").alias("summary"))
+
+
 @query(
     r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count(*) FILTER (WHERE score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
     (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:\s*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
@@ -442,6 +456,28 @@ def judged_by_language(s: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 4).alias("good"), F.count("reasoning").alias("explained"))
 
 
+_JUDGED = r"""SELECT doc_id, lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:[\s\p{Z}\x{0085}]*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:[\s\p{Z}\x{0085}]*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
+    (SELECT doc_id, lang, 'SCORE: ' || CAST(coalesce(n_chars, 0) % 7 AS VARCHAR) || chr(10) || 'REASONING: ' || coalesce(text, '') AS x FROM documents)"""
+
+
+@query(f"SELECT doc_id, score, reasoning FROM ({_JUDGED})")
+def judgements_whole(s: SparkSession, d: str) -> DataFrame:
+    """Score and reasoning of answers that hold the whole text."""
+    return _judged(s, d).select("doc_id", "score", "reasoning")
+
+
+@query(f"SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count(*) FILTER (WHERE score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM ({_JUDGED}) GROUP BY lang")
+def judged_by_language_whole(s: SparkSession, d: str) -> DataFrame:
+    """Measures by language of answers that hold the whole text."""
+    return _judged(s, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 4).alias("good"), F.count("reasoning").alias("explained"))
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    x = F.concat(F.lit("SCORE: "), (F.coalesce("n_chars", F.lit(0)) % 7).cast("string"), F.lit("\nREASONING: "), F.coalesce("text", F.lit("")))
+    score, reasoning = providers.judgement(x)
+    return table(s, d, "documents", "doc_id", "lang", "n_chars", "text").select("doc_id", "lang", score.alias("score"), reasoning.alias("reasoning"))
+
+
 # Retrieval and its measures
 
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
