@@ -183,6 +183,45 @@ def extend(x: str, y: str, i: int, j: int, k: int = K) -> tuple[int, int, int]:
     return i - back, j - back, back + on
 
 
+def periodic_runs(x: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches of x with a period of at most K that hold LEAST or more of x[start:end]."""
+    runs, q = [], start
+    while q + LEAST - 64 <= end:  # any LEAST of a stretch hold a q with a whole look-around
+        here: list[tuple[int, int, int]] = []
+        d = x.find(x[q : q + 32], q + 1, q + 32 + K) - q
+        while d > 0:
+            if all(d % r[2] for r in here):  # a multiple has the same stretch
+                s, _, n = extend(x, x, q, q + d, 32)
+                if min(s + n + d, end) - max(s, start) >= LEAST:
+                    here.append((s, s + n + d, d))
+            d = x.find(x[q : q + 32], q + d + 1, q + 32 + K) - q
+        runs += here
+        q = max([q + 64, *(r[1] - LEAST for r in here)])
+    return list(dict.fromkeys(runs))
+
+
+def repeats(x: str, y: str, i: int, j: int, n: int) -> list[tuple[int, int, int]]:
+    """(start in x, start in y, length) of further equal spans of x and y beside x[i:i+n], where x goes on with a
+    period beyond it (winnow keeps only the ends of such stretches), and those at which the ends of both stretches meet."""
+    found = []
+    for s, e, d in periodic_runs(x, i, i + n):
+        p, length = max(s, i), min(e, i + n) - max(s, i)
+        step = length // d
+        up, down = (e - p - length) // d, (p - s) // d
+        for m in {*range(step, up, step), up, up + 1, *range(-step, -down, -step), -down, -down - 1} - {0}:
+            at, stop = max(s, p + m * d), min(e, p + m * d + length)
+            if stop - at >= LEAST:
+                found.append((at, at - m * d - i + j, stop - at))
+        q = p - i + j
+        first, _, size = extend(y, y, q, q + d, min(K, length - d))
+        last = first + size + d
+        for u, v in ((s, first), (e - K, last - K)):
+            span = extend(x, y, u, v)
+            if span[2] >= LEAST:
+                found.append(span)
+    return found
+
+
 def _extend_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -196,6 +235,8 @@ def _extend_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     done = i + n - K + 1
                 if n >= LEAST:
                     rows.append((r.a, r.b, i, j, n))
+                    rows += [(r.a, r.b, *s) for s in repeats(r.ta, r.tb, i, j, n)]
+                    rows += [(r.a, r.b, v, u, w) for u, v, w in repeats(r.tb, r.ta, j, i, n)]
         yield pd.DataFrame(rows, columns=["a", "b", "pa", "pb", "n"]).astype("int64")
 
 

@@ -84,3 +84,25 @@ def test_extend(a, b, n):
     x, y = "0" * a + s + "1", "2" * b + s + "3" * 9
     for at in (0, (n - 100) // 2, n - 100):
         assert extend(x, y, a + at, b + at) == (a, b, n)
+
+
+def covered(x, others):
+    """Brute force: characters of x in windows of 200 that another text holds."""
+    marks = set()
+    for i in range(len(x) - 199):
+        if any(x[i : i + 200] in y for y in others):
+            marks.update(range(i, i + 200))
+    return len(marks)
+
+
+def test_long_periodic_stretches_are_covered(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    unit, bars = word(37), "-" * 60 + word(40)
+    docs = {
+        1: word(30) + "-" * 1000 + word(30), 2: word(10) + "-" * 300 + word(20), 3: "Z" + unit * 40 + word(5), 4: word(9) + (unit * 9)[5:260],
+        5: bars * 12, 6: word(3) + (bars * 5)[11:320] + word(8), 7: word(40) + "xy" * 400 + word(200), 8: "xy" * 101 + word(9),
+    }
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.shared_chars for r in shared_part(df).collect()}
+    assert got == {k: covered(x, [y for i, y in docs.items() if i != k]) for k, x in docs.items()} and got[1] >= 1000
