@@ -103,17 +103,17 @@ def _number(s: str) -> list[tuple[str, int]] | None:
     return []
 
 
-def interpretations(value: str | None, home: str | None = None, order: str | None = None) -> list[tuple[str, bool, int]]:
-    """All (format, as declared, microseconds UTC) that a value can mean.
+def interpretations(value: str | None, home: str | None = None, order: str | None = None) -> list[tuple[str, int]]:
+    """All (format, microseconds UTC) that a value can mean.
 
-    home is the IANA zone of the value's source, order its `dmy` or `mdy`; either may be None. "As
-    declared" holds for readings that follow the source's order of day and month (all if none is known).
-    A value without zone information has no reading if home is None.
+    home is the IANA zone of the value's source, order its `dmy` or `mdy`; either may be None. Where the
+    order is known, days and months in digits have no other reading; else both count. A value without zone
+    information has no reading if home is None.
     """
-    if value is None or not (s := value.strip()) or len(s) > 200:
+    if value is None or not (s := value.strip()):
         return []
     if s.isdigit() and s.isascii() and (out := _number(s)) is not None:
-        return [(f, True, us) for f, us in out]
+        return out
     for name, pattern in _COMPILED:
         if m := pattern.fullmatch(s):
             break
@@ -134,13 +134,14 @@ def interpretations(value: str | None, home: str | None = None, order: str | Non
         dates = [("", MONTH_OF.get(g["mn"].lower(), 0), int(g["d"]))]
     else:
         dates = [("", int(g["m"]), int(g["d"]))]
-    out: dict[tuple[str, bool, int], None] = {}
+    out: dict[tuple[str, int], None] = {}
     for o, month, day in dates:
+        if o and order and o != order:
+            continue
         try:
             t = datetime(year, month, day, hour, minute, second, micro)
         except ValueError:
             continue
-        declared = not o or not order or o == order
         local = (t - _EPOCH) // _US
         if z := g.get("zo"):
             z = z.replace("−", "-").replace(":", "")
@@ -153,5 +154,5 @@ def interpretations(value: str | None, home: str | None = None, order: str | Non
         else:
             found = _wall(t, zone) if home and (zone := _zone(home)) else []
         for us in found:
-            out[(name + o, declared, us)] = None
+            out[(name + o, us)] = None
     return list(out)

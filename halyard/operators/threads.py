@@ -7,43 +7,27 @@ smallest label over links and then jumping along labels, with the state written
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.text import normalize_subject, uuid5
+from halyard.sources.staging import staged
 
 #: Fixed value: namespace of thread ids.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 MAX_ROUNDS = 60
 
 
-def _folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='halyard-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root): every node with the smallest id of its component. links: a, b in any direction, with repeats."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = _written(both, "links")
-    state = _written(nodes.select("id").distinct().withColumn("root", F.col("id")), "roots")
+    both = staged(both, "links")
+    state = staged(nodes.select("id").distinct().withColumn("root", F.col("id")), "roots")
     for _ in range(MAX_ROUNDS):
         near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         step = state.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = _written(step.join(jump, "root", "left").select("id", "old", F.coalesce("up", "root").alias("root")), "roots")
+        new = staged(step.join(jump, "root", "left").select("id", "old", F.coalesce("up", "root").alias("root")), "roots")
         changed = new.where("old <> root").limit(1).count()
         state = new.select("id", "root")
         if not changed:
@@ -71,7 +55,7 @@ def threads(messages: DataFrame) -> DataFrame:
 
     The first message of a thread is the earliest by sent_at (a missing one comes first), then by id.
     """
-    links = _written(thread_links(messages), "thread_links")
+    links = staged(thread_links(messages), "thread_links")
     nodes = messages.select("id").unionByName(links.select(F.col("b").alias("id")))
     roots = components(nodes, links).join(messages.select("id"), "id", "left_semi")
     rows = messages.select("id", "group_key", "sent_at", normalize_subject(F.col("subject")).alias("topic")).join(roots, "id")

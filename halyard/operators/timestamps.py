@@ -9,39 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.timestamps import interpretations
-from halyard.operators.threads import _written
+from halyard.sources.staging import staged
 
 FORMAT_SWITCH = 1.0
 BACKWARD_JUMP = 2.0
-UNDECLARED = 8.0
 JUMP_US = 86_400_000_000
 
 
-def _tables(options: list[list[tuple[str, bool, int]]], before: tuple[str, bool, int] | None) -> tuple[list[int], list[list[int]]]:
+def _tables(options: list[list[tuple[str, int]]], before: tuple[str, int] | None) -> tuple[list[int], list[list[int]]]:
     """Viterbi's costs of the last record's readings and, for each record but the first, the best reading before.
 
     Costs are whole microseconds of a jump of one day, so that sums are exact wherever a path is taken up.
     """
-    switch, undeclared = round(FORMAT_SWITCH * JUMP_US), round(UNDECLARED * JUMP_US)
+    switch = round(FORMAT_SWITCH * JUMP_US)
 
     def step(a: tuple, b: tuple) -> int:
-        return switch * (a[0] != b[0]) + round(BACKWARD_JUMP * min(10 * JUMP_US, max(0, a[2] - b[2])))
+        return switch * (a[0] != b[0]) + round(BACKWARD_JUMP * min(10 * JUMP_US, max(0, a[1] - b[1])))
 
-    own = lambda x: undeclared * (not x[1])
-    cost = [own(x) + (step(before, x) if before else 0) for x in options[0]]
+    cost = [step(before, x) if before else 0 for x in options[0]]
     back: list[list[int]] = []
     for prev, here in zip(options, options[1:]):
         row, nxt = [], []
         for x in here:
             c, k = min((cost[i] + step(p, x), i) for i, p in enumerate(prev))
             row.append(k)
-            nxt.append(c + own(x))
+            nxt.append(c)
         back.append(row)
         cost = nxt
     return cost, back
 
 
-def _trace(options: list, back: list[list[int]], last: int, k: int) -> list[tuple[str, bool, int]]:
+def _trace(options: list, back: list[list[int]], last: int, k: int) -> list[tuple[str, int]]:
     """The path that ends with reading k of record `last`."""
     path = [options[last][k]]
     for i in range(last - 1, -1, -1):
@@ -50,18 +48,17 @@ def _trace(options: list, back: list[list[int]], last: int, k: int) -> list[tupl
     return path[::-1]
 
 
-def best_path(options: list[list[tuple[str, bool, int]]], before: tuple[str, bool, int] | None = None) -> list[tuple[str, bool, int]]:
+def best_path(options: list[list[tuple[str, int]]], before: tuple[str, int] | None = None) -> list[tuple[str, int]]:
     """Viterbi over the records of one source; every list holds a record's readings (at least one).
 
-    The cost of a path counts changes of format, jumps back in time (in days, at most 10 a step) and
-    readings against the source's declared order of day and month. `before` is the last chosen reading.
-    Ties fall to the earlier reading of the list.
+    The cost of a path counts changes of format and jumps back in time (in days, at most 10 a step).
+    `before` is the last chosen reading. Ties fall to the earlier reading of the list.
     """
     cost, back = _tables(options, before)
     return _trace(options, back, len(options) - 1, min(range(len(cost)), key=cost.__getitem__))
 
 
-def settled_path(options: list[list[tuple[str, bool, int]]], before: tuple[str, bool, int] | None = None) -> list[tuple[str, bool, int]]:
+def settled_path(options: list[list[tuple[str, int]]], before: tuple[str, int] | None = None) -> list[tuple[str, int]]:
     """The part of the path that no later record can change: up to where the paths to all readings of the last record meet."""
     _, back = _tables(options, before)
     ends = set(range(len(options[-1])))
@@ -92,10 +89,10 @@ def _decide(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFra
     started, first = whole, True  # started: what precedes in this path is known
 
     def row(kind: int, r: tuple, x: tuple | None, n: int) -> tuple:
-        return (kind, *(r[:5] if kind != DONE else (None,) * 5), r[5], r[6], x[0] if x else None, x[2] if x else None, n)
+        return (kind, *(r[:5] if kind != DONE else (None,) * 5), r[5], r[6], x[0] if x else None, x[1] if x else None, n)
 
     def readings(n: list) -> int:
-        return len({y[2] for y in n if y[1]})
+        return len({y[1] for y in n})
 
     def give(n: int, chosen: list) -> list[tuple]:
         """The first n held rows with their readings."""
@@ -117,7 +114,7 @@ def _decide(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFra
                 out += close(None)
                 path, before, edge, started, first = r[0], None, None, whole or not first, False
             fixed = whole and b.kind == EDGE
-            options = [(b.format, True, int(b.sent_us))] if fixed else interpretations(*r[2:5])
+            options = [(b.format, int(b.sent_us))] if fixed else interpretations(*r[2:5])
             if not options:
                 out.append(row(DONE, r, None, 0))
             elif len(options) > 1 and not started:
@@ -135,7 +132,7 @@ def _decide(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFra
                     out.append(row(EDGE, r, options[0], 0))
                 before, edge, started = options[0], r, True
                 if not fixed:
-                    out.append(row(DONE, r, before, int(before[1])))
+                    out.append(row(DONE, r, before, 1))
         yield _frame(out)
     if whole:
         yield _frame(close(None))
@@ -157,7 +154,10 @@ def _frame(out: list[tuple]) -> pd.DataFrame:
 
 
 def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per record: its chosen format, instant (microseconds UTC) and number of declared readings.
+    """One row per record: its chosen format, instant (microseconds UTC) and number of instants it can denote.
+
+    A source that states its order of day and month has only readings in that order; of the others all count.
+    A value with one reading is settled by it, so the path only chooses where a value can mean several instants.
 
     records: record_type, record_id, source, ord, value (other columns are ignored); sources: mailbox,
     home_zone, date_order. The rows of a source are put in order over as many partitions as needed, so a
@@ -171,7 +171,7 @@ def normalise(records: DataFrame, sources: DataFrame) -> DataFrame:
     one = one.join(known, "source", "left")
     ordered = one.withColumn("path", F.concat_ws("|", "record_type", "source")).repartitionByRange("path", "ord", "record_id").sortWithinPartitions("path", "ord", "record_id", "value")
     parts = ordered.select("path", "ord", "value", "home_zone", "date_order", "record_type", "record_id").mapInPandas(_parts, _STAGED)
-    parts = _written(parts, "timestamps")
+    parts = staged(parts, "timestamps")
     joints = parts.where(f"kind <> {DONE}").repartition("path").sortWithinPartitions(*_KEYS)
     joints = joints.select("path", "ord", "value", "home_zone", "date_order", "record_type", "record_id", "kind", "format", F.col("sent_us").cast("string").alias("sent_us"))
     return parts.where(f"kind = {DONE}").select(*_OUT).unionByName(joints.mapInPandas(_joints, ", ".join(f"{c} {k}" for c, k in _OUT.items())))

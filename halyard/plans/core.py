@@ -13,11 +13,12 @@ from halyard.sources.tables import table
 
 
 def _sent_records(spark: SparkSession, d: str) -> DataFrame:
-    emails = table(spark, d, "emails").select(
-        F.lit("emails").alias("record_type"), F.col("email_id").alias("record_id"), F.col("mailbox").alias("source"), F.date_format(F.col("ingested_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ord"), F.col("sent_at").alias("value")
-    )
-    parsed = table(spark, d, "parsed_eml").select(F.lit("parsed_eml").alias("record_type"), F.col("email_id").alias("record_id"), F.col("mailbox").alias("source"), F.col("eml_path").alias("ord"), F.col("sent_at").alias("value"))
-    return emails.unionByName(parsed)
+    """Both kinds of records in their mailbox's order of arrival: a parsed message arrived with its first export, one that isn't in emails counts as last."""
+    emails = table(spark, d, "emails").select("email_id", "mailbox", "sent_at", F.date_format(F.col("ingested_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ord"))
+    arrival = emails.where("email_id is not null").groupBy("email_id").agg(F.min("ord").alias("ord"))
+    parsed = table(spark, d, "parsed_eml", "email_id", "mailbox", "sent_at").join(arrival, "email_id", "left").withColumn("ord", F.coalesce("ord", F.lit("~")))
+    one = lambda df, kind: df.select(F.lit(kind).alias("record_type"), F.col("email_id").alias("record_id"), F.col("mailbox").alias("source"), "ord", F.col("sent_at").alias("value"))
+    return one(emails, "emails").unionByName(one(parsed, "parsed_eml"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
