@@ -1,9 +1,8 @@
 """Encoding of a corpus with a public byte-level BPE, as a streaming transducer with bounded lookahead.
 
-A text is fed block by block. The pre-tokeniser's last piece stays open until what follows can't change it;
-closed pieces are merged by rank. A piece that goes on for long (digits, one letter over and over) isn't kept
-whole: for every prefix of its bytes only the last token is tracked, and tokens are emitted once all prefixes
-that can still matter agree on them, at the latest after the lookahead that suffices for the merge list.
+A text is fed block by block. The pre-tokeniser's last piece stays open until what follows can't change it. Of
+the bytes of a piece only the last token of every prefix is tracked; a token is emitted once the piece has gone
+on for the lookahead that suffices for the merge list, or has ended, and what was emitted is forgotten.
 """
 
 from __future__ import annotations
@@ -21,9 +20,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-tokeniser of byte_bpe_50k, as its description states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 1 << 16
-LONG = 64
-CACHE = 1 << 18
+#: Code points fed at a time, and how many of an open piece are kept as text before its bytes go on by themselves.
+BLOCK, OPEN = 1 << 14, 1 << 12
+#: Bytes of a piece between looks for tokens that are stable.
+STEP = 1 << 6
+#: Entries of the caches, and bytes of the pieces that are cached.
+CACHE, CACHED = 1 << 18, 64
 DEFAULT_FOLDER = "/opt/tokenizers"
 
 _CLASSES = tuple((c, regex.compile(p)) for c, p in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+"), ("P", r"[^\s\p{L}\p{N}]+")))
@@ -35,46 +37,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
-    """Bytes after which no continuation can change a token any more.
+def sufficient_lookahead(ranks: dict[bytes, int]) -> dict[int, int]:
+    """For every token the bytes after its end that can still undo it; what comes later can't.
 
-    A merge (u, v) is undone from the right only by an earlier merge (x, y) whose x is an end of v; that one
-    only by a still earlier merge on an end of y, and so on. Every link of such a chain reaches at most one
-    token further, so the longest chain times the longest token suffices.
+    The merge of u and v to a token is only undone from the right by an earlier merge of x and y, where x is an
+    end of v; whether y is there at that time depends on its own bytes and on what can undo it by merges earlier
+    still. Going through the merges by rank, the reach of x is the greatest size of such a y with what lies beyond.
     """
-    best: dict[bytes, int] = {}
-    longest_chain = 1
-    for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
-        if len(token) < 2:
-            continue
-        chain = 1
+    reach: dict[int, int] = {}
+    best: dict[bytes, int] = {}  # reach of an end x by the merges so far
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
         splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-        for _, v in splits:
-            for i in range(len(v)):
-                chain = max(chain, 1 + best.get(v[i:], 0))
-        for u, _ in splits:
-            best[u] = max(best.get(u, 0), chain)
-        longest_chain = max(longest_chain, chain)
-    return longest_chain * max(map(len, ranks))
+        far = max((best.get(v[i:], 0) for _, v in splits for i in range(len(v))), default=0)
+        for u, v in splits:
+            best[u] = max(best.get(u, 0), len(v) + far)
+        reach[rank] = far
+    return {rank: max(reach[rank], best.get(token, 0)) for token, rank in ranks.items()}  # it may itself be taken by a later merge
 
 
 class Bpe:
-    """Merges by rank, and the streaming of pieces of any length."""
+    """A vocabulary with its merges and sufficient lookahead; caches are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], lookahead: dict[int, int] | None = None) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.lookahead = lookahead or sufficient_lookahead(ranks)
         self.cache: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}
         self.pieces = regex.compile(PATTERN).findall
         self.match = regex.compile(PATTERN).match
+        self.texts = self.runs = 0  # texts and distinct pieces that went through the transducer
 
     def merge(self, raw: bytes) -> list[int]:
-        """Ids of one piece: of all adjacent pairs the one of the lowest rank is merged, again and again."""
+        """Ids of a few bytes by the definition: of all adjacent pairs the one of the lowest rank is merged, again and again."""
         ranks = self.ranks
-        if (whole := ranks.get(raw)) is not None:
-            return [whole]
         parts = [raw[i : i + 1] for i in range(len(raw))]
         pairs = [ranks.get(raw[i : i + 2], 1 << 30) for i in range(len(raw) - 1)]
         while pairs and (low := min(pairs)) < 1 << 30:
@@ -87,6 +85,12 @@ class Bpe:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
         return [ranks[p] for p in parts]
 
+    def stands(self, token: int) -> bool:
+        """Whether a token's bytes are encoded as that token."""
+        if (v := self.whole.get(token)) is None:
+            v = self.whole[token] = self.merge(self.bytes_of[token]) == [token]
+        return v
+
     def adjacent(self, a: int, b: int) -> bool:
         """Whether the tokens a and b stay apart when they are merged together."""
         key = (a, b)
@@ -96,90 +100,76 @@ class Bpe:
             v = self.fits[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return v
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode("utf-8", "surrogatepass")
-        if len(raw) <= LONG:
-            ids = tuple(self.merge(raw))
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[text] = ids
-            return ids
-        run, out = LongPiece(self), []
-        run.push(raw, out)
-        run.close(out)
-        return tuple(out)
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        if len(text) <= BLOCK:
-            self._closed(text, out)
-        else:
-            stream = Transducer(self)
-            for i in range(0, len(text), BLOCK):
-                stream.push(text[i : i + BLOCK], out)
-            stream.close(out)
+        stream = Transducer(self)
+        for i in range(0, len(text), BLOCK):
+            stream.push(text[i : i + BLOCK], out)
+        stream.close(out)
         return out
 
-    def _closed(self, text: str, out: list[int]) -> None:
-        get, add, piece = self.cache.get, out.extend, self.piece
-        for p in self.pieces(text):
-            add(get(p) or piece(p))
-
 
-class LongPiece:
+class Piece:
     """Tokens of one piece whose bytes arrive bit by bit.
 
     The encoding of a prefix ends with the one token that ends there, is itself the encoding of its bytes and
     stays apart from the last token of the encoding before it. So the last token of every prefix gives the
-    encodings of all prefixes; the final one runs through a prefix among the last `longest` ones.
+    encodings of all prefixes. A token whose sufficient lookahead has gone by is the same whatever follows: it is
+    emitted with all before it, and their bytes are forgotten.
     """
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
-        self.raw = bytearray()
+        self.raw = b""
         self.last: list[int] = []  # token that ends after byte i + 1
         self.before = -1  # last token emitted
+        bpe.runs += 1
 
     def push(self, raw: bytes, out: list[int]) -> None:
-        bpe, ranks = self.bpe, self.bpe.ranks
-        for byte in raw:
-            self.raw.append(byte)
-            n = len(self.raw)
-            for size in range(min(n, bpe.longest), 0, -1):
-                token = ranks.get(bytes(self.raw[n - size : n]))
+        for i in range(0, len(raw), STEP):
+            self._feed(raw[i : i + STEP])
+            self._emit(out)
+
+    def _feed(self, raw: bytes) -> None:
+        bpe, last, before = self.bpe, self.last, self.before
+        get, longest, fits, whole = bpe.ranks.get, bpe.longest, bpe.fits.get, bpe.whole.get
+        at = len(self.raw)
+        self.raw = raw = self.raw + raw
+        for end in range(at + 1, len(raw) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(raw[start:end])
                 if token is None:
                     continue
-                left = self.last[n - size - 1] if n > size else self.before
-                if (left < 0 or bpe.adjacent(left, token)) and (size == 1 or bpe.merge(bpe.bytes_of[token]) == [token]):
-                    self.last.append(token)
-                    break
-            if n >= 4 * bpe.longest and n % bpe.longest == 0:
-                self._emit(out)
-
-    def _path(self, end: int) -> list[int]:
-        ids = []
+                left = last[start - 1] if start else before
+                if left >= 0 and (ok := fits((left, token))) is not True and (ok is False or not bpe.adjacent(left, token)):
+                    continue
+                if end - start > 1 and whole(token) is not True and not bpe.stands(token):
+                    continue
+                last.append(token)
+                break
+
+    def _path(self, end: int) -> tuple[list[int], list[int]]:
+        """Tokens of the prefix and where they end."""
+        ids, ends = [], []
         while end > 0:
             ids.append(self.last[end - 1])
+            ends.append(end)
             end -= len(self.bpe.bytes_of[ids[-1]])
-        return ids[::-1]
+        return ids[::-1], ends[::-1]
 
     def _emit(self, out: list[int]) -> None:
-        """Emits what the encodings of all prefixes that can still matter have in common."""
-        size = [len(self.bpe.bytes_of[t]) for t in self.last]
-        live = set(range(len(self.last) - self.bpe.longest + 1, len(self.last) + 1))
-        while len(live) > 1 and (top := max(live)) > 0:
-            live.remove(top)
-            live.add(top - size[top - 1])
-        end = max(live)
-        if end > 0:
-            ids = self._path(end)
-            out.extend(ids)
-            self.before = ids[-1]
-            del self.raw[:end], self.last[:end]
+        """Emits up to the last token that the bytes after it can't undo; the encoding before it then stands, too."""
+        n, far = len(self.last), self.bpe.lookahead
+        ids, ends = self._path(n)
+        k = next((k for k in range(len(ids), 0, -1) if n - ends[k - 1] >= far[ids[k - 1]]), 0)
+        if k:
+            out.extend(ids[:k])
+            self.before = ids[k - 1]
+            self.raw, self.last = self.raw[ends[k - 1] :], self.last[ends[k - 1] :]
 
     def close(self, out: list[int]) -> None:
-        out.extend(self._path(len(self.last)))
-        self.raw, self.last, self.before = bytearray(), [], -1
+        out.extend(self._path(len(self.last))[0])
+        self.raw, self.last, self.before = b"", [], -1
 
 
 class Transducer:
@@ -188,40 +178,60 @@ class Transducer:
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
         self.buffer = ""
-        self.run: LongPiece | None = None
+        self.run: Piece | None = None
         self.kind = None
+        bpe.texts += 1
 
     def push(self, block: str, out: list[int]) -> None:
         self.buffer += block
         if self.run is not None and not self._run_on(out):
             return
-        if len(self.buffer) < 2 * BLOCK:
-            return
-        self._cut(out)
-
-    def _cut(self, out: list[int]) -> None:
-        """Encodes up to the last place where a text that goes on can't change the pieces: before white space that follows something else."""
+        # White space that follows something else: what goes on can't change the pieces before it.
         text = self.buffer
-        for i in range(len(text) - 2, 0, -1):
-            if text[i].isspace() and not text[i - 1].isspace() and i > len(text) // 2:
-                self.bpe._closed(text[:i], out)
-                self.buffer = text[i:]
-                return
-            if i <= len(text) // 2:
-                break
-        # No such place in half of the buffer: whole pieces, then the long one bit by bit.
-        at = 0
+        at = max(text.rfind(" "), text.rfind("\n"))
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        if at > 0:
+            self._encode(self.bpe.pieces(text[:at]), out)
+            self.buffer = text[at:]
+        if len(self.buffer) > OPEN:
+            self._open(out)
+
+    def _encode(self, pieces: list[str], out: list[int]) -> None:
+        get, add, piece = self.bpe.cache.get, out.extend, self._piece
+        for p in pieces:
+            add(get(p) or piece(p))
+
+    def _piece(self, text: str) -> tuple[int, ...]:
+        bpe, ids = self.bpe, []
+        raw = text.encode("utf-8", "surrogatepass")
+        run = Piece(bpe)
+        if (whole := bpe.ranks.get(raw)) is not None and bpe.stands(whole):
+            ids.append(whole)
+        else:
+            run.push(raw, ids)
+            run.close(ids)
+        found = tuple(ids)
+        if len(raw) <= CACHED:
+            if len(bpe.cache) >= CACHE:
+                bpe.cache.clear()
+            bpe.cache[text] = found
+        return found
+
+    def _open(self, out: list[int]) -> None:
+        """A buffer without such a place: pieces that end well before its end are closed, the bytes of the open one go on by themselves."""
+        text, at = self.buffer, 0
         while at < len(text) - 8:
             end = self.bpe.match(text, at).end()
             if end >= len(text) - 8:
                 break
-            out.extend(self.bpe.cache.get(p := text[at:end]) or self.bpe.piece(p))
+            self._encode([text[at:end]], out)
             at = end
         self.buffer = text[at:]
-        if len(self.buffer) >= BLOCK // 2:
-            self.run, first = LongPiece(self.bpe), self.buffer[1] if self.buffer[0] == " " and not self.buffer[1].isspace() else self.buffer[0]
-            self.kind = next(p for _, p in _CLASSES if p.match(first))
+        if len(self.buffer) > OPEN // 2:
             head = self.buffer[0] == " " and not self.buffer[1].isspace()
+            self.run = Piece(self.bpe)
+            self.kind = next(p for _, p in _CLASSES if p.match(self.buffer[head]))
             if head:
                 self.run.push(b" ", out)
                 self.buffer = self.buffer[1:]
@@ -251,7 +261,7 @@ class Transducer:
                 self.buffer = ""
             self.run.close(out)
             self.run = None
-        self.bpe._closed(self.buffer, out)
+        self._encode(self.bpe.pieces(self.buffer), out)
         self.buffer = ""
 
 
@@ -280,14 +290,15 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     vocabulary (50,256 tokens, under 2 MB).
     """
     spark: SparkSession = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(vocabulary(folder))
+    words = vocabulary(folder)
+    shared = spark.sparkContext.broadcast((words, sufficient_lookahead(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(ranks.value)
+        bpe = Bpe(*shared.value)
         for b in batches:
             flat, offsets = array("i"), array("i", [0])
-            for t in b.column(1).to_pylist():
-                if t:
+            for cell in b.column(1):
+                if t := cell.as_py():
                     flat.extend(bpe.encode(t))
                 offsets.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))

@@ -21,7 +21,8 @@ def reference():
 
 
 def test_blocks_give_the_ids_of_the_whole(bpe, reference, monkeypatch):
-    monkeypatch.setattr(T, "BLOCK", 64)
+    monkeypatch.setattr(T, "OPEN", 64)
+    monkeypatch.setattr(T, "STEP", 7)
     rnd = random.Random(3)
     for _ in range(150):
         letters = rnd.choice(["a", "ab", "0123456789", " \n", "-=", "aeiou st", "漢字éß", "' sltrevmd", "  \t\nx1!", "😀a "])
@@ -37,14 +38,65 @@ def test_blocks_give_the_ids_of_the_whole(bpe, reference, monkeypatch):
         assert d.push(out) + d.close() == s
 
 
+def test_lookahead_suffices_for_any_merge_list(monkeypatch):
+    """Tokens emitted by the lookahead against merging the whole piece by the definition, over random merge lists."""
+    rnd = random.Random(5)
+    for trial in range(200):
+        letters = b"ab" if trial % 2 else b"abc"
+        ranks = {bytes([c]): i for i, c in enumerate(letters)}
+        for _ in range(rnd.randint(2, 25)):
+            t = rnd.choice(list(ranks)) + rnd.choice(list(ranks))
+            if len(t) < 12:
+                ranks.setdefault(t, len(ranks))
+        own = T.Bpe(ranks)
+        monkeypatch.setattr(T, "STEP", rnd.choice([1, 2, 5]))
+        for _ in range(20):
+            raw = bytes(rnd.choice(letters) for _ in range(rnd.randint(1, 120))) if rnd.random() < 0.7 else rnd.choice([letters[:1], letters[:2]]) * 40
+            out, run, early = [], T.Piece(own), 0
+            run.push(raw, out)
+            early = len(out)
+            run.close(out)
+            assert out == own.merge(raw) and (early or len(raw) <= max(own.lookahead.values()) + 12)
+
+
 def test_long_piece_needs_little_memory(bpe, reference):
-    s = "ab" * 40_000
-    run, out, most = T.LongPiece(bpe), [], 0
+    s = "ab" * 20_000
+    run, out, most = T.Piece(bpe), [], 0
     for i in range(0, len(s), 1000):
         run.push(s[i : i + 1000].encode(), out)
         most = max(most, len(run.raw))
     run.close(out)
-    assert out == reference.encode_ordinary(s) and most <= T.sufficient_lookahead(bpe.ranks) and most < 4000
+    assert out == reference.encode_ordinary(s) and most <= max(bpe.lookahead.values()) + bpe.longest
+
+
+def test_text_of_20_mb_needs_constant_memory(bpe):
+    import tracemalloc
+
+    block = "Berth 12 at Kårstø is free, the pilot boards at 06:40.\n\n  Laytime: 71 hours – " * 200
+    stream, n, fed = T.Transducer(bpe), 0, 0
+    tracemalloc.start()
+    try:
+        while fed < 20_000_000:
+            out = []
+            stream.push(block, out)
+            n, fed = n + len(out), fed + len(block.encode())
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    stream.close(out)
+    assert n > 4_000_000 and peak < 8_000_000
+
+
+def test_every_text_goes_through_the_transducer(bpe, reference):
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = [t for t in pq.read_table(path, columns=["text"])["text"].to_pylist() if t]
+    own = T.Bpe(bpe.ranks, bpe.lookahead)
+    assert [own.encode(t) for t in texts] == [reference.encode_ordinary(t) for t in texts]
+    assert own.texts == len(texts) and own.runs >= len({p for t in texts for p in own.pieces(t)})
 
 
 def test_table(spark, reference):
