@@ -283,6 +283,18 @@ def vocabulary(folder: str | None = None, name: str = "byte_bpe_50k") -> dict[by
     return load_ranks(os.path.join(folder or os.environ.get("TOKENIZERS_DIR", DEFAULT_FOLDER), f"{name}.tiktoken"))
 
 
+class _Shared:
+    """What is broadcast; the tasks of one worker share its tables and bounded caches."""
+
+    def __init__(self, ranks: dict[bytes, int], lookahead: dict[int, int]) -> None:
+        self.ranks, self.lookahead, self.made = ranks, lookahead, None
+
+    def bpe(self) -> Bpe:
+        if self.made is None:
+            self.made = Bpe(self.ranks, self.lookahead)
+        return self.made
+
+
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """(key, ids): the token ids of every text without special tokens; null and empty texts have an empty list.
 
@@ -291,10 +303,10 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     """
     spark: SparkSession = docs.sparkSession
     words = vocabulary(folder)
-    shared = spark.sparkContext.broadcast((words, sufficient_lookahead(words)))
+    shared = spark.sparkContext.broadcast(_Shared(words, sufficient_lookahead(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(*shared.value)
+        bpe = shared.value.bpe()
         for b in batches:
             flat, offsets = array("i"), array("i", [0])
             for cell in b.column(1):
