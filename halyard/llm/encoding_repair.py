@@ -186,6 +186,7 @@ def run_verdict(run: str, before: str, after: str) -> tuple[bool, str, tuple[str
 
 
 #: Leftovers whose continuation became blanks or was lost: they can't be restored.
+_LOST_SIGN = re.compile("[ûñÃÂâÄÅÐÑ]")
 _LOST = re.compile(r"(?<=\s)[ûñ](?=\s)|(?<![^\s\"'(>|])[ÃÂâ](?=[ \n]|$)|[a-zà-ÿ][ÃÂÄÅÐÑ](?= [a-z]|\s|$)")
 
 
@@ -213,7 +214,7 @@ def repair(text: str | None) -> tuple[bool, str | None]:
             if v[2] and v[2][1] != "utf-8":
                 pairs[v[2]] += 1
     if not garbled:
-        return bool(_LOST.search(plain)), text
+        return _LOST_SIGN.search(plain) is not None and _LOST.search(plain) is not None, text
     if pairs:  # single bytes: letters that look right by themselves belong to the same wrong decoding
         a, b = pairs.most_common(1)[0][0]
         at_first = min(i for i, _, v in spans if v[2] and v[2][1] != "utf-8")

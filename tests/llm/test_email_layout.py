@@ -1,4 +1,4 @@
-from halyard.llm.email_layout import lines_not_new, newly_written, not_new, reduced
+from halyard.llm.email_layout import lines_not_new, newly_written, not_new, read, reduced
 
 
 def split(marked):
@@ -121,3 +121,49 @@ def test_table(spark):
     assert sorted(found) == [("1", "body_text", 2), ("1", "body_text", 3), ("2", "body_text", 0), ("2", "body_text", 1), ("9", "body_text", 2), ("9", "body_text", 3)]
     assert {r.email_id: r.new_text for r in reduced(df).collect()} == {"1": "Text", "9": "Text", "2": "Yes", "3": None}
     assert lines_not_new(df.limit(0)).count() == 0
+
+
+def test_nested_quotes_and_forwards_form_a_tree():
+    body = "Please see below.\n\nRgds\nAnn\n\n-----Original Message-----\nFrom: Bo Berg <bo@x.example>\nSent: today\nTo: ann@x.example\n\nAs asked.\n\nOn Mon, 1 Apr 2024 at 04:05, Cy Dahl wrote:\n> Text of Cy\n> > older text\n> >\n> > From: Ed <ed@x.example>\n> > Sent: before\n> > To: cy@x.example\n> >\n> > oldest text\n> more of Cy"
+    root = read(body.split("\n"))
+    kinds = {(x.kind, x.depth) for x in root.walk()}
+    assert {("body", 0), ("letter", 0), ("forward", 1), ("letter", 1), ("quote", 2), ("body", 2), ("letter", 2), ("quote", 3), ("body", 3), ("forward", 4), ("letter", 4)} <= kinds
+    oldest = next(x for x in root.walk() if x.kind == "letter" and x.depth == 4)
+    assert [body.split("\n")[i] for i in oldest.text] == ["> > oldest text"]
+    assert not_new(body, "ann@x.example") == [i for i, x in enumerate(body.split("\n")) if x.strip() and i > 0]
+
+
+def test_depth_has_no_bound():
+    assert not_new(">" * 50_000 + " a\n" + "> b\n" * 3) == [0, 1, 2, 3]
+    deep = "\n".join(">" * k + " text" for k in range(1, 300))
+    assert len(not_new(deep)) == 299
+    heads = "From: A <a@x.example>\nSent: now\nTo: b@x.example\n\ntext\n\n" * 3000
+    assert len(not_new("See below.\n\nRgds\nBo\n\n" + heads, "bo@x.example")) == 3000 * 4 + 2
+
+
+def test_unseen_notice_below_a_signature():
+    body = "Berth 10 is free.\n\nRgds\nAnn Berg\n\nThis communication was sent by an operator regulated abroad; rely on it at your own peril."
+    assert not_new(body, "ann.berg@x.example") == [2, 3, 5]
+    other = "Berth 10 is free.\n\nRgds\nAnn Berg\n\nRely on figures from abroad at your own peril,\nand ask a lawyer first."
+    assert not_new(other, "ann.berg@x.example") == [2, 3, 5, 6]
+
+
+def test_notices_are_known_by_their_recurrence(spark):
+    """Sentences that stand below the signatures of several senders are notices also where no sign-off precedes them; others are text."""
+    rows = [(f"{i}", f"p{i % 3}@x.example", f"Berth {i} is free at last.\n\nRgds\nAnn\n\nRely on figures from abroad at your own peril.", None, None, f"m{i}") for i in range(9)]
+    rows += [("a", "q@x.example", "Berth 77 is taken.\n\nRely on figures from abroad at your own peril.", None, None, "ma"), ("b", "q@x.example", "Berth 77 is taken.\n\nRely on figures from home for now.", None, None, "mb")]
+    df = spark.createDataFrame(rows, "email_id string, from_addr string, body_text string, body_cleaned string, in_reply_to string, message_id string")
+    got = {}
+    for r in lines_not_new(df).collect():
+        got.setdefault(r.email_id, []).append(r.line_no)
+    assert sorted(got["a"]) == [2] and "b" not in got and sorted(got["0"]) == [2, 3, 5]
+
+
+def test_message_with_many_answers_is_split(spark, monkeypatch):
+    from halyard.llm import email_layout
+
+    monkeypatch.setattr(email_layout, "ANSWERS", 4)
+    asked = "The hoses were off at noon today, and the pilot was waiting outside."
+    rows = [("p", "a@x.example", asked, None, None, "m")] + [(f"{i}", "b@x.example", f"{asked}\n\nRgds\nJo\n\nHi Jo,\n\nNoted, berth {i} it is.", None, "m", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "email_id string, from_addr string, body_text string, body_cleaned string, in_reply_to string, message_id string")
+    assert lines_not_new(df).groupBy("email_id").count().where("count = 3").count() == 40
