@@ -639,14 +639,15 @@ def _place_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"email_id": b["email_id"], "sender": who, "below": [x for x, _ in found], "other": [x for _, x in found]})
 
 
-def with_notices(one: DataFrame) -> DataFrame:
-    """Adds `notices` to messages that are unique by email_id: keys of their sentences that recur as notices over the corpus.
+def with_notices(one: DataFrame, emails: DataFrame) -> DataFrame:
+    """Adds `notices` to the messages (each once, in emails perhaps repeated): keys of their sentences that recur as notices over the corpus.
 
     A key counts as a notice's if it stands in such a place at least NOTICE_PLACES times, in messages of more than
     one sender, and hardly anywhere else. Only hashes are shuffled; they are counted with partial sums, and a
     message gets back no more than its own.
     """
-    places = staged(one.select("email_id", "from_addr", "body_text").where("body_text is not null").mapInPandas(_place_batches, _PLACES), "sentences")
+    bodies = emails.select("email_id", "from_addr", "body_text").where("body_text is not null")
+    places = staged(bodies.mapInPandas(_place_batches, _PLACES).dropDuplicates(["email_id"]), "sentences")
     rows = places.select(F.explode("below").alias("k"), "sender", F.lit(1).alias("low")).unionByName(places.select(F.explode("other").alias("k"), F.lit(None).cast("bigint").alias("sender"), F.lit(0).alias("low")))
     counts = rows.groupBy("k").agg(F.sum("low").alias("low"), F.count("*").alias("n"), F.min("sender").alias("lo"), F.max("sender").alias("hi"))
     notices = staged(counts.where(f"low >= {NOTICE_PLACES} and lo < hi and low >= {NOTICE_SHARE} * n").select("k"), "notices")
@@ -673,7 +674,7 @@ def with_parents(emails: DataFrame) -> DataFrame:
     texts = texts.select("asked", "parent", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
     asked = links.join(many, "asked", "left").select("email_id", "asked", F.coalesce(F.pmod(F.xxhash64("email_id"), "parts"), F.lit(0).cast("bigint")).alias("part"))
     answers = asked.join(texts, ["asked", "part"]).select("email_id", "parent").dropDuplicates(["email_id"])
-    return with_notices(one).join(answers, "email_id", "left")
+    return with_notices(one, emails).join(answers, "email_id", "left")
 
 
 def _mark_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -151,7 +151,7 @@ def test_unseen_notice_below_a_signature():
 def test_notices_are_known_by_their_recurrence(spark):
     """Sentences that stand below the signatures of several senders are notices also where no sign-off precedes them; others are text."""
     rows = [(f"{i}", f"p{i % 3}@x.example", f"Berth {i} is free at last.\n\nRgds\nAnn\n\nRely on figures from abroad at your own peril.", None, None, f"m{i}") for i in range(9)]
-    rows += [("a", "q@x.example", "Berth 77 is taken.\n\nRely on figures from abroad at your own peril.", None, None, "ma"), ("b", "q@x.example", "Berth 77 is taken.\n\nRely on figures from home for now.", None, None, "mb")]
+    rows += [("a", "q@x.example", "Berth 77 is taken.\n\nRely on figures from abroad at your own peril.", None, None, "ma"), ("b", "q@x.example", "Berth 77 is taken.\n\nFigures from home will do for now.", None, None, "mb")]
     df = spark.createDataFrame(rows, "email_id string, from_addr string, body_text string, body_cleaned string, in_reply_to string, message_id string")
     got = {}
     for r in lines_not_new(df).collect():
