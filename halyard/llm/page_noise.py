@@ -1,9 +1,11 @@
 """Noise in text from scanned pages: words divided over lines, misread letters, running headers and page numbers.
 
-A vocabulary with document counts is taken from the whole corpus. For every form outside it the vocabulary's
-trie is walked together with the form's Levenshtein automaton, which yields all words within the distance; they
-are ranked by how well known misreadings explain the form, by their counts and by the word before. Page
-furniture is found by its layout and repetition over the pages, taken out, and the paragraphs are set anew.
+A vocabulary with document counts is taken from the whole corpus. Each distinct form outside it is looked up once
+for all texts: the vocabulary's trie is walked together with the form's Levenshtein automaton, in which a known
+misreading (`rn` for `m`) is one edit of small weight and any other edit one of large weight. All words within a
+weight that grows with the form's length are candidates. They are ranked by weight, counts and the words on both
+sides; forms and candidates meet the texts by joins. Page furniture is found by its layout and repetition over
+the pages, taken out, and the paragraphs are set anew.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from halyard.sources.staging import staged
 
-#: A word belongs to the vocabulary if it stands in this share of the documents, and in at least so many.
+#: A word belongs to the vocabulary if it stands in this share of the documents, and in at least so many. So there
+#: are no more words than an average document has different ones, divided by the share, however large the corpus.
 MIN_SHARE, MIN_DOCS = 0.0005, 3
-#: Bounds of what is broadcast: the most frequent words and pairs of words.
-MAX_WORDS, MAX_PAIRS = 200_000, 200_000
+#: Words of one trie; a vocabulary with more is looked up part by part.
+PART = 500_000
 #: A form counts as misread if the word it stands for is so many times as frequent.
 RATIO = 15
 
@@ -34,18 +36,20 @@ CONFUSIONS = [
     ("fi", "ﬁ"), ("fl", "ﬂ"), ("h", "li"), ("li", "h"), ("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("i", "!"), ("l", "|"), ("i", "|"), ("z", "2"), ("t", "†"), ("c", "¢"), ("e", "€"), ("k", "lc"), ("in", "m"), ("m", "in"),
     ("i", "í"), ("e", "é"), ("o", "ó"), ("ffi", "ﬃ"), ("ff", "ﬀ"), ("q", "g"), ("j", "i"), ("i", "j"), ("o", "6"), ("a", "4"), ("t", "7"), ("d", "ci"),
 ]
-_INTO: dict[str, list[str]] = {}
-for _a, _b in CONFUSIONS:
-    _INTO.setdefault(_b, []).append(_a)
 #: Misreadings of a letter as another plain letter say little about a short form by themselves.
 _WEAK = {("a", "o"), ("o", "a"), ("n", "u"), ("u", "n"), ("g", "q"), ("q", "g"), ("j", "i"), ("i", "j"), ("i", "í"), ("e", "é"), ("o", "ó"), ("in", "m"), ("m", "in"), ("ri", "n"), ("rn", "m"), ("li", "h"), ("h", "b"), ("b", "h"), ("f", "t"), ("y", "v")}
+#: Weights of edits, in halves: a known misreading, a weak one or a sign in place of a letter. Any other edit weighs
+#: more than all of these that are allowed.
+KNOWN, WEAK, OTHER = 2, 3, 1024
+#: What another edit adds to a candidate's cost: more than all known misreadings that a form can have may add.
+UNKNOWN = 100.0
 
 _SYMBOLS = "0-9§¦|!¢€†ﬀ-ﬄ"
 _TOKEN = re.compile(rf"[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*|[{_SYMBOLS}]+[^\W\d_][^\W_]*(?:[{_SYMBOLS}]+[^\W_]*)*")
 _SKIP = re.compile(r"(?<!\S)[^\s@]+@\S+|<[^>\n]{0,80}>|https?://\S+|\b(?:[A-ZÀ-Þ0-9]{1,4}[-/]?\d{3,}\w*|\d[\w.,:/°′-]*|[A-Z]{1,3}\d\w*)")
 _MARKS = "-‐‑¬­"
 _END = re.compile(rf"[{_MARKS}][ \t]*\r?\n(?:[ \t]*\r?\n)*[ \t]*")
-_LEFT = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+$")
+_TOKEN_SIGNS = frozenset("0123456789§¦|!¢€†ﬀﬁﬂﬃﬄ")
 _TAIL = re.compile(rf"(?:[^\W_]|[{_SYMBOLS}])+")
 _SUSPENDED = set("and or und oder og eller et ou y e o i a bis to och en és и или και ή".split())
 _PAGE_WORD = r"(?:page|seite|side|sida|página|pagina|pág\.?|strona|str\.|стр\.|p\.|pg\.?|blad|σελ\.?)"
@@ -80,15 +84,22 @@ def _roman(s: str) -> int:
     return sum(-a if i + 1 < len(n) and a < n[i + 1] else a for i, a in enumerate(n))
 
 
+def _as_roman(n: int) -> str:
+    out = ""
+    for v, c in ((100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out, n = out + c * (n // v), n % v
+    return out
+
+
 def _pageno(s: str) -> tuple[str, int] | None:
     s = s.strip()
-    if not s or len(s) > 24:
+    if not s:
         return None
     for style, p in _PAGENO:
         if m := p.fullmatch(s):
             if style == "roman":
                 n = _roman(m[1])
-                return (style, n) if n < 60 else None
+                return (style, n) if _as_roman(n) == m[1].lower().replace("1", "i") else None
             d = m[1].translate(_DIGIT)
             return (style, int(d)) if d.isdigit() else None
     return None
@@ -123,7 +134,7 @@ def furniture(text: str) -> tuple[set[int], set[int], list[str]]:
     texts: dict[str, list[int]] = {}
     for i, s in enumerate(rest):
         body = beside.get(i, "" if i in numbered else s.strip())
-        if len(body) < 8 or body[0] in "#|<*->" or body[-1] in ":.,;?!" or len(body) > 110 or not _LETTERS.search(body):
+        if len(body) < 8 or body[0] in "#|<*->" or body[-1] in ":.,;?!" or not _LETTERS.search(body):
             continue
         if i in numbered or not _wrapped(rest, i, width) or _interrupts(rest, i):
             texts.setdefault(canonical(body), []).append(i)
@@ -179,94 +190,137 @@ def _rising(where: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return max(best, key=len, default=[])
 
 
+def reach(form: str) -> tuple[int, int]:
+    """(other edits, weight of known misreadings) within which words are candidates: both grow with the form's length."""
+    n = len(form)
+    return (0, KNOWN) if n < 4 else (n // 12 + 1, KNOWN * (1 + n // 4) + 1)
+
+
+#: Ligatures are read as their letters.
+_LIGATURES = str.maketrans({"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"})
+
+
+def _rules(backwards: bool) -> tuple[dict[str, list[tuple[str, int]]], dict[str, list[tuple[str, str, int]]]]:
+    """(by what was read: letter and weight; by a word's second letter: first letter, what was read, weight)."""
+    one: dict[str, list[tuple[str, int]]] = {}
+    two: dict[str, list[tuple[str, str, int]]] = {}
+    for a, b in CONFUSIONS:
+        weight = WEAK if (a, b) in _WEAK else KNOWN
+        a, b = (a[::-1], b[::-1]) if backwards else (a, b)
+        if len(a) == 1:
+            one.setdefault(b, []).append((a, weight))
+        elif len(a) == 2:
+            two.setdefault(a[1], []).append((a[0], b, weight))
+    return one, two
+
+
 class Lexicon:
-    """Words with document counts as a trie, and pairs of words."""
+    """A vocabulary as tries of the words read forwards and backwards."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int] | None = None, extra: dict[str, int] | None = None, ready: dict[str, tuple] | None = None) -> None:
+    def __init__(self, words: dict[str, int]) -> None:
         self.words = words
-        self.pairs = pairs or {}
-        self.extra = extra or {}  # counts of forms that aren't words
-        self.ready = ready or {}  # what forms that several documents hold can stand for
-        self.trie: dict = {}
+        self.tries: list[dict] = [{}, {}]
         for w in words:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        self.find = lru_cache(1 << 16)(self._find)
-
-    def within(self, form: str, most: int) -> list[tuple[str, int]]:
-        """All words within the edit distance: the trie walked together with the form's Levenshtein automaton.
-
-        The automaton's states are sets of places in the form, one set for each number of edits, held as bits.
+            for node, letters in zip(self.tries, (w, w[::-1])):
+                for c in letters:
+                    node = node.setdefault(c, {})
+                node[""] = w
+        self.rules = _rules(False), _rules(True)
+
+    def within(self, form: str, others: int, most: int) -> dict[str, int]:
+        """All words that at most so many other edits, and known misreadings of at most this weight, turn into the
+        form; with the least weight, in which each other edit is OTHER.
+
+        Either the form's first half has at most half of the other edits or its second half has less than half of
+        them: so one walk goes forwards with few in the first half, one backwards with few in the last half, and
+        together they find every word.
         """
+        half = len(form) // 2
+        found = self._walk(0, form, others, most, half, others // 2)
+        if others:
+            for w, weight in self._walk(1, form[::-1], others, most, len(form) - half, others - others // 2 - 1).items():
+                if weight < found.get(w, weight + 1):
+                    found[w] = weight
+        return found
+
+    def _walk(self, way: int, form: str, others: int, most: int, half: int, cap: int) -> dict[str, int]:
+        """The trie walked together with the automaton. Its states are places in the form, held as bits, one set for each weight."""
         n = len(form)
-        places: dict[str, int] = {}
-        for j, c in enumerate(form, 1):
-            places[c] = places.get(c, 0) | 1 << j
-        full, end = (1 << n + 1) - 1, 1 << n
-        out: list[tuple[str, int]] = []
-        stack = [(self.trie, [(1 << d + 1) - 1 & full for d in range(most + 1)])]
+        one, two = self.rules[way]
+        exact: dict[str, int] = {}
+        other: dict[str, dict[tuple[int, int], int]] = {}  # by letter of the word: (places taken, weight) to places
+        strange = 0  # places of signs that are no letters
+        for j, c in enumerate(form):
+            exact[c] = exact.get(c, 0) | 1 << j
+            strange |= (not c.isalpha()) << j
+            for size in (1, 2):
+                for a, weight in one.get(form[j : j + size], ()) if j + size <= n else ():
+                    moves = other.setdefault(a, {})
+                    moves[size, weight] = moves.get((size, weight), 0) | 1 << j
+        pairs: dict[str, list[tuple[str, int, int, int]]] = {}
+        for last, rules in two.items():
+            for first, b, weight in rules:
+                if at := sum(1 << j for j in range(n) if form.startswith(b, j)):
+                    pairs.setdefault(last, []).append((first, at, len(b), weight))
+        full, end, low = (1 << n + 1) - 1, 1 << n, (1 << half) - 1
+        last, few = others * OTHER, (cap + 1) * OTHER
+
+        def close(state: dict[int, int]) -> dict[int, int]:
+            """Letters that the form has too many; places of the first half are only kept with few other edits."""
+            for weight in sorted(state):
+                bits, heavier = state[weight], weight + OTHER
+                while heavier < last + OTHER and bits:
+                    bits = bits << 1 & full
+                    state[heavier] = state.get(heavier, 0) | bits
+                    heavier += OTHER
+            return {w: b for w, bits in state.items() if (b := bits if w < few else bits & ~low)}
+
+        found: dict[str, int] = {}
+        stack = [(self.tries[way], close({0: 1}), "", {})]
         while stack:
-            node, state = stack.pop()
+            node, state, before, older = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    for d, r in enumerate(state):
-                        if r & end:
-                            out.append((child, d))
-                            break
+                    weight = min((w for w, bits in state.items() if bits & end), default=-1)
+                    if weight >= 0:
+                        found[child] = weight
                     continue
-                mask = places.get(c, 0)
-                old = state[0]
-                r = old << 1 & mask
-                new = [r]
-                for d in range(1, most + 1):
-                    here = state[d]
-                    r = (here << 1 & mask | old | old << 1 | r << 1) & full
-                    new.append(r)
-                    old = here
-                if r:
-                    stack.append((child, new))
-        return out
-
-    def _find(self, form: str) -> tuple[tuple[str, float], ...]:
-        """(word, cost) of the words that a form can be a misreading of, the best first: all within the smallest edit distance at which there are any."""
-        if (known := self.ready.get(form)) is not None:
-            return known
-        n = len(form)
-        count = self.words.get(form, self.extra.get(form, 1))
-        limit = 1.0 if n < 4 else 2.2 if n < 8 else 3.2
-        for most in (1, 2):
-            out = []
-            for w, _ in self.within(form, most):
-                if w != form and self.words[w] >= RATIO * count and (c := explained(w, form)) is not None and c <= limit:
-                    out.append((w, c - 0.15 * math.log10(self.words[w])))
-            if out:
-                return tuple(sorted(out, key=lambda x: (x[1], x[0])))
-        return ()
-
-    def known(self, word: str) -> bool:
-        return word in self.words
-
-
-@lru_cache(1 << 16)
-def explained(word: str, form: str) -> float | None:
-    """Cost of reading a word as a form by known misreadings alone; None where they don't explain it."""
-    inf = 9.0
-    n, m = len(word), len(form)
-    d = [[inf] * (m + 1) for _ in range(n + 1)]
-    d[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if d[i][j] >= inf:
-                continue
-            if i < n and j < m and word[i] == form[j]:
-                d[i + 1][j + 1] = min(d[i + 1][j + 1], d[i][j])
-            for k in (1, 2):
-                for a in _INTO.get(form[j : j + k], ()) if j + k <= m else ():
-                    if word.startswith(a, i):
-                        d[i + len(a)][j + k] = min(d[i + len(a)][j + k], d[i][j] + (1.6 if (a, form[j : j + k]) in _WEAK else 1.0))
-    return d[n][m] if d[n][m] < inf else None
+                new: dict[int, int] = {}
+                same, moves = exact.get(c, 0), other.get(c)
+                for weight, bits in state.items():
+                    left = most - weight % OTHER
+                    if b := bits & same:
+                        new[weight] = new.get(weight, 0) | b << 1
+                    if moves:
+                        for (size, add), at in moves.items():
+                            if add <= left and (b := bits & at):
+                                new[weight + add] = new.get(weight + add, 0) | b << size
+                    if strange and left >= WEAK and (b := bits & strange):
+                        new[weight + WEAK] = new.get(weight + WEAK, 0) | b << 1
+                    if weight < last:
+                        new[weight + OTHER] = new.get(weight + OTHER, 0) | (bits | bits << 1) & full
+                if older:
+                    for first, at, size, add in pairs.get(c, ()):
+                        if first == before:
+                            for weight, bits in older.items():
+                                if add <= most - weight % OTHER and (b := bits & at):
+                                    new[weight + add] = new.get(weight + add, 0) | b << size
+                if new and (new := close(new)):
+                    stack.append((child, new, c, state))
+        return found
+
+    def find(self, form: str, count: int = 1) -> list[tuple[str, float]]:
+        """(word, cost) of all words that a form can be a misreading of, the best first. A word must be RATIO times as
+        frequent as the form. Its cost is the number of edits, another edit than a known misreading counting as UNKNOWN,
+        less a share of its count's logarithm."""
+        plain = form.translate(_LIGATURES)
+        out = []
+        for w, weight in self.within(plain, *reach(form)).items():
+            n = self.words[w]
+            if w != form and n >= RATIO * count:
+                known = max(weight % OTHER, KNOWN if plain != form else 0)
+                out.append((w, known / 2 + UNKNOWN * (weight // OTHER) - 0.15 * math.log10(n)))
+        return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def _coded(text: str, start: int, end: int) -> bool:
@@ -288,94 +342,84 @@ def _coded(text: str, start: int, end: int) -> bool:
     return False
 
 
-def unknown_tokens(text: str, known: Container[str]) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, token, token before) of the words of a text that aren't known; addresses, codes and numbers aren't words."""
-    before = ""
+def unknown_tokens(text: str, known: Container[str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, token, token before, token after) of the words of a text that aren't known; addresses, codes and numbers aren't words."""
+    before, held = "", None
     for m in _TOKEN.finditer(text):
         t = m.group()
         low = t.lower()
+        if held:
+            yield *held, low
+            held = None
         if low not in known and not _coded(text, m.start(), m.end()):
-            yield m.start(), m.end(), t, before
+            held = (m.start(), m.end(), t, before)
         before = low
+    if held:
+        yield *held, ""
+
+
+def _head(text: str, end: int, least: int = 0) -> int:
+    """Where the token that ends here begins."""
+    start = end
+    while start > least and ((c := text[start - 1]).isalnum() or c in _TOKEN_SIGNS):
+        start -= 1
+    return start
 
 
 def _whole(text: str) -> list[str]:
     """Lower-case words of a text without those that a line end divides."""
     parts, at = [], 0
     for m in _END.finditer(text):
-        if (head := _LEFT.search(text, max(at, m.start() - 60), m.start())) and (end := _TAIL.match(text, m.end())):
-            parts.append(text[at : head.start()])
+        if (start := _head(text, m.start(), at)) < m.start() and (end := _TAIL.match(text, m.end())):
+            parts.append(text[at:start])
             at = end.end()
     return [t.lower() for t in _TOKEN.findall(_SKIP.sub(" ", " ".join([*parts, text[at:]])))]
 
 
-def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        count: Counter = Counter()
-        for t in b["markdown"]:
-            words = _whole(t)
-            count.update(("", w) for w in set(words))
-            count.update(set(zip(words, words[1:])))
-        yield pd.DataFrame([(a, w, n) for (a, w), n in count.items()], columns=["before", "word", "n"])
-
+class Answers:
+    """What one text needs to know of the corpus: the vocabulary, candidates of its forms, counts of pairs of words.
 
-def _prune_batches(lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = lexicon.value
-        lex = Lexicon(words)
-        for b in batches:
-            keep = [not lex.find(w) for w in b["word"]]
-            yield b.loc[keep, ["word", "n"]]
-
-    return run
+    Without candidates and counts it notes down what is asked.
+    """
 
+    def __init__(self, words: dict[str, int], readings: dict[str, list[tuple[str, float]]] | None = None, pairs: dict[tuple[str, str], int] | None = None) -> None:
+        self.words = words
+        self.readings, self.pairs = readings or {}, pairs or {}
+        self.forms: set[tuple[str, str, str]] = set()
+        self.asked: set[tuple[str, str]] = set()
 
-def _retrieve_batches(lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*lexicon.value)
-        for b in batches:
-            found = [lex.find(w) for w in b["word"]]
-            yield pd.DataFrame({"word": b["word"], "words": [[w for w, _ in f] for f in found], "costs": [[c for _, c in f] for f in found]})
+    def find(self, form: str, before: str = "", after: str = "") -> list[tuple[str, float]]:
+        self.forms.add((before, form, after))
+        return self.readings.get(form, [])
 
-    return run
+    def pair(self, a: str, b: str) -> int:
+        self.asked.add((a, b))
+        return self.pairs.get((a, b), 0)
 
 
-def learn(texts: DataFrame, column: str = "markdown") -> Lexicon:
-    """Counts words over all texts; what comes to the driver is bounded by MAX_WORDS (words, and as many other forms) and MAX_PAIRS.
+def misread(token: str, known: Answers, before: str = "", after: str = "") -> tuple[str, bool] | None:
+    """(the word that a token stands for in the token's case, whether the token or its neighbours prove it); None where it is a word or stands for none.
 
-    Candidates of forms that several documents hold are retrieved here, once for all; those of rarer ones where they stand.
+    The candidates are ranked by cost less the logarithms of how often they stand beside the same neighbours. One
+    that known misreadings don't explain is only taken if it stands beside both.
     """
-    docs = texts.select(F.col(column).alias("markdown")).where("markdown is not null and markdown <> ''")
-    spark = texts.sparkSession
-    counts = staged(docs.mapInPandas(_word_batches, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n")).where(f"n >= {MIN_DOCS}"), "words")
-    least = max(MIN_DOCS, MIN_SHARE * docs.count())
-    forms = counts.where("before = ''").select("word", "n")
-    words = {r.word: r.n for r in forms.where(f"n >= {least}").orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
-    spread = 2 * spark.sparkContext.defaultParallelism
-    rows = spark.createDataFrame(list(words.items()) or [("", 0)], "word string, n bigint").repartition(spread)
-    sound = {r.word: r.n for r in rows.mapInPandas(_prune_batches(spark.sparkContext.broadcast(words)), "word string, n bigint").collect() if r.word}
-    extra = {w: n for w, n in words.items() if w not in sound}
-    others = forms.where(f"n < {least}").orderBy(F.desc("n"), "word").limit(MAX_WORDS).unionByName(rows.where(~F.col("word").isin("")).join(spark.createDataFrame(list(extra.items()) or [("", 0)], "word string, k bigint").select("word"), "word", "left_semi"))
-    lexicon = spark.sparkContext.broadcast((sound, {}, extra))
-    ready = {r.word: tuple(zip(r.words, r.costs)) for r in others.repartition(spread).mapInPandas(_retrieve_batches(lexicon), "word string, words array<string>, costs array<double>").collect()}
-    pairs = {(r.before, r.word): r.n for r in counts.where(f"before <> '' and n >= {least}").orderBy(F.desc("n"), "before", "word").limit(MAX_PAIRS).collect() if r.word in sound and r.before in sound}
-    return Lexicon(sound, pairs, extra, ready)
-
-
-def misread(token: str, lex: Lexicon, before: str = "") -> str | None:
-    """The word that a token stands for, in the token's case; None where it is a word or nothing explains it."""
     low = token.lower()
-    if lex.known(low) or len(low) < 3 and token.isalpha():
+    if low in known.words or len(low) < 3 and token.isalpha():
         return None
-    found = lex.find(low)
-    if not found:
+    ranked = []
+    for w, cost in known.find(low, before, after):
+        left, right = known.pair(before, w), known.pair(w, after)
+        ranked.append((cost - 0.3 * math.log10(1 + left) - 0.3 * math.log10(1 + right), w, cost < UNKNOWN / 2, left, right))
+    if not ranked:
         return None
-    pairs = lex.pairs
-    best = min(found, key=lambda x: x[1] - 0.3 * math.log10(1 + pairs.get((before, x[0]), 0)))[0]
+    _, best, explained, left, right = min(ranked)
+    if not explained and not (left and right):
+        return None
+    proven = not token.isalpha() or explained and bool(left or right)
     letters = [c for c in token if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
-        return best.upper()
-    return best.capitalize() if token[:1].isupper() or token[:1] in "058" and best[:1].isalpha() and _starts(token) else best
+        return best.upper(), proven
+    return (best.capitalize() if token[:1].isupper() or token[:1] in "058" and best[:1].isalpha() and _starts(token) else best), proven
 
 
 def _starts(token: str) -> bool:
@@ -383,81 +427,89 @@ def _starts(token: str) -> bool:
     return token[0] in "58" and token[1:2].islower()
 
 
-def divided(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
+def divided(text: str, known: Answers) -> list[tuple[int, int, str]]:
     """(start, end, whole word) of the words that a line end divides by a mark that isn't part of them."""
     out = []
+    words = known.words
     for m in _END.finditer(text):
-        head, end = _LEFT.search(text, max(0, m.start() - 60), m.start()), _TAIL.match(text, m.end())
-        if not head or not end:
+        start, end = _head(text, m.start()), _TAIL.match(text, m.end())
+        if start == m.start() or not end:
             continue
-        left, mark, tail = head[0], m[0][0], end[0]
+        left, mark, tail = text[start : m.start()], m[0][0], end[0]
         if not any(c.isalpha() for c in left) or not any(c.isalpha() for c in tail):
             continue
-        low, joined = left.lower(), (left + tail).lower()
-        if tail.lower() in _SUSPENDED and not lex.known(joined):
+        low, end_low, joined = left.lower(), tail.lower(), (left + tail).lower()
+        if end_low in _SUSPENDED and joined not in words:
             continue
-        start = head.start()
         before = text[start - 1 : start]
-        if before and (before.isalnum() or before in "-/@.") and mark == "-" and not lex.known(joined):
+        if before and (before.isalnum() or before in "-/@.") and mark == "-" and joined not in words:
             continue
-        known = lex.known(joined) or bool(lex.find(joined))
-        if mark == "-" and not known:
-            compound = lex.pairs.get((low, tail.lower()), 0)
-            if compound or not tail[:1].islower() or (lex.known(low) and lex.known(tail.lower())) or len(left) < 2 or len(tail) < 2 and len(left) < 4:
+        pair = known.pair(low, end_low)
+        whole = joined in words or any(cost < UNKNOWN / 2 for _, cost in known.find(joined))
+        if mark == "-" and not whole:
+            if pair or not tail[:1].islower() or (low in words and end_low in words) or len(left) < 2 or len(tail) < 2 and len(left) < 4:
                 continue
-            if lex.known(low) and len(low) > 3 or any(c.isupper() for c in tail):
+            if low in words and len(low) > 3 or any(c.isupper() for c in tail):
                 continue
-        elif mark == "-" and lex.known(low) and lex.known(tail.lower()) and lex.pairs.get((low, tail.lower()), 0) > lex.words.get(joined, 0):
+        elif mark == "-" and low in words and end_low in words and pair > words.get(joined, 0):
             continue
         out.append((start, end.end(), left + tail))
     return out
 
 
-def noise(text: str | None, lex: Lexicon) -> list[str]:
+def noise(text: str | None, known: Answers) -> list[str]:
     """Kinds of noise in a text, of hyphen, ocr, header and pageno; none for null, empty and blank texts."""
     if not text or not text.strip():
         return []
     number, header, kept = furniture(text)
-    body = "\n".join(kept)
-    cuts = divided(body, lex)
+    cuts = divided("\n".join(kept), known)
     kinds = (["hyphen"] if cuts else []) + (["header"] if header else []) + (["pageno"] if number else [])
-    wrong = _misread_spans(text, lex)
-    if len(wrong) > 1 or any(not text[i:j].isalpha() for i, j, _ in wrong):  # one plain word may be a rare word
+    # A plain word that none of its neighbours supports may be a rare word: it takes two of these.
+    if sum(1.0 if proven else 0.5 for *_, proven in _misread_spans(text, known)) >= 1:
         kinds.append("ocr")
     return kinds
 
 
-def _misread_spans(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
+def _misread_spans(text: str, known: Answers) -> list[tuple[int, int, str, bool]]:
     out = []
-    for i, j, t, before in unknown_tokens(text, lex.words):
+    for i, j, t, before, after in unknown_tokens(text, known.words):
         if text[j : j + 1] in tuple(_MARKS) and text[j + 1 : j + 2] in ("\n", "\r"):
             continue
-        head = text[max(0, i - 6) : i].rstrip(" \t")
-        if head.endswith("\n") and head.rstrip()[-1:] in tuple(_MARKS):
+        if (up := _up(text, i)) and up in _MARKS:
             continue
-        if w := misread(t, lex, before):
-            out.append((i, j, w))
+        if found := misread(t, known, before, after):
+            out.append((i, j, *found))
     return out
 
 
-def repair(text: str | None, lex: Lexicon) -> str | None:
+def repair(text: str | None, known: Answers) -> str | None:
     """The text in continuous paragraphs, without page furniture and with whole, rightly read words. A text without noise is returned as it is."""
-    if not noise(text, lex):
+    if not noise(text, known):
         return text
     _, _, kept = furniture(text)
     body = "\n".join(kept)
     parts, at = [], 0
-    for i, j, w in divided(body, lex):
+    for i, j, w in divided(body, known):
         if i >= at:
             parts += [body[at:i], w]
             at = j
     body = "".join([*parts, body[at:]])
     parts, at = [], 0
-    for i, j, w in _misread_spans(body, lex):
+    for i, j, w, _ in _misread_spans(body, known):
         parts += [body[at:i], w]
         at = j
-    body = "".join([*parts, body[at:]])
-    return reflow(body)
+    return reflow("".join([*parts, body[at:]]))
+
+
+def _up(text: str, i: int) -> str:
+    """The last sign of the lines above, where only blanks stand before a place in its line; else nothing."""
+    while i and text[i - 1] in " \t":
+        i -= 1
+    if not i or text[i - 1] != "\n":
+        return ""
+    while i and text[i - 1].isspace():
+        i -= 1
+    return text[i - 1] if i else ""
 
 
 def reflow(text: str) -> str:
@@ -484,25 +536,98 @@ def reflow(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out))
 
 
-def _noise_batches(lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*lexicon.value)
-        for b in batches:
-            rows = [(k, x) for k, t in zip(b["sha256"], b["markdown"]) for x in noise(t, lex)]
-            yield pd.DataFrame(rows, columns=["sha256", "noise_kind"])
 
-    return run
+# Over the corpus
+
+
+def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        count: Counter = Counter()
+        for t in b["markdown"]:
+            words = _whole(t)
+            count.update(("", w) for w in set(words))
+            count.update(set(zip(words, words[1:])))
+        yield pd.DataFrame([(a, w, n) for (a, w), n in count.items()], columns=["before", "word", "n"])
+
 
+def _ask_batches(words):
+    """What each file asks: (sha256, a, form, z) with the tokens beside an unknown form, (sha256, a, null, z) for pairs of words."""
 
-def _repair_batches(lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = Lexicon(*lexicon.value)
+        vocabulary = words.value
         for b in batches:
-            yield pd.DataFrame({"sha256": b["sha256"], "repaired": [repair(t, lex) for t in b["markdown"]]})
+            rows = []
+            for k, t in zip(b["sha256"], b["markdown"]):
+                known = Answers(vocabulary)
+                noise(t, known)
+                rows += [(k, a, form, z) for a, form, z in known.forms]
+                rows += [(k, a, None, z) for a, z in known.asked]
+            yield pd.DataFrame(rows, columns=["sha256", "a", "form", "z"])
 
     return run
 
 
+def _look_up(forms: DataFrame, words: dict[str, int], explained: bool = False) -> DataFrame:
+    """(form, word, cost) of the candidates of all forms (form, n); a large vocabulary is gone through in parts."""
+    spark, out = forms.sparkSession, None
+    every = sorted(words)
+    for at in range(0, max(1, len(every)), PART):
+        part = spark.sparkContext.broadcast({w: words[w] for w in every[at : at + PART]})
+
+        def run(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
+            lex = Lexicon(part.value)
+            for b in batches:
+                rows = [(form, w, cost) for form, n in zip(b["form"], b["n"]) for w, cost in lex.find(form, n) if not explained or cost < UNKNOWN / 2]
+                yield pd.DataFrame(rows, columns=["form", "word", "cost"])
+
+        found = forms.mapInPandas(run, "form string, word string, cost double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def vocabulary(counts: DataFrame, n_docs: int) -> dict[str, int]:
+    """The corpus's words with their document counts: those frequent enough, without frequent misreadings of others. See MIN_SHARE for the bound of what is collected."""
+    spark = counts.sparkSession
+    least = max(MIN_DOCS, MIN_SHARE * n_docs)
+    frequent = counts.where((F.col("before") == "") & (F.col("n") >= least)).select(F.col("word").alias("form"), "n")
+    words = {r.form: r.n for r in frequent.collect()}
+    wrong = _look_up(frequent.repartition(2 * spark.sparkContext.defaultParallelism), words, explained=True).select("form").distinct()
+    drop = {r.form for r in wrong.collect()}
+    return {w: n for w, n in words.items() if w not in drop}
+
+
+def _answered(files: DataFrame) -> tuple[DataFrame, object]:
+    """(sha256, markdown, readings, pairs) with what each file asked, and the broadcast vocabulary.
+
+    Distinct forms are looked up once each; candidates and counts of pairs reach the files by joins, and a file
+    gets back no more than its own questions' answers.
+    """
+    docs = files.where("markdown is not null and markdown <> ''")
+    counts = staged(docs.select("markdown").mapInPandas(_word_batches, "before string, word string, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n")), "words")
+    words = vocabulary(counts, docs.count())
+    spark = files.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    asks = staged(docs.select("sha256", "markdown").mapInPandas(_ask_batches(shared), "sha256 string, a string, form string, z string"), "questions")
+    forms = asks.where("form is not null").select("sha256", "form").distinct().groupBy("form").agg(F.count("*").alias("n"))
+    readings = staged(_look_up(forms.repartition(2 * spark.sparkContext.defaultParallelism, "form"), words), "readings")
+    spots = staged(asks.where("form is not null").join(readings, "form"), "spots")
+    left = spots.where("a <> ''").select("sha256", F.col("a").alias("before"), "word")
+    right = spots.where("z <> ''").select("sha256", F.col("word").alias("before"), F.col("z").alias("word"))
+    apart = asks.where("form is null").select("sha256", F.col("a").alias("before"), F.col("z").alias("word"))
+    pairs = left.unionByName(right).unionByName(apart).distinct().join(counts.where("before <> ''"), ["before", "word"])
+    pairs = pairs.groupBy("sha256").agg(F.collect_list(F.struct("before", "word", "n")).alias("pairs"))
+    own = spots.groupBy("sha256").agg(F.collect_set(F.struct("form", "word", "cost")).alias("readings"))
+    return files.join(own, "sha256", "left").join(pairs, "sha256", "left"), shared
+
+
+def _each(batch: pd.DataFrame, words: dict[str, int]) -> Iterator[tuple[str, str | None, Answers]]:
+    for k, t, readings, pairs in zip(batch["sha256"], batch["markdown"], batch["readings"], batch["pairs"]):
+        found: dict[str, list[tuple[str, float]]] = {}
+        for r in readings if readings is not None else ():
+            found.setdefault(r["form"], []).append((r["word"], r["cost"]))
+        yield k, t, Answers(words, found, {(r["before"], r["word"]): r["n"] for r in pairs} if pairs is not None else {})
+
+
 def _files(docling: DataFrame) -> DataFrame:
     """Repeated rows of a file hold one text; of several the smallest counts."""
     return docling.groupBy("sha256").agg(F.min("markdown").alias("markdown"))
@@ -510,15 +635,22 @@ def _files(docling: DataFrame) -> DataFrame:
 
 def found_noise(docling: DataFrame) -> DataFrame:
     """(sha256, noise_kind), distinct. Null, empty and placeholder-only texts have none; other columns are ignored."""
-    files = staged(_files(docling), "files")
-    lex = learn(files)
-    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra, lex.ready))
-    return files.where("markdown is not null").mapInPandas(_noise_batches(shared), "sha256 string, noise_kind string")
+    files, shared = _answered(staged(_files(docling), "files"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, x) for k, t, known in _each(b, shared.value) for x in noise(t, known)]
+            yield pd.DataFrame(rows, columns=["sha256", "noise_kind"])
+
+    return files.where("markdown is not null").mapInPandas(run, "sha256 string, noise_kind string")
 
 
 def repaired_files(docling: DataFrame) -> DataFrame:
     """(sha256, repaired): one row per file; null stays null."""
-    files = staged(_files(docling), "files")
-    lex = learn(files)
-    shared = docling.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.extra, lex.ready))
-    return files.mapInPandas(_repair_batches(shared), "sha256 string, repaired string")
+    files, shared = _answered(staged(_files(docling), "files"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, repair(t, known)) for k, t, known in _each(b, shared.value)], columns=["sha256", "repaired"])
+
+    return files.mapInPandas(run, "sha256 string, repaired string")

@@ -5,28 +5,77 @@ from halyard.llm import page_noise as P
 WORDS = "the stevedores during night logged wind force and stopped cargo from vessel last three cargoes were sulphuric acid remaining supplier reference measured agents before start berth expected free around while tanks being inspected load discharge side figures compared for period filter element ring".split()
 
 
-def lexicon():
-    return P.Lexicon({w: 500 for w in WORDS}, {("the", "stevedores"): 90, ("load", "and"): 9, ("o", "ring"): 9, ("discharge", "side"): 9})
+class Known(P.Answers):
+    """Answers over a small vocabulary, looked up at once."""
+
+    def __init__(self, words, pairs=None):
+        super().__init__(words, None, pairs)
+        self.lexicon = P.Lexicon(words)
 
+    def find(self, form, before="", after=""):
+        return self.lexicon.find(form, self.words.get(form, 1))
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+
+def lexicon():
+    return Known({w: 500 for w in WORDS}, {("the", "stevedores"): 90, ("load", "and"): 9, ("o", "ring"): 9, ("discharge", "side"): 9})
+
+
+def least_weight(word, form, others, most):
+    """Brute force: the least weight of edits that turn a word into a form, other edits first; None beyond the bounds."""
+    edits = {(a, b): P.WEAK if (a, b) in P._WEAK else P.KNOWN for a, b in P.CONFUSIONS}
+    best = {(0, 0): {(0, 0)}}
+    for i in range(len(word) + 1):
+        for j in range(len(form) + 1):
+            for o, e in best.get((i, j), ()):
+                steps = [(1, 1, 0, 0)] if i < len(word) and j < len(form) and word[i] == form[j] else []
+                if i < len(word) and j < len(form):
+                    steps += [(1, 1, 1, 0)] + ([(1, 1, 0, P.WEAK)] if not form[j].isalpha() else [])
+                steps += [(1, 0, 1, 0)] if i < len(word) else []
+                steps += [(0, 1, 1, 0)] if j < len(form) else []
+                steps += [(len(a), len(b), 0, w) for (a, b), w in edits.items() if len(a) < 3 and word.startswith(a, i) and form.startswith(b, j)]
+                for di, dj, do, de in steps:
+                    if o + do <= others and e + de <= most:
+                        best.setdefault((i + di, j + dj), set()).add((o + do, e + de))
+    found = best.get((len(word), len(form)))
+    return min(o * P.OTHER + e for o, e in found) if found else None
 
 
 def test_retrieval_is_complete():
     rnd = random.Random(1)
-    words = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))): 1 for _ in range(300)}
+    for letters in ("abcd", "rnmicluh", "eco0l1i"):
+        words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))): 1 for _ in range(120)}
+        lex = P.Lexicon(words)
+        for _ in range(25):
+            form = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9)))
+            for others, most in ((0, 2), (1, 5), (2, 7)):
+                expected = {w: x for w in words if (x := least_weight(w, form, others, most)) is not None}
+                assert lex.within(form, others, most) == expected
+
+
+def test_candidates_are_all_within_reach_and_ranked():
+    words = {"modern": 900, "minimum": 900, "vessel": 900, "vessels": 800, "communication": 700, "morning": 500, "mining": 40}
     lex = P.Lexicon(words)
-    for _ in range(60):
-        form = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6)))
-        for most in (0, 1, 2):
-            assert sorted(lex.within(form, most)) == sorted((w, distance(w, form)) for w in words if distance(w, form) <= most)
+    for form in ("rnodem", "rninirnurn", "v3ssel", "cornrnunication", "rnorning", "mornlng", "rninlng"):
+        expected = {w for w in words if w != form and least_weight(w, form, *P.reach(form)) is not None}
+        found = lex.find(form)
+        assert {w for w, _ in found} == expected and [c for _, c in found] == sorted(c for _, c in found)
+    best = lambda form: lex.find(form)[0][0]
+    assert [best(x) for x in ("rnodem", "rninirnurn", "v3ssel", "cornrnunication")] == ["modern", "minimum", "vessel", "communication"]
+    assert [w for w, _ in lex.find("rninlng", 2)] == ["mining"] and lex.find("rninlng", 3) == []
+
+
+def test_one_plain_word_is_misread_if_its_neighbours_say_so():
+    words = {w: 500 for w in WORDS}
+    text = "stopped cargo frorn vessel"
+    assert P.noise(text, Known(words)) == []
+    assert P.noise(text, Known(words, {("cargo", "from"): 7})) == P.noise(text, Known(words, {("from", "vessel"): 7})) == ["ocr"]
+
+
+def test_long_words_and_numerals_are_read_whole():
+    head, tail = "a" * 200, "b" * 200
+    lex = Known({head + tail: 500})
+    assert [text for *_, text in P.divided(f"{head}-\n{tail}", lex)] == [head + tail]
+    assert P._pageno("cxlix") == ("roman", 149) and P._pageno("iiix") is None
 
 
 def test_kinds():
