@@ -2,8 +2,10 @@
 
 Any window of `least` code points holds `least - K + 1` runs of K code points; winnowing keeps of these the
 one with the smallest hash, which depends on the window's text alone. Two texts that share such a window
-therefore share an anchor inside it. Texts are joined on anchors, each meeting is extended both ways over the
-texts themselves, and spans of at least `least` code points stay: hashes only propose, characters decide.
+therefore share an anchor inside it, and the window lies within `least - K` code points around the anchor. So
+each anchor that several texts hold takes the stretch around it along; stretches meet at their anchor and are
+extended both ways: hashes only propose, characters decide. An anchor that very many places hold meets on the
+hashes (128 bits) of the whole windows around it instead, which is as exact and makes no pairs by itself.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ CHUNK = 1 << 18
 #: Places an anchor may stand at before texts meet on whole windows around it.
 HOT = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE2 = np.uint64(0xD1342543DE82EF95)
 _MASK = (1 << 64) - 1
 
 
@@ -35,6 +37,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -52,7 +58,7 @@ def winnow(texts: list[str], least: int = LEAST, k: int = K) -> tuple[np.ndarray
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
-    h = _mix((prefix[k:] - prefix[:-k]) * _powers(_INV, n - k + 1))
+    h = _mix((prefix[k:] - prefix[:-k]) * _powers(_inverse(_BASE), n - k + 1))
     at = np.arange(len(h), dtype=np.int64)
     # Windows of w hashes by doubling; of equal hashes the rightmost is kept.
     val, arg, width = h, at, 1
@@ -74,16 +80,7 @@ def winnow(texts: list[str], least: int = LEAST, k: int = K) -> tuple[np.ndarray
     hashes = h[pos].view(np.int64)
     who = np.searchsorted(ends, pos, "right")
     local = pos - starts[who]
-    # A hash that recurs within k characters on both sides stands in a periodic stretch: its first two and
-    # last two places align the stretch in every way that can be longest.
-    order = np.lexsort((local, hashes, who))
-    who, local, hashes = who[order], local[order], hashes[order]
-    near = np.zeros(len(who) + 1, bool)
-    near[1:-1] = (who[1:] == who[:-1]) & (hashes[1:] == hashes[:-1]) & (local[1:] - local[:-1] <= k)
-    a, b = near[:-1], near[1:]
-    a2, b2 = np.concatenate([[False], a[:-1]]), np.concatenate([b[1:], [False]])
-    keep = ~(a & b & a2 & b2)
-    return who[keep], local[keep], hashes[keep]
+    return who, local, hashes
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,140 +112,115 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, found.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "anchors")
 
 
-def _window_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of all windows of LEAST code points that hold one of a text's given anchors."""
+_SPOT = "h bigint, g bigint, rep bigint, pos int, off int, ctx string"
+
+
+def _spot_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text the stretches around its anchors that few hold (off: where the anchor begins in ctx) and the
+    hashes h and g of all windows of LEAST code points that hold one of the others (ctx is null)."""
     for b in batches:
         parts = []
-        for rep, text, at in zip(b["rep"], b["text"], b["at"]):
-            n = len(text)
-            starts = np.unique(np.concatenate([np.arange(max(0, p - LEAST + K), min(p, n - LEAST) + 1) for p in at]))
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), out=prefix[1:])
-            h = _mix((prefix[starts + LEAST] - prefix[starts]) * _powers(_INV, n)[starts])
-            parts.append(pd.DataFrame({"h": h.view(np.int64), "rep": np.int64(rep), "pos": starts.astype(np.int32)}))
+        for rep, text, few, at in zip(b["rep"], b["text"], b["few"], b["many"]):
+            rows = [(x["h"], 0, rep, x["pos"], min(x["pos"], LEAST - K), text[max(0, x["pos"] - LEAST + K) : x["pos"] + LEAST]) for x in few]
+            parts.append(pd.DataFrame(rows, columns=["h", "g", "rep", "pos", "off", "ctx"]))
+            if len(at):
+                n = len(text)
+                starts = np.unique(np.concatenate([np.arange(max(0, p - LEAST + K), min(p, n - LEAST) + 1) for p in at]))
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                hashes = []
+                for base in (_BASE, _BASE2):
+                    prefix = np.zeros(n + 1, np.uint64)
+                    np.cumsum((codes + np.uint64(1)) * _powers(base, n), out=prefix[1:])
+                    hashes.append(_mix((prefix[starts + LEAST] - prefix[starts]) * _powers(_inverse(base), n)[starts]).view(np.int64))
+                parts.append(pd.DataFrame({"h": hashes[0], "g": hashes[1], "rep": np.int64(rep), "pos": starts.astype(np.int32), "off": np.int32(0), "ctx": None}))
         if parts:
             yield pd.concat(parts, ignore_index=True)
 
 
-def _pairs(anchors: DataFrame) -> DataFrame:
-    """(a, b, shift, at): the places in a, one text's anchors at most, at which two texts lie side by side on equal hashes."""
-    a = anchors.select("h", F.col("rep").alias("a"), F.col("pos").alias("pa"))
-    b = anchors.select("h", F.col("rep").alias("b"), F.col("pos").alias("pb"))
-    met = a.join(b, "h").where("a < b")
-    return met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.sort_array(F.collect_set("pa")).alias("at"))
+def spots(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stretches around anchors that at most HOT places hold, windows around the others) of all texts whose anchors others hold.
 
+    The counts of anchors are sums made before the shuffle; anchors meet them in a join that can be split where one
+    anchor is in a third of all texts. Each text is shuffled once.
+    """
+    anchors = reps.select("rep", F.explode("anchors").alias("x")).select("rep", "x.h", "x.pos")
+    counts = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    held = staged(counts.where("lo < hi").select("h", "n"), "shared_anchors")
+    few = F.when(F.col("n") <= HOT, F.struct("h", "pos"))
+    many = F.when(F.col("n") > HOT, F.col("pos"))
+    own = anchors.join(held, "h").groupBy("rep").agg(F.collect_list(few).alias("few"), F.collect_set(many).alias("many"))  # a text's own anchors
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null")
+    out = staged(own.join(texts, "rep").select("rep", "text", "few", "many").mapInPandas(_spot_batches, _SPOT), "spots")
+    return out.where("ctx is not null"), out.where("ctx is null").select("h", "g", "rep", "pos")
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the common start of two texts."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return next(i for i in range(n) if x[i] != y[i])
+
+
+def extend(x: str, i: int, y: str, j: int, k: int = K) -> tuple[int, int]:
+    """(code points to the left, to the right) by which the equal runs x[i:i+k] and y[j:j+k] go on alike; (-k, 0) where the runs differ."""
+    if x[i : i + k] != y[j : j + k]:
+        return -k, 0
+    return _common(x[:i][::-1], y[:j][::-1]), _common(x[i + k :], y[j + k :])
+
+
+def _class_spans(places: list, intervals: bool) -> set[tuple[int, ...]]:
+    """Of the places that hold one anchor (at most HOT): (a, b) of the texts that share a span of LEAST around it, or
+    (text, start, end) of what they share there. Equal stretches are compared once."""
+    groups: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for x in places:
+        groups.setdefault((x["off"], x["ctx"]), []).append((x["rep"], x["pos"]))
+    every = list(groups.items())
+    out: set[tuple[int, ...]] = set()
+
+    def meet(us: list, vs: list, left: int, right: int) -> None:
+        if intervals:
+            first, second = {a for a, _ in us}, {b for b, _ in vs}
+            out.update((a, p - left, p + K + right) for a, p in us if second - {a})
+            out.update((b, p - left, p + K + right) for b, p in vs if first - {b})
+        else:
+            out.update((min(a, b), max(a, b)) for a, _ in us for b, _ in vs if a != b)
 
-def _shared(hashes: DataFrame) -> DataFrame:
-    """The rows whose hash more than one text holds, with n, the number of places that hold it."""
-    w = Window.partitionBy("h")
-    return hashes.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w), "n": F.count("*").over(w)}).where("lo < hi").drop("lo", "hi")
+    for n, ((i, x), us) in enumerate(every):
+        if len(x) >= LEAST and len(us) > 1:
+            meet(us, us, i, len(x) - i - K)
+        for (j, y), vs in every[n + 1 :]:
+            left, right = extend(x, i, y, j)
+            if left + K + right >= LEAST:
+                meet(us, vs, left, right)
+    return out
 
 
-def _meetings(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Meetings of different texts. An anchor that many texts hold may stand in a stretch shorter than LEAST that
-    they all have (a formula, a notice): there the texts meet on whole windows around it instead, so that no two
-    texts meet that don't share one."""
-    anchors = reps.select("rep", F.explode("anchors").alias("x")).select("rep", "x.h", "x.pos")
-    held = staged(_shared(anchors), "shared_anchors")
-    few, many = held.where(F.col("n") <= HOT), held.where(F.col("n") > HOT)
-    at = many.groupBy("rep").agg(F.collect_set("pos").alias("at"))  # a text's own anchors
-    windows = at.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("rep", "text", "at").mapInPandas(_window_batches, "h bigint, rep bigint, pos int")
-    return _pairs(few).unionByName(_pairs(staged(_shared(windows), "windows")))
+def _classes(few: DataFrame, intervals: bool) -> DataFrame:
+    names = ["rep", "s", "e"] if intervals else ["a", "b"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list({r for places in b["places"] for r in _class_spans(places, intervals)}), columns=names).astype("int64")
 
-def extend(x: str, y: str, i: int, j: int, k: int = K) -> tuple[int, int, int]:
-    """(start in x, start in y, length) of the longest equal span around x[i:i+k] and y[j:j+k]; length 0 where these differ."""
-    if x[i : i + k] != y[j : j + k]:
-        return i, j, 0
-    back, step, most = 0, 64, min(i, j)
-    while back < most:  # grows in steps that double, then narrows down
-        s = min(step, most - back)
-        if x[i - back - s : i - back] == y[j - back - s : j - back]:
-            back, step = back + s, step * 2
-        elif s == 1:
-            break
-        else:
-            step = max(1, s // 2) if s <= step else 1
-            most = back + s if s < most - back else most
-    on, step, most = k, 64, min(len(x) - i, len(y) - j)
-    while on < most:
-        s = min(step, most - on)
-        if x[i + on : i + on + s] == y[j + on : j + on + s]:
-            on, step = on + s, step * 2
-        elif s == 1:
-            break
-        else:
-            step = max(1, s // 2)
-    return i - back, j - back, back + on
-
-
-def periodic_runs(x: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """(start, end, period) of the stretches of x with a period of at most K that hold LEAST or more of x[start:end]."""
-    runs, q = [], start
-    while q + LEAST - 64 <= end:  # any LEAST of a stretch hold a q with a whole look-around
-        here: list[tuple[int, int, int]] = []
-        d = x.find(x[q : q + 32], q + 1, q + 32 + K) - q
-        while d > 0:
-            if all(d % r[2] for r in here):  # a multiple has the same stretch
-                s, _, n = extend(x, x, q, q + d, 32)
-                if min(s + n + d, end) - max(s, start) >= LEAST:
-                    here.append((s, s + n + d, d))
-            d = x.find(x[q : q + 32], q + d + 1, q + 32 + K) - q
-        runs += here
-        q = max([q + 64, *(r[1] - LEAST for r in here)])
-    return list(dict.fromkeys(runs))
-
-
-def repeats(x: str, y: str, i: int, j: int, n: int) -> list[tuple[int, int, int]]:
-    """(start in x, start in y, length) of further equal spans of x and y beside x[i:i+n], where x goes on with a
-    period beyond it (winnow keeps only the ends of such stretches), and those at which the ends of both stretches meet."""
-    found = []
-    for s, e, d in periodic_runs(x, i, i + n):
-        p, length = max(s, i), min(e, i + n) - max(s, i)
-        step = length // d
-        up, down = (e - p - length) // d, (p - s) // d
-        for m in {*range(step, up, step), up, up + 1, *range(-step, -down, -step), -down, -down - 1} - {0}:
-            at, stop = max(s, p + m * d), min(e, p + m * d + length)
-            if stop - at >= LEAST:
-                found.append((at, at - m * d - i + j, stop - at))
-        q = p - i + j
-        first, _, size = extend(y, y, q, q + d, min(K, length - d))
-        last = first + size + d
-        for u, v in ((s, first), (e - K, last - K)):
-            span = extend(x, y, u, v)
-            if span[2] >= LEAST:
-                found.append(span)
-    return found
-
-
-def _extend_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for r in b.itertuples(index=False):
-            done = -1
-            for p in r.at:  # rising; those within the last span are its own
-                if p < done:
-                    continue
-                i, j, n = extend(r.ta, r.tb, int(p), int(p) - int(r.shift))
-                if n:
-                    done = i + n - K + 1
-                if n >= LEAST:
-                    rows.append((r.a, r.b, i, j, n))
-                    rows += [(r.a, r.b, *s) for s in repeats(r.ta, r.tb, i, j, n)]
-                    rows += [(r.a, r.b, v, u, w) for u, v, w in repeats(r.tb, r.ta, j, i, n)]
-        yield pd.DataFrame(rows, columns=["a", "b", "pa", "pb", "n"]).astype("int64")
-
-
-def class_spans(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, pa, pb, n): maximal equal spans of at least LEAST code points between different texts."""
-    met = staged(_meetings(docs, reps), "meetings")
-    ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = met.join(ta, "a").join(tb, "b").select("a", "b", "shift", "at", "ta", "tb")
-    return both.mapInPandas(_extend_batches, "a bigint, b bigint, pa bigint, pb bigint, n bigint").distinct()
+    places = few.groupBy("h").agg(F.collect_list(F.struct("rep", "pos", "off", "ctx")).alias("places"))  # at most HOT
+    return places.select("places").mapInPandas(run, ", ".join(f"{c} bigint" for c in names)).distinct()
+
+
+def class_pairs(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b), a < b: different texts with an equal span of at least LEAST code points.
+
+    Windows that the same texts hold bring the same pairs, so of these one is taken.
+    """
+    few, many = spots(docs, reps)
+    held = staged(many.select("h", "g", "rep").distinct(), "windows")
+    who = F.xxhash64("rep")
+    sets = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(who).alias("x"), F.sum(F.shiftrightunsigned(who, 20)).alias("y"))
+    one = staged(sets.where("lo < hi").groupBy("n", "lo", "hi", "x", "y").agg(F.min(F.struct("h", "g")).alias("w")).select("w.h", "w.g"), "sets")
+    kept = held.join(one, ["h", "g"], "left_semi")
+    left, right = kept.select("h", "g", F.col("rep").alias("a")), kept.select("h", "g", F.col("rep").alias("b"))
+    met = left.join(right, ["h", "g"]).where("a < b").select("a", "b")
+    return _classes(few, False).unionByName(met).distinct()
 
 
 def sharing_pairs(docs: DataFrame) -> DataFrame:
@@ -259,7 +231,7 @@ def sharing_pairs(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     members, reps = text_classes(docs)
-    pairs = class_spans(docs, reps).select("a", "b").distinct()
+    pairs = class_pairs(docs, reps)
     same = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).groupBy("a", "b").count().where("count > 1").select("a", "b")
     left = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     right = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
@@ -269,13 +241,16 @@ def sharing_pairs(docs: DataFrame) -> DataFrame:
 
 def shared_part(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): how much of each text stands elsewhere too, in spans of at least LEAST.
+    No pairs of records are made.
 
     Null texts have n_chars null, 0 shared characters and share 0.0; so have blank ones with their length.
     """
     docs = docs.select("doc_id", "text")
     members, reps = text_classes(docs)
-    spans = staged(class_spans(docs, reps), "spans")
-    parts = spans.select(F.col("a").alias("rep"), F.col("pa").alias("s"), (F.col("pa") + F.col("n")).alias("e")).unionByName(spans.select(F.col("b").alias("rep"), F.col("pb").alias("s"), (F.col("pb") + F.col("n")).alias("e"))).distinct()
+    few, many = spots(docs, reps)
+    held = many.groupBy("h", "g").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h", "g")
+    whole = many.join(held, ["h", "g"], "left_semi").select("rep", F.col("pos").cast("bigint").alias("s"), (F.col("pos") + LEAST).cast("bigint").alias("e"))
+    parts = _classes(few, True).unionByName(whole)
     before = F.max("e").over(Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     covered = parts.withColumn("from", F.greatest("s", F.coalesce(before, F.lit(0)))).where("e > from").groupBy("rep").agg(F.sum(F.col("e") - F.col("from")).alias("covered"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))

@@ -52,8 +52,25 @@ def test_common_formula_brings_no_pairs(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
     found = {tuple(r) for r in sharing_pairs(df).collect()}
     assert found == {(i, j) for i in docs for j in docs if i < j and docs[i] and docs[j] and longest(docs[i], docs[j]) >= 200}
-    meetings = shared_spans._meetings(df, shared_spans.text_classes(df)[1]).collect()
-    assert all(longest(docs[r.a], docs[r.b]) >= 200 for r in meetings) and (201, 202) in found
+    assert (201, 202) in found
+    monkeypatch.setattr(shared_spans, "HOT", 64)
+    assert {tuple(r) for r in sharing_pairs(df).collect()} == found
+    part = {r.doc_id: r.shared_chars for r in shared_part(df).collect()}
+    monkeypatch.setattr(shared_spans, "HOT", 1)
+    assert {r.doc_id: r.shared_chars for r in shared_part(df).collect()} == part
+    assert part == {k: covered(x, [y for i, y in docs.items() if i != k and y]) if x else 0 for k, x in docs.items()}
+
+
+def test_one_anchor_in_thousands_of_texts(spark):
+    """A passage shorter than the threshold, and one as long, in very many texts: no pairs by the first, shares by the second."""
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    short, long = word(190), word(230)
+    docs = [(i, word(60) + short + word(60)) for i in range(3_000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
+    assert sharing_pairs(df).count() == 0
+    df = spark.createDataFrame([(i, word(60) + long + word(60)) for i in range(3_000)], "doc_id bigint, text string").repartition(8)
+    assert shared_part(df).where("shared_chars between 230 and 240").count() == 3_000
 
 
 def test_part(spark):
@@ -83,7 +100,8 @@ def test_extend(a, b, n):
     s = "".join(rnd.choice("pqrst") for _ in range(n))
     x, y = "0" * a + s + "1", "2" * b + s + "3" * 9
     for at in (0, (n - 100) // 2, n - 100):
-        assert extend(x, y, a + at, b + at) == (a, b, n)
+        assert extend(x, a + at, y, b + at) == (at, n - 100 - at)
+    assert extend("a" * 200, 0, "b" * 200, 0)[0] < 0
 
 
 def covered(x, others):
