@@ -427,59 +427,73 @@ def _starts(token: str) -> bool:
     return token[0] in "58" and token[1:2].islower()
 
 
-def divided(text: str, known: Answers) -> list[tuple[int, int, str]]:
-    """(start, end, whole word) of the words that a line end divides by a mark that isn't part of them."""
-    out = []
-    words = known.words
+def _divisions(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(start, end, left part, mark, right part, sign before) wherever a mark at a line end stands between two parts of a word."""
     for m in _END.finditer(text):
         start, end = _head(text, m.start()), _TAIL.match(text, m.end())
-        if start == m.start() or not end:
-            continue
-        left, mark, tail = text[start : m.start()], m[0][0], end[0]
-        if not any(c.isalpha() for c in left) or not any(c.isalpha() for c in tail):
-            continue
-        low, end_low, joined = left.lower(), tail.lower(), (left + tail).lower()
-        if end_low in _SUSPENDED and joined not in words:
-            continue
-        before = text[start - 1 : start]
-        if before and (before.isalnum() or before in "-/@.") and mark == "-" and joined not in words:
-            continue
-        pair = known.pair(low, end_low)
-        whole = joined in words or any(cost < UNKNOWN / 2 for _, cost in known.find(joined))
-        if mark == "-" and not whole:
-            if pair or not tail[:1].islower() or (low in words and end_low in words) or len(left) < 2 or len(tail) < 2 and len(left) < 4:
-                continue
-            if low in words and len(low) > 3 or any(c.isupper() for c in tail):
-                continue
-        elif mark == "-" and low in words and end_low in words and pair > words.get(joined, 0):
-            continue
-        out.append((start, end.end(), left + tail))
-    return out
+        if start < m.start() and end:
+            yield start, end.end(), text[start : m.start()], m[0][0], end[0], text[start - 1 : start]
 
 
-def noise(text: str | None, known: Answers) -> list[str]:
-    """Kinds of noise in a text, of hyphen, ocr, header and pageno; none for null, empty and blank texts."""
+def _one_word(left: str, mark: str, tail: str, before: str, known: Answers) -> bool:
+    """Whether the mark isn't part of the word."""
+    words = known.words
+    if not any(c.isalpha() for c in left) or not any(c.isalpha() for c in tail):
+        return False
+    low, end, joined = left.lower(), tail.lower(), (left + tail).lower()
+    if end in _SUSPENDED and joined not in words:
+        return False
+    if before and (before.isalnum() or before in "-/@.") and mark == "-" and joined not in words:
+        return False
+    if mark != "-":
+        return True
+    pair = known.pair(low, end)
+    if joined in words or any(cost < UNKNOWN / 2 for _, cost in known.find(joined)):
+        return not (low in words and end in words and pair > words.get(joined, 0))
+    if pair or not tail[:1].islower() or (low in words and end in words) or len(left) < 2 or len(tail) < 2 and len(left) < 4:
+        return False
+    return not (low in words and len(low) > 3 or any(c.isupper() for c in tail))
+
+
+def divided(text: str, known: Answers) -> list[tuple[int, int, str]]:
+    """(start, end, whole word) of the words that a line end divides by a mark that isn't part of them."""
+    return [(start, end, left + tail) for start, end, left, mark, tail, before in _divisions(text) if _one_word(left, mark, tail, before, known)]
+
+
+def observed(text: str | None, words: Container[str]) -> tuple[bool, bool, list[tuple[str, str, str, str]], list[tuple[str, str, str]]]:
+    """What a text shows before anything is asked: (running headers, page numbers, divisions, unknown tokens with their neighbours)."""
     if not text or not text.strip():
-        return []
+        return False, False, [], []
     number, header, kept = furniture(text)
-    cuts = divided("\n".join(kept), known)
-    kinds = (["hyphen"] if cuts else []) + (["header"] if header else []) + (["pageno"] if number else [])
+    return bool(header), bool(number), [x[2:] for x in _divisions("\n".join(kept))], [x[2:] for x in _unknown_spots(text, words)]
+
+
+def kinds(header: bool, number: bool, divisions: list, unknown: list, known: Answers) -> list[str]:
+    """The kinds of noise, given a text's observations and the answers to them."""
+    out = ["hyphen"] if any([_one_word(*x, known) for x in divisions]) else []
+    out += (["header"] if header else []) + (["pageno"] if number else [])
     # A plain word that none of its neighbours supports may be a rare word: it takes two of these.
-    if sum(1.0 if proven else 0.5 for *_, proven in _misread_spans(text, known)) >= 1:
-        kinds.append("ocr")
-    return kinds
+    found = [x for token, before, after in unknown if (x := misread(token, known, before, after))]
+    return out + (["ocr"] if sum(1.0 if proven else 0.5 for _, proven in found) >= 1 else [])
+
+
+def noise(text: str | None, known: Answers) -> list[str]:
+    """Kinds of noise in a text, of hyphen, ocr, header and pageno; none for null, empty and blank texts."""
+    return kinds(*observed(text, known.words), known)
 
 
-def _misread_spans(text: str, known: Answers) -> list[tuple[int, int, str, bool]]:
-    out = []
-    for i, j, t, before, after in unknown_tokens(text, known.words):
+def _unknown_spots(text: str, words: Container[str]) -> Iterator[tuple[int, int, str, str, str]]:
+    """Unknown tokens that no line end divides."""
+    for i, j, t, before, after in unknown_tokens(text, words):
         if text[j : j + 1] in tuple(_MARKS) and text[j + 1 : j + 2] in ("\n", "\r"):
             continue
         if (up := _up(text, i)) and up in _MARKS:
             continue
-        if found := misread(t, known, before, after):
-            out.append((i, j, *found))
-    return out
+        yield i, j, t, before, after
+
+
+def _misread_spans(text: str, known: Answers) -> list[tuple[int, int, str]]:
+    return [(i, j, found[0]) for i, j, t, before, after in _unknown_spots(text, known.words) if (found := misread(t, known, before, after))]
 
 
 def repair(text: str | None, known: Answers) -> str | None:
@@ -495,7 +509,7 @@ def repair(text: str | None, known: Answers) -> str | None:
             at = j
     body = "".join([*parts, body[at:]])
     parts, at = [], 0
-    for i, j, w, _ in _misread_spans(body, known):
+    for i, j, w in _misread_spans(body, known):
         parts += [body[at:i], w]
         at = j
     return reflow("".join([*parts, body[at:]]))
@@ -550,19 +564,21 @@ def _word_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(a, w, n) for (a, w), n in count.items()], columns=["before", "word", "n"])
 
 
-def _ask_batches(words):
-    """What each file asks: (sha256, a, form, z) with the tokens beside an unknown form, (sha256, a, null, z) for pairs of words."""
+_SEEN = "sha256 string, header boolean, number boolean, divisions array<struct<left:string,mark:string,tail:string,before:string>>, unknown array<struct<token:string,before:string,after:string>>, forms array<struct<a:string,form:string,z:string>>, pairs array<struct<a:string,z:string>>"
+
+
+def _see_batches(words):
+    """What each file shows, and what it asks: unknown forms with the tokens beside them, and pairs of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = words.value
         for b in batches:
             rows = []
             for k, t in zip(b["sha256"], b["markdown"]):
-                known = Answers(vocabulary)
-                noise(t, known)
-                rows += [(k, a, form, z) for a, form, z in known.forms]
-                rows += [(k, a, None, z) for a, z in known.asked]
-            yield pd.DataFrame(rows, columns=["sha256", "a", "form", "z"])
+                known = Answers(words.value)
+                seen = observed(t, known.words)
+                kinds(*seen, known)
+                rows.append((k, *seen, list(known.forms), list(known.asked)))
+            yield pd.DataFrame(rows, columns=["sha256", "header", "number", "divisions", "unknown", "forms", "pairs"])
 
     return run
 
@@ -596,8 +612,8 @@ def vocabulary(counts: DataFrame, n_docs: int) -> dict[str, int]:
     return {w: n for w, n in words.items() if w not in drop}
 
 
-def _answered(files: DataFrame) -> tuple[DataFrame, object]:
-    """(sha256, markdown, readings, pairs) with what each file asked, and the broadcast vocabulary.
+def _answered(files: DataFrame) -> tuple[DataFrame, DataFrame, object]:
+    """(what each file shows, (sha256, readings, pairs) with the answers to what it asks, the broadcast vocabulary).
 
     Distinct forms are looked up once each; candidates and counts of pairs reach the files by joins, and a file
     gets back no more than its own questions' answers.
@@ -607,25 +623,25 @@ def _answered(files: DataFrame) -> tuple[DataFrame, object]:
     words = vocabulary(counts, docs.count())
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(words)
-    asks = staged(docs.select("sha256", "markdown").mapInPandas(_ask_batches(shared), "sha256 string, a string, form string, z string"), "questions")
-    forms = asks.where("form is not null").select("sha256", "form").distinct().groupBy("form").agg(F.count("*").alias("n"))
+    seen = staged(docs.select("sha256", "markdown").mapInPandas(_see_batches(shared), _SEEN), "seen")
+    asks = seen.select("sha256", F.explode("forms").alias("x")).select("sha256", "x.a", "x.form", "x.z")
+    forms = asks.select("sha256", "form").distinct().groupBy("form").agg(F.count("*").alias("n"))
     readings = staged(_look_up(forms.repartition(2 * spark.sparkContext.defaultParallelism, "form"), words), "readings")
-    spots = staged(asks.where("form is not null").join(readings, "form"), "spots")
+    spots = staged(asks.join(readings, "form"), "spots")
     left = spots.where("a <> ''").select("sha256", F.col("a").alias("before"), "word")
     right = spots.where("z <> ''").select("sha256", F.col("word").alias("before"), F.col("z").alias("word"))
-    apart = asks.where("form is null").select("sha256", F.col("a").alias("before"), F.col("z").alias("word"))
+    apart = seen.select("sha256", F.explode("pairs").alias("x")).select("sha256", F.col("x.a").alias("before"), F.col("x.z").alias("word"))
     pairs = left.unionByName(right).unionByName(apart).distinct().join(counts.where("before <> ''"), ["before", "word"])
-    pairs = pairs.groupBy("sha256").agg(F.collect_list(F.struct("before", "word", "n")).alias("pairs"))
+    pairs = pairs.groupBy("sha256").agg(F.collect_list(F.struct("before", "word", "n")).alias("counts"))
     own = spots.groupBy("sha256").agg(F.collect_set(F.struct("form", "word", "cost")).alias("readings"))
-    return files.join(own, "sha256", "left").join(pairs, "sha256", "left"), shared
+    return seen, own.join(pairs, "sha256", "full"), shared
 
 
-def _each(batch: pd.DataFrame, words: dict[str, int]) -> Iterator[tuple[str, str | None, Answers]]:
-    for k, t, readings, pairs in zip(batch["sha256"], batch["markdown"], batch["readings"], batch["pairs"]):
-        found: dict[str, list[tuple[str, float]]] = {}
-        for r in readings if readings is not None else ():
-            found.setdefault(r["form"], []).append((r["word"], r["cost"]))
-        yield k, t, Answers(words, found, {(r["before"], r["word"]): r["n"] for r in pairs} if pairs is not None else {})
+def _answers(words: dict[str, int], readings, counts) -> Answers:
+    found: dict[str, list[tuple[str, float]]] = {}
+    for r in readings if readings is not None else ():
+        found.setdefault(r["form"], []).append((r["word"], r["cost"]))
+    return Answers(words, found, {(r["before"], r["word"]): r["n"] for r in counts} if counts is not None else {})
 
 
 def _files(docling: DataFrame) -> DataFrame:
@@ -635,22 +651,29 @@ def _files(docling: DataFrame) -> DataFrame:
 
 def found_noise(docling: DataFrame) -> DataFrame:
     """(sha256, noise_kind), distinct. Null, empty and placeholder-only texts have none; other columns are ignored."""
-    files, shared = _answered(staged(_files(docling), "files"))
+    seen, answers, shared = _answered(staged(_files(docling), "files"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, x) for k, t, known in _each(b, shared.value) for x in noise(t, known)]
+            rows = []
+            for r in b.itertuples(index=False):
+                divisions = [(x["left"], x["mark"], x["tail"], x["before"]) for x in r.divisions]
+                unknown = [(x["token"], x["before"], x["after"]) for x in r.unknown]
+                rows += [(r.sha256, x) for x in kinds(r.header, r.number, divisions, unknown, _answers(shared.value, r.readings, r.counts))]
             yield pd.DataFrame(rows, columns=["sha256", "noise_kind"])
 
-    return files.where("markdown is not null").mapInPandas(run, "sha256 string, noise_kind string")
+    some = seen.where("header or number or size(divisions) > 0 or size(unknown) > 0").drop("forms", "pairs")
+    return some.join(answers, "sha256", "left").mapInPandas(run, "sha256 string, noise_kind string")
 
 
 def repaired_files(docling: DataFrame) -> DataFrame:
     """(sha256, repaired): one row per file; null stays null."""
-    files, shared = _answered(staged(_files(docling), "files"))
+    files = staged(_files(docling), "files")
+    _, answers, shared = _answered(files)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(k, repair(t, known)) for k, t, known in _each(b, shared.value)], columns=["sha256", "repaired"])
+            rows = [(r.sha256, repair(r.markdown, _answers(shared.value, r.readings, r.counts))) for r in b.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["sha256", "repaired"])
 
-    return files.mapInPandas(run, "sha256 string, repaired string")
+    return files.join(answers, "sha256", "left").mapInPandas(run, "sha256 string, repaired string")
