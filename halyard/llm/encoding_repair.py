@@ -31,13 +31,19 @@ PAIRS = tuple(
     }.items()
     for b in bs
 )
-LAYERS = 4
 #: Cost of taking a run that strictly decodes as UTF-8 for text: by chance that hardly happens.
 STRICT = 2.0
 
 _LATIN = set("àâäáãåæçćčďéèêëęėěğíìîïıłńñňóòôöõøœőřśšşșťțúùûüůűýźżžßąđ")
 _LATIN |= {c.upper() for c in _LATIN if len(c.upper()) == 1}
 _PUNCT = set("–—‘’“”„…«»‹›•·′″−×☎✓✔→≈≤≥√€£¥°±²³¹º¿¡§©®™½¼¾µ№‐‑   ")
+# Letters outside ASCII of languages in Latin script.
+ALPHABETS = [
+    set(a + a.upper().replace("SS", ""))
+    for a in ("äöüß", "àâæçéèêëîïôœùûüÿ", "áéíóúüñ", "áâãàçéêíóôõú", "àèéìíîòóùú", "ąćęłńóśźż", "æøåäöé", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ", "çğıöşüâîû", "áðéíóúýþæö", "āčēģīķļņšūž", "ąčęėįšųūž", "čćđšž", "åäöõüšž", "áéíóúàèìòù")
+]
+#: Letters that are words by themselves.
+_WORDS = set("àáâéèêíìóòôöúùåäæøëïÀÁÂÉÈÊÍÌÓÒÔÖÚÙÅÄÆØËÏ" "авикосуяАВИКОСУЯ" "οηήόώὁΟΗΉ")
 _CYRILLIC = {chr(c) for c in range(0x410, 0x450)} | set("ёЁіїєґІЇЄҐ")
 _GREEK = {chr(c) for c in range(0x391, 0x3CF)} | set("άέήίόύώΆΈΉΊΌΎΏϊϋΐΰ")
 _CJK = lambda c: "　" <= c <= "ヿ" or "一" <= c <= "鿿" or "＀" <= c <= "￯" or "가" <= c <= "힣"
@@ -74,6 +80,8 @@ def _own(c: str, a: str, b: str) -> float:
             cost += 1.5
         if a.isupper() and c.islower() and b.isupper():
             cost += 1.0
+        if ord(c) > 127 and c not in _WORDS and a.isspace() and b.isspace():
+            cost += 1.5
         return cost
     if s == "j":
         return 0.0
@@ -116,7 +124,7 @@ def cost(run: str, before: str = " ", after: str = " ") -> float:
     s = before + run + after
     total = sum(_own(s[i], s[i - 1], s[i + 1]) for i in range(1, len(s) - 1))
     letters = [c for c in run if _script(c) == "l"]
-    if len(letters) >= 3 and len(letters) >= 0.8 * len(run):  # no Latin script writes three such letters in a row
+    if len(letters) >= 3 and len(letters) >= 0.8 * len(run) and not any(a.issuperset(letters) for a in ALPHABETS):  # no one language has all these in a row
         total += len(letters)
     return total
 
@@ -143,51 +151,60 @@ def _encode(s: str, encoding: str) -> bytes | None:
     return bytes(out)
 
 
+def _layer(text: str) -> Iterator[tuple[str, str]]:
+    """(decoded text, encoding) of all strict decodings as UTF-8."""
+    for enc in READ_AS:
+        if (raw := _encode(text, enc)) is not None:
+            try:
+                s = raw.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if _common(s) or _RUN.search(s) and any(_encode(s, e) for e in READ_AS[:2]):
+                yield s, enc
+
+
+def _total(text: str, before: str, after: str) -> float:
+    """The garbling cost of a text: that of its characters, and STRICT more where it is valid UTF-8 in another encoding."""
+    return cost(text, before, after) + STRICT * (_RUN.search(text) is not None and next(_layer(text), None) is not None)
+
+
 @lru_cache(1 << 17)
 def run_verdict(run: str, before: str, after: str) -> tuple[bool, str, tuple[str, str] | None]:
-    """(garbled, restored run, pair of encodings of the first layer). The run is unchanged where it can't be restored."""
-    text, first = run, None
-    for _ in range(LAYERS):
-        here, best = cost(text, before, after), None
-        if not _RUN.search(text):
-            break
-        for enc in READ_AS:
-            raw = _encode(text, enc)
+    """(garbled, restored run, pair of encodings of the first layer). The run is unchanged where it can't be restored.
+
+    Layer by layer the decoding with the least cost is followed to the end (each makes the text shorter); that layer
+    is taken whose cost is the least, if it is less than the run's own.
+    """
+    text, here = run, _total(run, before, after)
+    best, step, first = (here, run), None, None
+    while options := [(_total(s, before, after), s, (enc, "utf-8")) for s, enc in _layer(text) if not _single(s, enc, here)]:
+        low, text, step = min(options, key=lambda x: x[0])
+        first = first or step
+        if low < best[0]:
+            best = low, text
+    if best[1] == run:
+        first = None
+        for a, b in PAIRS if here >= 1.5 else ():
+            raw = _encode(run, a)
             if raw is None:
                 continue
             try:
-                s = raw.decode("utf-8")
+                s = raw.decode(b)
             except UnicodeDecodeError:
                 continue
-            if enc in ("mac_roman", "cp1251", "koi8_r", "cp866") and len(s) == 1 and s in _CYRILLIC and here < 2:
-                continue
-            if _common(s) or _RUN.search(s) and any(_encode(s, e) for e in READ_AS[:2]):
-                c = cost(s, before, after) - STRICT
-                if best is None or c < best[0]:
-                    best = (c, s, (enc, "utf-8"))
-        if best is None and first is None and here >= 1.5:
-            for a, b in PAIRS:
-                raw = _encode(text, a)
-                if raw is None:
-                    continue
-                try:
-                    s = raw.decode(b)
-                except UnicodeDecodeError:
-                    continue
-                if s != text and all(_script(x) in "lcg" or x in "’–°³±²€" for x in s) and (c := cost(s, before, after)) <= here - 1.5 and c < 1 and (best is None or c < best[0]):
-                    best = (c, s, (a, b))
-        if best is None or best[0] >= here and best[2][1] != "utf-8":
-            break
-        text, first = best[1], first or best[2]
-        if best[2][1] != "utf-8":
-            break
-    garbled = first is not None or "�" in run or any("\x80" <= c <= "\x9f" for c in run) or cost(run, before, after) >= 2.9
-    return garbled, text, first
+            if s != run and all(_script(x) in "lcg" or x in "’–°³±²€" for x in s) and (c := cost(s, before, after)) <= here - 1.5 and c < min(1, best[0]):
+                best, first = (c, s), (a, b)
+    garbled = first is not None or "�" in run or any("\x80" <= c <= "\x9f" for c in run) or here >= 2.9
+    return garbled, best[1], first
+
+
+def _single(s: str, encoding: str, here: float) -> bool:
+    """One Cyrillic letter out of an encoding in which many pairs of signs are one: that says little by itself."""
+    return encoding in ("mac_roman", "cp1251", "koi8_r", "cp866") and len(s) == 1 and s in _CYRILLIC and here - STRICT < 2
 
 
-#: Leftovers whose continuation became blanks or was lost: they can't be restored.
-_LOST_SIGN = re.compile("[ûñÃÂâÄÅÐÑ]")
-_LOST = re.compile(r"(?<=\s)[ûñ](?=\s)|(?<![^\s\"'(>|])[ÃÂâ](?=[ \n]|$)|[a-zà-ÿ][ÃÂÄÅÐÑ](?= [a-z]|\s|$)")
+#: First signs of a pair whose second one, a no-break space, became a blank or was lost.
+_LEADS = "ÃÂâÄÅÐÑ"
 
 
 def unescape(text: str) -> str:
@@ -197,6 +214,18 @@ def unescape(text: str) -> str:
     return _ENTITY.sub(lambda m: c if len(c := html.unescape(m.group())) == 1 and ord(c) > 127 else m.group(), text)
 
 
+def _with_lost(run: str, before: str, after: str) -> tuple | None:
+    """The verdict of a run before blanks that were the rest of a sign: it is garbled, though not restorable, if it
+    decodes at less cost with a rest put in their place."""
+    if len(run) == 1 and (before.isupper() or before == "-"):
+        return None
+    for rest in ("\xa0", "\x80\x99") if len(after) == 2 and after.isspace() else ("\xa0",):
+        garbled, text, first = run_verdict(run + rest, before, " ")
+        if garbled and first and first[1] == "utf-8" and len(text) <= len(run):
+            return True, run_verdict(run[:-1], before, run[-1])[1] + run[-1] if len(run) > 1 else run, None
+    return None
+
+
 def repair(text: str | None) -> tuple[bool, str | None]:
     """(garbled, text restored as far as it can be). Null and empty texts are returned as they are."""
     if not text or (text.isascii() and "&" not in text):
@@ -207,14 +236,16 @@ def repair(text: str | None) -> tuple[bool, str | None]:
     spans = []
     for m in _RUN.finditer(plain):
         i, j = m.span()
-        v = run_verdict(m.group(), plain[i - 1] if i else " ", plain[j] if j < size else " ")
+        before, after = plain[i - 1] if i else " ", plain[j] if j < size else " "
+        v = _with_lost(m.group(), before, plain[j : j + 2]) if plain[j - 1] in _LEADS and after.isspace() else None
+        v = v or run_verdict(m.group(), before, after)
         spans.append((i, j, v))
         if v[0]:
             garbled = True
             if v[2] and v[2][1] != "utf-8":
                 pairs[v[2]] += 1
     if not garbled:
-        return _LOST_SIGN.search(plain) is not None and _LOST.search(plain) is not None, text
+        return False, text
     if pairs:  # single bytes: letters that look right by themselves belong to the same wrong decoding
         a, b = pairs.most_common(1)[0][0]
         at_first = min(i for i, _, v in spans if v[2] and v[2][1] != "utf-8")

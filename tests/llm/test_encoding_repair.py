@@ -36,3 +36,27 @@ def test_table(spark):
     assert {tuple(r) for r in found} == {("a", "subject"), ("c", "body_text"), (None, "subject")} and len(found) == 3
     assert {(r.record_id, r.restored[-3:]) for r in restored_fields(df, "email_id", ["subject"]).collect()} == {("a", "und"), (None, "å")}
     assert garbled_fields(df.limit(0), "email_id", ["subject"]).count() == 0
+
+
+def test_only_a_drop_of_cost_is_taken():
+    for s in ("ÄÖÜäöüß", "áéíóúüñ", "Ærø å ø", "à é ó", "Straße, Grüße", "Πειραιάς и Одесса", "ÉÈÊ àâç"):
+        assert repair(s) == (False, s)
+    from halyard.llm.encoding_repair import _total, run_verdict
+
+    for run in ("Ã©", "â€™", "Ð´Ð¾Ð¼", "ÃƒÂ©", "é", "ß"):
+        garbled, text, first = run_verdict(run, "a", "b")
+        assert (first is None) == (text == run) and (first is None or _total(text, "a", "b") < _total(run, "a", "b"))
+
+
+def test_layers_have_no_bound():
+    s = "Kårstø – prêt"
+    for n in range(1, 9):
+        t = s
+        for _ in range(n):
+            t = t.encode().decode("latin-1")
+        assert repair(t) == (True, s), n
+
+
+def test_lost_and_single_signs():
+    assert repair("Fujairah û arrival")[1] == "Fujairah – arrival"
+    assert repair("Bonjour Ã  tous")[0] and repair("The vesselâ  s draft")[0] and not repair("Bom dia à todos")[0]
