@@ -99,12 +99,12 @@ def without_legal_notices(c: Column) -> Column:
 
 
 def tidy_space(c: Column) -> Column:
-    """Runs of blanks to one, none at line ends or before punctuation, at most one blank line; empty becomes null."""
+    """Runs of blanks to one, none at line ends or before punctuation, at most one blank line, no white space of any kind at the ends; empty becomes null."""
     c = F.regexp_replace(c, r"[ \t]{2,}", " ")
     c = F.regexp_replace(c, r"[ \t]+(\n|\z)", "$1")
     c = F.regexp_replace(c, r" +([,.;:!?])", "$1")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+\z", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""), F.lit(""))
 
 
 class _Text(HTMLParser):
@@ -281,3 +281,17 @@ def letter_label(n: Column) -> Column:
 def short_time(c: Column) -> Column:
     """Date and minute, the date alone at midnight."""
     return F.when(F.date_format(c, "HH:mm:ss") == "00:00:00", F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm"))
+
+
+def under_root(c: Column, old: str, new: str) -> Column:
+    """A path with one root replaced by another; other paths stay."""
+    return F.when(c.startswith(old), F.concat(F.lit(new), F.substr(c, F.lit(len(old) + 1)))).otherwise(c)
+
+
+def extraction_mode(chars: Column, threshold: int = 6000, system_chars: int = 2000, answer_tokens: int = 2500, window: int = 32_768) -> Column:
+    """`full` where a text of so many characters fits a model's window beside its instructions and answer, else `classify`; also from
+    a threshold on (-1: none). Three characters are taken for a token and 400 tokens kept free. Null stays null."""
+    over = F.floor((chars + system_chars) / 3) + answer_tokens + 400 > window
+    if threshold != -1:
+        over = over | (chars >= threshold)
+    return F.when(chars.isNotNull(), F.when(over, "classify").otherwise("full"))

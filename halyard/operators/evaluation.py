@@ -21,11 +21,25 @@ def recall_and_mrr(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.drop(*by).withColumnsRenamed({f"__{c}": c for c in by})
 
 
-def canonical_source(results: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Adds email_id: an email is its own source, an attachment that of the smallest email_id that carries it; unknown ones stay null."""
+def vote_recall(votes: DataFrame, by: list[str], query: str = "query_id", most: int | None = None) -> DataFrame:
+    """(by, total, hits, recall) of votes (query, by, group, expected, rank of the group by votes): a query is a hit if its
+    expected group ranks first, or within `most`. A row 'total' over all is added."""
+    hit = F.max((F.col("group") == F.col("expected")) & (F.col("rank") <= (most or 1)))
+    per = votes.groupBy(query, *by).agg(F.coalesce(hit, F.lit(False)).alias("hit"))
+    names = [F.when(F.grouping(c) == 1, "total").otherwise(F.col(c).cast("string")).alias(f"__{c}") for c in by]
+    out = per.rollup(*by).agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("recall"), *names)
+    return out.drop(*by).withColumnsRenamed({f"__{c}": c for c in by})
+
+
+def canonical_source(results: DataFrame, attachments: DataFrame, strategy: str | None = None) -> DataFrame:
+    """Adds email_id: an email is its own source, an attachment that of the smallest email_id that carries it; unknown
+    ones stay null. strategy names a column: summaries of attachments bear their message's id already."""
     owner = attachments.where("sha256 is not null").groupBy("sha256").agg(F.min("email_id").alias("__email"))
     joined = results.join(owner, (F.col("source_type") == "attachment") & (F.col("source_id") == F.col("sha256")), "left")
-    return joined.withColumn("email_id", F.when(F.col("source_type") == "email", F.col("source_id")).otherwise(F.col("__email"))).drop("__email", "sha256")
+    own = F.col("source_type") == "email"
+    if strategy:
+        own = own | (F.col(strategy) == "summary")
+    return joined.withColumn("email_id", F.when(own, F.col("source_id")).otherwise(F.col("__email"))).drop("__email", "sha256")
 
 
 def resolve_filter(values: list[str] | None, allowed: list[str], default: list[str]) -> list[str] | None:

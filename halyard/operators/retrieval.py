@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +32,34 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int, labels: list[int] | None = None) -> DataFrame:
-    """(vec_id, label, similarity) of the k vectors nearest to one query, optionally of some labels only; ties by vec_id. Null vectors are left out."""
+    """(vec_id, label, similarity) of the k vectors nearest to one query, optionally of some labels only; ties by vec_id.
+
+    Null vectors and those of another length are left out. Every batch is one product of a matrix and the query and
+    leaves k rows, so that only these are sorted.
+    """
     v = vectors.where("embedding is not null")
     if labels is not None:
         v = v.where(F.col("label").isin(*labels))
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return v.select("vec_id", "label", cosine(F.col("embedding"), q).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    q = np.asarray(query, float)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("embedding")
+            offsets = col.offsets.to_numpy()
+            b = b.filter(pa.array(np.diff(offsets) == len(q)))
+            if not b.num_rows:
+                continue
+            m = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            norm = np.linalg.norm(m, axis=1)
+            sims = np.where(norm == 0, 0.0, m @ q / np.where(norm == 0, 1.0, norm))
+            ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+            top = np.lexsort((ids, -sims))[:k]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(top)), b.column("label").take(pa.array(top)), pa.array(sims[top])], ["vec_id", "label", "similarity"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    found = v.select("vec_id", "label", "embedding").mapInArrow(near, f"vec_id {kinds['vec_id']}, label {kinds['label']}, similarity double")
+    return found.orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def group_vote(nearest: DataFrame, group: str = "label") -> DataFrame:
@@ -82,45 +109,36 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, within: str | Non
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, len, tf): words of each document and how often each of the terms stands in it; null texts are left out."""
-    w = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
-    return w.select("doc_id", F.size("w").alias("len"), F.array(*[count(t) for t in terms]).alias("tf"))
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, len, n_docs, total_len): one row per word of a document, in order of words.
 
+    Written as a table, a search reads only the parts whose range of words holds its terms. len is the document's
+    number of words; n_docs and total_len are sums over all documents that have a text, the same in every row. The
+    range of a word that very many documents hold is split by document.
+    """
+    w = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
+    sums = w.agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).cast("bigint").alias("total_len"))
+    counted = w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    ordered = counted.crossJoin(F.broadcast(sums))  # sums has one row
+    return ordered.select("term", "doc_id", "tf", "len", "n_docs", "total_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
-def _holding(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """term_counts of the documents that hold any of the terms; texts without their letters aren't split into words."""
-    low = F.lower(F.col("text"))
-    some = F.lit(False)
-    for t in terms:
-        some = some | low.contains(t)
-    return term_counts(docs.where(some), terms).where(F.exists("tf", lambda x: x > 0))
 
+def bm25(index: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, score) of documents that hold any of the terms, from their postings; document counts and lengths are of all documents, also where a filter follows."""
+    terms = list(dict.fromkeys(terms))
+    hits = index.where(F.col("term").isin(*terms))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf, mean = F.col("tf"), F.col("total_len") / F.col("n_docs")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean))
+    return hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))  # df has a row per term
 
-def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, score) of documents that hold any of the terms; document counts and lengths are of all documents, also where a filter follows.
 
-    Documents are unique by doc_id. Only one row of sums is gathered; the scores need no shuffle.
-    """
-    terms = list(dict.fromkeys(terms))
-    c = term_counts(docs, terms)
-    stats = c.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    scored = _holding(docs, terms).crossJoin(F.broadcast(stats))  # stats has one row
-    total = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col("tf")[i], F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return scored.select("doc_id", total.alias("score"))
-
-
-def term_rank(docs: DataFrame, terms: list[str]) -> DataFrame:
+def term_rank(index: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, score): every term adds 0.1 * sum of 1 / i^2 over its occurrences, over 1.644934 and the number of terms. Terms of one letter don't count."""
     terms = [t for t in dict.fromkeys(terms) if len(t) > 1]
-    gain = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, i: s + 1.0 / (i * i))).otherwise(0.0) / 1.644934 * 0.1
-    c = _holding(docs, terms)
-    return c.select("doc_id", (F.aggregate("tf", F.lit(0.0), lambda s, n: s + gain(n)) / len(terms)).alias("score"))
+    gain = F.aggregate(F.sequence(F.lit(1), F.col("tf")), F.lit(0.0), lambda s, i: s + 1.0 / (i * i)) / 1.644934 * 0.1
+    return index.where(F.col("term").isin(*terms)).groupBy("doc_id").agg((F.sum(gain) / len(terms)).alias("score"))
 
 
 def topk(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score", digits: int = 9) -> DataFrame:
@@ -138,30 +156,45 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int, key: str = "doc_id") ->
     return both.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: list[float], terms: list[str], k: int, mode: str = "hybrid") -> DataFrame:
-    """Search by vectors and words: both lists hold 2 k candidates. Modes: hybrid (BM25), hybrid_rank (term ranks), bm25_only, rank_only, vector_only."""
+def hybrid(index: DataFrame, vectors: DataFrame, query: list[float], terms: list[str], k: int, mode: str = "hybrid") -> DataFrame:
+    """Search by vectors and words (postings): both lists hold 2 k candidates. Modes: hybrid (BM25), hybrid_rank (term ranks), bm25_only, rank_only, vector_only."""
     lexical = term_rank if "rank" in mode else bm25
     if mode == "vector_only":
         near = vector_topk(vectors, query, k).withColumnsRenamed({"vec_id": "doc_id", "similarity": "score"})
         return topk(near, k, digits=15).select("doc_id", F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("lexical_rank"), F.col("score").alias("fused_score"), "rank")
     if mode.endswith("_only"):
-        return topk(lexical(docs, terms), k).select("doc_id", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("lexical_rank"), F.col("score").alias("fused_score"), "rank")
+        return topk(lexical(index, terms), k).select("doc_id", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("lexical_rank"), F.col("score").alias("fused_score"), "rank")
     near = vector_topk(vectors, query, 2 * k).withColumnsRenamed({"vec_id": "doc_id", "similarity": "score"})
-    return fuse(topk(near, 2 * k, digits=15), topk(lexical(docs, terms), 2 * k), k)
+    return fuse(topk(near, 2 * k, digits=15), topk(lexical(index, terms), 2 * k), k)
+
+
+def word_overlap(question: str, texts: pd.Series) -> pd.Series:
+    """A stand-in for a scoring model: the share of the question's words that a text holds."""
+    asked = set(re.findall(r"[^\W_]+", question.lower()))
+    return texts.map(lambda t: len(asked & set(re.findall(r"[^\W_]+", t.lower()))) / max(1, len(asked)))
+
 
+def rerank(candidates: DataFrame, question: str, k: int, scorer: Callable[[str, pd.Series], pd.Series] = word_overlap) -> DataFrame:
+    """The k candidates (doc_id, text, rank, ...) that a scorer likes best, with its score and their new rank.
 
-def rerank(candidates: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """The default scorer: share of the query's words that stand in the first 24,000 characters of a candidate."""
-    q = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-    overlap = F.size(F.array_intersect(q, words(F.substring("text", 1, 24_000)))) / F.size(q)
-    return topk(candidates.withColumn("score", overlap).drop("rank"), k)
+    The scorer sees texts up to 24,000 characters (the model's limit) and may leave scores null: such rows drop
+    out. Where it gives no score at all, the first k stay in their order.
+    """
+
+    @F.pandas_udf("double")
+    def score(s: pd.Series) -> pd.Series:
+        return scorer(question, s.fillna("")).astype(float)
+
+    scored = candidates.withColumn("score", score(F.substring("text", 1, 24_000))).withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+    any_score = F.max(F.col("score").isNotNull()).over(Window.partitionBy())  # candidates are a search's few rows
+    kept = scored.withColumn("__any", any_score).where("not __any or score is not null")
+    order = [F.desc(F.round("score", 9)), F.when(F.col("__any"), F.lit(0)).otherwise(F.col("rank")), F.col("doc_id")]
+    best = kept.withColumn("__rank", F.row_number().over(Window.orderBy(*order))).where(F.col("__rank") <= k)
+    return best.drop("__any", "rank").withColumnRenamed("__rank", "rank")
 
 
 def hash_embedding(texts: pd.Series, dim: int = 64) -> pd.Series:
     """Signed feature hashing of words, of length 1; a stand-in where no model is at hand."""
-    import hashlib
-    import re
-
     out = []
     for t in texts:
         v = np.zeros(dim)

@@ -1,8 +1,8 @@
 """Threads of messages: connected components over replies, references and shared subjects with shared people.
 
-Messages with equal subject and a common participant are linked through a node for (group, subject, participant)
-instead of pair by pair, so the links grow with the messages. Components are found by repeatedly taking the
-smallest label over links and then jumping along labels, with the state written out each round.
+Messages with equal subject and a common participant are linked to the first of them instead of pair by pair, so
+the links grow with the messages. Components are found by alternating large and small stars (Kiveris et al., 2014):
+each step links a node's neighbours to the smallest of them, and the links are written out after each round.
 """
 
 from __future__ import annotations
@@ -11,28 +11,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.text import normalize_subject, uuid5
-from halyard.sources.staging import staged
+from halyard.sources.staging import discard, staged
 
 #: Fixed value: namespace of thread ids.
 NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
-MAX_ROUNDS = 60
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, root): every node with the smallest id of its component. links: a, b in any direction, with repeats."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = staged(both, "links")
-    state = staged(nodes.select("id").distinct().withColumn("root", F.col("id")), "roots")
-    for _ in range(MAX_ROUNDS):
-        near = both.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
-        step = state.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("low", "root")).alias("root"))
-        jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = staged(step.join(jump, "root", "left").select("id", "old", F.coalesce("up", "root").alias("root")), "roots")
-        changed = new.where("old <> root").limit(1).count()
-        state = new.select("id", "root")
-        if not changed:
-            return state
-    raise RuntimeError("components need more rounds than allowed")
+    """(id, root): every node with the smallest id of its component. links: a, b in any direction, with repeats.
+
+    The smallest neighbours are partial minima; each node's links meet their one minimum in a join that can be split
+    where a node has very many.
+    """
+    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    size = lambda df: df.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
+    seen = None
+    while (now := size(edges)) != seen:
+        seen = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        new = staged(small.distinct(), "links")
+        discard(edges, large)
+        edges = new
+    return nodes.select("id").distinct().join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def thread_links(messages: DataFrame) -> DataFrame:
@@ -46,7 +51,9 @@ def thread_links(messages: DataFrame) -> DataFrame:
     replies = asked.join(known, ["group_key", "message_id"]).select("a", "b")
     topic = normalize_subject(F.col("subject"))
     by_person = messages.select("group_key", F.col("id").alias("a"), topic.alias("topic"), F.explode(F.array_distinct(F.transform("people", lambda p: F.lower(p)))).alias("person")).where("topic <> '' and person is not null and person <> ''")
-    met = by_person.select("a", F.concat_ws("", F.lit("~"), "group_key", "topic", "person").alias("b"))
+    keys = ["group_key", "topic", "person"]
+    first = by_person.groupBy(*keys).agg(F.min("a").alias("b"))
+    met = by_person.join(first, keys).where("a <> b").select("a", "b")
     return replies.unionByName(met)
 
 
@@ -55,9 +62,7 @@ def threads(messages: DataFrame) -> DataFrame:
 
     The first message of a thread is the earliest by sent_at (a missing one comes first), then by id.
     """
-    links = staged(thread_links(messages), "thread_links")
-    nodes = messages.select("id").unionByName(links.select(F.col("b").alias("id")))
-    roots = components(nodes, links).join(messages.select("id"), "id", "left_semi")
+    roots = components(messages, thread_links(messages))
     rows = messages.select("id", "group_key", "sent_at", normalize_subject(F.col("subject")).alias("topic")).join(roots, "id")
     first = rows.groupBy("root").agg(F.min(F.struct(F.coalesce(F.unix_micros("sent_at"), F.lit(0)).alias("t"), "id", "group_key", "topic")).alias("x"), F.count("*").alias("thread_size"))
     name = F.concat_ws("|", F.coalesce("x.group_key", F.lit("")), F.coalesce(F.nullif(F.col("x.topic"), F.lit("")), F.col("x.id")), F.col("x.id"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import text as T
-from halyard.operators import chunking, evaluation, providers, retrieval, threads, upserts
+from halyard.operators import chunking, contexts, evaluation, providers, retrieval, threads, upserts
+from halyard.sources.staging import staged
 from halyard.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +53,15 @@ def upsert_files(s: SparkSession, d: str) -> DataFrame:
     return upserts.upsert(ranked.where("rn = 1").drop("rn"), ranked.where("rn > 1").drop("rn"), ["sha256"], [F.desc("processed_at"), F.desc("char_count")]).select("sha256", "char_count")
 
 
-@query("SELECT email_id, eml_path FROM (SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY ingested_at, eml_path) rn FROM emails) WHERE rn = 1")
+@query(
+    """WITH r AS (SELECT email_id, eml_path, row_number() OVER (PARTITION BY email_id ORDER BY ingested_at, eml_path) a, row_number() OVER (PARTITION BY email_id ORDER BY ingested_at DESC, eml_path DESC) z FROM emails),
+    t AS (SELECT email_id, eml_path FROM r WHERE z = 1 AND email_id IN (SELECT email_id FROM parsed_eml)) SELECT * FROM t UNION ALL SELECT email_id, eml_path FROM r WHERE a = 1 AND email_id NOT IN (SELECT email_id FROM t)"""
+)
 def insert_new_emails(s: SparkSession, d: str) -> DataFrame:
+    """Messages that have been parsed are there with their latest export; all exports arrive again."""
     rows = table(s, d, "emails", "email_id", "eml_path", "ingested_at")
-    return upserts.insert_or_ignore(rows.limit(0), rows, ["email_id"], [F.asc("ingested_at"), F.asc("eml_path")]).select("email_id", "eml_path")
+    there = _emails(s, d).select("email_id", "eml_path", "ingested_at").join(table(s, d, "parsed_eml", "email_id"), "email_id", "left_semi")
+    return upserts.insert_or_ignore(there, rows, ["email_id"], [F.asc("ingested_at"), F.asc("eml_path")]).select("email_id", "eml_path")
 
 
 @query(
@@ -193,6 +199,7 @@ def normalized_subjects(s: SparkSession, d: str) -> DataFrame:
     return _emails(s, d, "subject").select("email_id", T.normalize_subject(F.col("subject")).alias("topic"))
 
 
+_WS = r"[\s\p{Z}\x{000B}\x{001C}-\x{001F}\x{0085}]"
 _UNIX = r"regexp_replace(body_text, '\r\n|\r', chr(10), 'g')"
 
 
@@ -207,7 +214,7 @@ def bodies_without_notices(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"SELECT email_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_UNIX}, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+(\n|\z)', '\1', 'g'), ' +([,.;:!?])', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+\z', '', 'g'), '') AS body FROM {_EMAILS}"
+    rf"SELECT email_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_UNIX}, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+(\n|\z)', '\1', 'g'), ' +([,.;:!?])', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+\z', '', 'g'), '') AS body FROM {_EMAILS}"
 )
 def tidy_bodies(s: SparkSession, d: str) -> DataFrame:
     return _emails(s, d, "body_text").select("email_id", T.tidy_space(T.unix_lines(F.col("body_text"))).alias("body"))
@@ -348,13 +355,39 @@ def thread_lists(s: SparkSession, d: str) -> DataFrame:
     return e.select("thread_id", "email_id", F.row_number().over(Window.partitionBy("thread_id").orderBy("ingested_at", "email_id")).alias("position"))
 
 
-@query()
+_DIGIT = "(instr('0123456789abcdef', substr(h, 17, 1)) - 1)"
+
+
+@query(
+    rf"""WITH RECURSIVE m AS (SELECT email_id AS id, coalesce(voyage_key, '') AS g, message_id, in_reply_to, coalesce(reference_ids, []) AS refs, {_SUBJECT} AS topic, ingested_at,
+    list_concat([regexp_extract(coalesce(from_addr, ''), '([^<>\s]+@[^<>\s]+)', 1)], coalesce(to_addr, []), coalesce(cc_addr, [])) AS people FROM {_EMAILS}),
+    k AS (SELECT g, message_id, max(id) AS b FROM m WHERE message_id IS NOT NULL GROUP BY ALL),
+    asked AS (SELECT g, id AS a, unnest(list_append(refs, in_reply_to)) AS message_id FROM m), person AS (SELECT id AS a, g, topic, lower(unnest(people)) AS p FROM m WHERE topic <> ''),
+    l AS (SELECT a, b FROM asked JOIN k USING (g, message_id) UNION SELECT a, '~' || g || chr(1) || topic || chr(1) || p FROM person WHERE p <> ''), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    reach AS (SELECT id AS a, id AS b FROM m UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
+    f AS (SELECT root, count(*) AS n, arg_min(struct_pack(id := id, g := g, topic := topic), (coalesce(epoch_us(ingested_at), 0), id)) AS x FROM m JOIN c USING (id) GROUP BY root),
+    u AS (SELECT root, n, lower(sha1(unhex('{threads.NAMESPACE}') || encode(concat_ws('|', x.g, coalesce(nullif(x.topic, ''), x.id), x.id)))) AS h FROM f)
+    SELECT id AS email_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', {_DIGIT} % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS thread_id, CAST(n AS BIGINT) AS thread_size FROM c JOIN u USING (root)"""
+)
 def message_threads(s: SparkSession, d: str) -> DataFrame:
+    """Threads named by the message that arrived first."""
+    return threads.threads(_messages(s, d).withColumn("sent_at", F.col("ingested_at"))).withColumnRenamed("id", "email_id")
+
+
+@query()
+def message_threads_by_date(s: SparkSession, d: str) -> DataFrame:
+    """Threads named by the message that was sent first, by the normalised instants of sent_at; no SQL can read these strings."""
+    from halyard.plans.core import p4_normalised
+
+    sent = p4_normalised(s, d).where("record_type = 'emails' and sent_us is not null").groupBy(F.col("record_id").alias("id")).agg(F.timestamp_micros(F.min("sent_us")).alias("sent_at"))
+    return threads.threads(_messages(s, d).join(sent, "id", "left")).withColumnRenamed("id", "email_id")
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
     e = _emails(s, d, "voyage_key", "message_id", "in_reply_to", "reference_ids", "subject", "from_addr", "to_addr", "cc_addr")
     none = F.array().cast("array<string>")
     people = F.concat(F.array(F.regexp_extract(F.coalesce("from_addr", F.lit("")), r"([^<>\s]+@[^<>\s]+)", 1)), F.coalesce("to_addr", none), F.coalesce("cc_addr", none))
-    m = e.select(F.col("email_id").alias("id"), F.coalesce("voyage_key", F.lit("")).alias("group_key"), "message_id", "in_reply_to", "reference_ids", "subject", people.alias("people"), F.col("ingested_at").alias("sent_at"))
-    return threads.threads(m).withColumnRenamed("id", "email_id")
+    return e.select(F.col("email_id").alias("id"), F.coalesce("voyage_key", F.lit("")).alias("group_key"), "message_id", "in_reply_to", "reference_ids", "subject", people.alias("people"), "ingested_at")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7|' || CAST(doc_id AS VARCHAR)), doc_id) rn FROM documents) WHERE rn = 1")
@@ -391,7 +424,17 @@ def operator_messages(s: SparkSession, d: str) -> DataFrame:
 # Chunks and prompts
 
 
-@query()
+_TAKEN = "substr(s, CAST(a AS INTEGER) + 1051, 450)"
+_BREAK = lambda e: f"nullif(length(regexp_extract({_TAKEN}, '(?s)^(.*{e})')), 0)"  # noqa: E731  end of the last one in the window's tail
+
+
+@query(
+    rf"""WITH RECURSIVE t AS (SELECT CAST(doc_id AS VARCHAR) AS id, regexp_replace(text, '^{_WS}+|{_WS}+\z', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT id, s, 0 AS k, 0 AS a, CASE WHEN length(s) <= 1500 THEN length(s) ELSE (SELECT 1050 + coalesce({_BREAK(chr(92) + "n" + chr(92) + "n")}, {_BREAK(chr(92) + "n")}, {_BREAK("[.] ")}, {_BREAK("! ")}, {_BREAK("[?] ")}, {_BREAK(" ")}, 450) FROM (SELECT 0 AS a)) END AS e FROM t WHERE s <> ''
+    UNION ALL SELECT id, s, k + 1, b, CASE WHEN length(s) - b <= 1500 THEN length(s) ELSE b + 1050 + (SELECT coalesce({_BREAK(chr(92) + "n" + chr(92) + "n")}, {_BREAK(chr(92) + "n")}, {_BREAK("[.] ")}, {_BREAK("! ")}, {_BREAK("[?] ")}, {_BREAK(" ")}, 450) FROM (SELECT b AS a)) END
+    FROM (SELECT *, CASE WHEN e - 200 > a THEN e - 200 ELSE e END AS b FROM c WHERE e < length(s)))
+    SELECT id, CAST(k AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start, CAST(length(x) AS INTEGER) AS n_chars, CAST(length(x) // 4 AS INTEGER) AS token_estimate FROM (SELECT id, k, a, regexp_replace(substr(s, CAST(a AS INTEGER) + 1, CAST(e - a AS INTEGER)), '{_WS}+\z', '') AS x FROM c)"""
+)
 def document_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(table(s, d, "documents", "doc_id", "text"), "doc_id", "text").drop("text")
 
@@ -413,11 +456,74 @@ def email_prompts(s: SparkSession, d: str) -> DataFrame:
     return e.select("email_id", F.concat(F.lit("From: "), c("from_addr"), F.lit("\nSubject: "), c("subject"), F.lit("\nFiles: "), c("n", "0"), F.lit(" "), c("name", "-"), F.lit("\n\n"), c("body_cleaned")).alias("prompt"))
 
 
-@query()
+@query(
+    rf"""WITH p AS (SELECT email_id, prompt, regexp_replace(substr(prompt, strpos(prompt, chr(10) || chr(10)) + 2), '^{_WS}+|{_WS}+\z', '', 'g') AS b, length(regexp_replace(prompt, '{_WS}', '', 'g')) >= 50 AS ok FROM ({SQL["email_prompts"]})),
+    q AS (SELECT *, regexp_extract(b, '(?s)^(.*?[.!?]){_WS}', 1) AS one FROM p), r AS (SELECT *, regexp_replace(substr(b, length(one) + 1), '^{_WS}+', '') AS rest FROM q), w AS (SELECT *, regexp_extract(rest, '(?s)^(.*?[.!?]){_WS}', 1) AS two FROM r),
+    x AS (SELECT email_id, prompt, ok, CASE WHEN one = '' THEN b WHEN two = '' THEN one || ' ' || rest ELSE one || ' ' || two END AS t FROM w)
+    SELECT email_id, CASE WHEN ok THEN t END AS text, CAST(CASE WHEN ok THEN length(prompt) // 3 ELSE 0 END AS INTEGER) AS input_tokens, CAST(CASE WHEN ok THEN length(t) // 3 ELSE 0 END AS INTEGER) AS output_tokens, CASE WHEN ok THEN 'ok' ELSE 'skipped' END AS status, CAST(NULL AS VARCHAR) AS error FROM x"""
+)
 def email_summaries(s: SparkSession, d: str) -> DataFrame:
     return providers.complete(email_prompts(s, d), "email_id", F.col("prompt"), least=50)
 
 
+_STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+\\z', '', 'g')"
+
+
+@query(
+    f"""WITH f AS (SELECT a.email_id, string_agg('--- Attachment: ' || coalesce(a.file_name, '') || ' ---' || chr(10) || coalesce({_STRIP("m.t")}, ''), chr(10) ORDER BY a.id) AS t FROM attachments a LEFT JOIN (SELECT sha256, max(markdown) AS t FROM docling GROUP BY sha256) m USING (sha256) GROUP BY a.email_id),
+    p AS (SELECT email_id, 'Direction: ' || coalesce(direction, '') || chr(10) || 'Date: ' || coalesce(strftime(ingested_at, '%Y-%m-%d %H:%M'), '') || chr(10) || chr(10) || 'Email summary:' || chr(10) || coalesce({_STRIP("coalesce(subject, '')")}, '') || coalesce(chr(10) || chr(10) || t, '') AS prompt FROM {_EMAILS} LEFT JOIN f USING (email_id))
+    SELECT email_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS n_chars FROM p"""
+)
+def attachment_prompts(s: SparkSession, d: str) -> DataFrame:
+    """Messages with the whole texts of their files in order."""
+    texts = table(s, d, "docling", "sha256", "markdown").groupBy("sha256").agg(F.max("markdown").alias("content"))
+    files = table(s, d, "attachments", "email_id", "id", "file_name", "sha256").join(texts, "sha256", "left").withColumnRenamed("id", "ord")
+    e = _emails(s, d, "direction", "subject").select("email_id", "direction", F.date_format("ingested_at", "yyyy-MM-dd HH:mm").alias("date"), F.coalesce("subject", F.lit("")).alias("summary"))
+    return contexts.attachment_prompts(e, files).select("email_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), F.length("prompt").cast("bigint").alias("n_chars"))
+
+
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY email_id, file_name, sha256 ORDER BY id DESC) z, row_number() OVER (PARTITION BY email_id, file_name, sha256 ORDER BY id) a FROM attachments) SELECT email_id, file_name, sha256, id FROM r WHERE z = 1"""
+)
+def upsert_by_four_columns(s: SparkSession, d: str) -> DataFrame:
+    """An upsert whose key is made of several columns, nulls among them counting as equal values."""
+    rows = table(s, d, "attachments", "email_id", "file_name", "sha256", "id")
+    keyed = rows.withColumns({f"k{i}": F.coalesce(c, F.lit("\0")) for i, c in enumerate(["email_id", "file_name", "sha256"])})
+    keys = ["k0", "k1", "k2"]
+    old = upserts.first_by(keyed, keys, [F.asc("id")])
+    return upserts.upsert(old, keyed, keys, [F.desc("id")]).select("email_id", "file_name", "sha256", "id")
+
+
+@query("SELECT id, voyage_key, CAST((row_number() OVER (PARTITION BY voyage_key ORDER BY id) - 1) // 15 AS BIGINT) AS batch FROM attachments")
+def fixed_batches(s: SparkSession, d: str) -> DataFrame:
+    """Batches of 15 files within each group."""
+    rn = F.row_number().over(Window.partitionBy("voyage_key").orderBy("id"))
+    return table(s, d, "attachments", "id", "voyage_key").withColumn("rn", rn).select("id", "voyage_key", F.expr("cast((rn - 1) div 15 as bigint)").alias("batch"))
+
+
+@query("SELECT id, CASE WHEN starts_with(file_path, '/files/') THEN '/data/' || substr(file_path, 8) ELSE file_path END AS location, lower(regexp_extract(coalesce(file_name, ''), '(\\.[^./\\\\]*)$', 1)) AS extension FROM attachments")
+def file_locations(s: SparkSession, d: str) -> DataFrame:
+    """Paths below another root, and extensions."""
+    rows = table(s, d, "attachments", "id", "file_path", "file_name")
+    return rows.select("id", T.under_root(F.col("file_path"), "/files/", "/data/").alias("location"), F.lower(F.regexp_extract(F.coalesce("file_name", F.lit("")), r"(\.[^./\\]*)$", 1)).alias("extension"))
+
+
+@query(f"SELECT email_id, CAST(coalesce(cardinality(raw_headers), 0) AS INTEGER) AS n_headers, array_to_string(list_sort(map_keys(raw_headers)), ',') AS names, raw_headers['Date'] AS header_date FROM {_EMAILS}")
+def message_headers(s: SparkSession, d: str) -> DataFrame:
+    h = F.col("raw_headers")
+    return _emails(s, d, "raw_headers").select("email_id", F.coalesce(F.when(h.isNotNull(), F.size(h)), F.lit(0)).alias("n_headers"), F.array_join(F.array_sort(F.map_keys(h)), ",").alias("names"), F.try_element_at(h, F.lit("Date")).alias("header_date"))
+
+
+@query(
+    "WITH m AS (SELECT sha256, max(markdown) AS t FROM docling GROUP BY sha256), x AS (SELECT sha256, t, CASE WHEN t IS NULL THEN NULL WHEN (length(t) + 2000) // 3 + 2500 + 400 > 32768 OR length(t) >= 6000 THEN 'classify' ELSE 'full' END AS mode FROM m) SELECT sha256, mode, md5(CASE WHEN mode = 'classify' THEN substr(t, 1, 25000) ELSE t END) AS sent FROM x"
+)
+def extraction_inputs(s: SparkSession, d: str) -> DataFrame:
+    """What the model is sent for each file: the whole text, or for classification its first 25,000 characters, as the model's window demands."""
+    m = table(s, d, "docling", "sha256", "markdown").groupBy("sha256").agg(F.max("markdown").alias("t"))
+    mode = T.extraction_mode(F.length("t"))
+    return m.withColumn("mode", mode).select("sha256", "mode", F.md5(F.when(F.col("mode") == "classify", F.substring("t", 1, 25_000)).otherwise(F.col("t")).cast("binary")).alias("sent"))
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, 'document_type: draft' || chr(10) || 'DOCUMENT_TYPE: ' || coalesce(source, '') || chr(10) || 'Summary: ' || coalesce(substr(text, 1, 40), '') AS x FROM documents),
     l AS (SELECT doc_id, regexp_extract_all(x, '(?im)^[ 	]*DOCUMENT_TYPE:[ 	]*([^
@@ -485,7 +591,20 @@ _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q)"
 
 
 def _first_vector(s: SparkSession, d: str) -> list[float]:
-    return list(table(s, d, "embeddings").orderBy("vec_id").first()["embedding"])
+    return list(table(s, d, "embeddings").agg(F.min_by("embedding", "vec_id")).first()[0])
+
+
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def _postings(s: SparkSession, d: str) -> DataFrame:
+    """The documents' postings, written once per application and state of the table."""
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = path.getFileSystem(s._jsc.hadoopConfiguration())
+    key = (s.sparkContext.applicationId, d, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength())
+    if key not in _INDEXES:
+        _INDEXES[key] = staged(retrieval.postings(table(s, d, "documents", "doc_id", "text")), "postings")
+    return _INDEXES[key]
 
 
 @query(f"SELECT vec_id, label, round({_COS}, 9) AS similarity FROM embeddings e, {_Q} ORDER BY {_COS} DESC, vec_id LIMIT 20")
@@ -530,9 +649,21 @@ def nearest_of_label(s: SparkSession, d: str) -> DataFrame:
     return retrieval.batch_topk(v, v.where("vec_id % 20 = 0"), 5, "label").select("query_id", "vec_id", "rank")
 
 
-@query()
+_TERMS = ("demurrage", "charterers", "pilot")
+_IN = ", ".join(f"'{t}'" for t in _TERMS)
+_TOKENS = r"(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"
+_RANKED = f"(SELECT doc_id, sum(list_sum(list_transform(range(1, tf + 1), lambda i: 1.0 / (i * i))) / 1.644934 * 0.1) / 3 AS score FROM (SELECT doc_id, term, count(*) AS tf FROM {_TOKENS} WHERE term IN ({_IN}) GROUP BY ALL) GROUP BY doc_id)"
+_FUSED = lambda lexical: (
+    f"""WITH v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_COS} DESC, vec_id) AS vr FROM embeddings e, {_Q} QUALIFY vr <= 40), x AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS lr FROM {lexical} QUALIFY lr <= 40),
+    b AS (SELECT doc_id, vr, lr, coalesce(1.0 / (60 + vr), 0) + coalesce(1.0 / (60 + lr), 0) AS s FROM v FULL JOIN x USING (doc_id))"""
+)
+
+
+@query(
+    f"""{_FUSED(_RANKED)} SELECT doc_id, CAST(vr AS INTEGER) AS vector_rank, CAST(lr AS INTEGER) AS lexical_rank, round(s, 9) AS fused_score, CAST(row_number() OVER (ORDER BY round(s, 12) DESC, vr NULLS LAST, lr NULLS LAST, doc_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 20"""
+)
 def hybrid_rank_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(table(s, d, "documents", "doc_id", "text"), table(s, d, "embeddings"), _first_vector(s, d), list(_TERMS), 20, "hybrid_rank")
+    return retrieval.hybrid(_postings(s, d), table(s, d, "embeddings"), _first_vector(s, d), list(_TERMS), 20, "hybrid_rank").withColumn("fused_score", F.round("fused_score", 9))
 
 
 _HITS = f"(SELECT n.query_id, min(CASE WHEN a.label = b.label THEN rank END) AS first_rank, min(a.label) AS label FROM {_NEAR} n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.vec_id GROUP BY n.query_id)"
@@ -549,9 +680,6 @@ def recall_by_label(s: SparkSession, d: str) -> DataFrame:
     return evaluation.recall_and_mrr(hits, ["label"]).withColumns({"recall": F.round("recall", 6), "mrr": F.round("mrr", 6)})
 
 
-_TERMS = ("demurrage", "charterers", "pilot")
-_IN = ", ".join(f"'{t}'" for t in _TERMS)
-_TOKENS = r"(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"
 _BM25 = rf"""(WITH p AS (SELECT doc_id, term, count(*) AS tf FROM {_TOKENS} WHERE term IN ({_IN}) GROUP BY ALL), z AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS len FROM documents WHERE text IS NOT NULL),
     st AS (SELECT count(*) AS n, avg(len) AS a FROM z), f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
     SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))) AS score FROM p JOIN z USING (doc_id) JOIN f USING (term), st GROUP BY doc_id)"""
@@ -559,21 +687,21 @@ _BM25 = rf"""(WITH p AS (SELECT doc_id, term, count(*) AS tf FROM {_TOKENS} WHER
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {_BM25} ORDER BY round(score, 9) DESC, doc_id LIMIT 40")
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.topk(retrieval.bm25(table(s, d, "documents", "doc_id", "text"), list(_TERMS)), 40).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.topk(retrieval.bm25(_postings(s, d), list(_TERMS)), 40).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {_BM25} JOIN documents USING (doc_id) WHERE source IN ('port_logs', 'claims_letters') ORDER BY round(score, 9) DESC, doc_id LIMIT 40")
 def bm25_topk_of_sources(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents", "doc_id", "text", "source")
+    docs = table(s, d, "documents", "doc_id", "source")
     kept = docs.where(F.col("source").isin("port_logs", "claims_letters")).select("doc_id")
-    return retrieval.topk(retrieval.bm25(docs, list(_TERMS)).join(kept, "doc_id", "left_semi"), 40).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.topk(retrieval.bm25(_postings(s, d), list(_TERMS)).join(kept, "doc_id", "left_semi"), 40).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
     f"SELECT doc_id, round(sum(list_sum(list_transform(range(1, tf + 1), lambda i: 1.0 / (i * i))) / 1.644934 * 0.1) / 3, 6) AS score FROM (SELECT doc_id, term, count(*) AS tf FROM {_TOKENS} WHERE term IN ({_IN}) GROUP BY ALL) GROUP BY doc_id ORDER BY 2 DESC, doc_id LIMIT 40"
 )
 def term_rank_topk(s: SparkSession, d: str) -> DataFrame:
-    scored = retrieval.term_rank(table(s, d, "documents", "doc_id", "text"), list(_TERMS)).withColumn("score", F.round("score", 6))
+    scored = retrieval.term_rank(_postings(s, d), list(_TERMS)).withColumn("score", F.round("score", 6))
     return retrieval.topk(scored, 40).select("doc_id", "score")
 
 
@@ -584,7 +712,7 @@ def term_rank_topk(s: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
     v = retrieval.vector_topk(table(s, d, "embeddings"), _first_vector(s, d), 40).withColumnRenamed("vec_id", "doc_id").withColumnRenamed("similarity", "score")
-    x = retrieval.topk(retrieval.bm25(table(s, d, "documents", "doc_id", "text"), list(_TERMS)), 40)
+    x = retrieval.topk(retrieval.bm25(_postings(s, d), list(_TERMS)), 40)
     return retrieval.fuse(retrieval.topk(v, 40, digits=15), x, 20).select("doc_id", "vector_rank", "lexical_rank", F.round("fused_score", 9).alias("fused_score"))
 
 
@@ -594,8 +722,8 @@ def hybrid_topk(s: SparkSession, d: str) -> DataFrame:
 )
 def reranked(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents", "doc_id", "text")
-    pool = retrieval.topk(retrieval.bm25(docs, list(_TERMS)), 60).select("doc_id")
-    return retrieval.rerank(docs.join(pool, "doc_id"), ["demurrage", "rate", "laytime", "owners"], 20).select("doc_id", F.round("score", 6).alias("score"))
+    pool = retrieval.topk(retrieval.bm25(_postings(s, d), list(_TERMS)), 60).select("doc_id", "rank")
+    return retrieval.rerank(docs.join(pool, "doc_id"), "demurrage rate laytime owners", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -603,14 +731,17 @@ def reranked(s: SparkSession, d: str) -> DataFrame:
     SELECT voyage_key, doc_id, CAST(rk AS INTEGER) AS rank, CAST(dense_rank() OVER (ORDER BY g) AS INTEGER) AS group_no FROM (SELECT *, min(rk) OVER (PARTITION BY voyage_key) AS g FROM r)"""
 )
 def context_groups(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents", "doc_id", "text", "voyage_key")
-    hits = retrieval.bm25(docs, list(_TERMS)).join(docs.select("doc_id", "voyage_key").where("voyage_key is not null"), "doc_id")
+    docs = table(s, d, "documents", "doc_id", "voyage_key")
+    hits = retrieval.bm25(_postings(s, d), list(_TERMS)).join(docs.select("doc_id", "voyage_key").where("voyage_key is not null"), "doc_id")
     top = retrieval.topk(hits, 60)
     first = F.min("rank").over(Window.partitionBy("voyage_key"))
     return top.withColumn("g", first).select("voyage_key", "doc_id", "rank", F.dense_rank().over(Window.orderBy("g")).alias("group_no"))  # 60 rows
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT d.voyage_key, d.doc_id, d.text, row_number() OVER (ORDER BY round(b.score, 9) DESC, d.doc_id) AS rk FROM {_BM25} b JOIN documents d USING (doc_id) WHERE d.voyage_key IS NOT NULL QUALIFY rk <= 60), r AS (SELECT *, min(rk) OVER (PARTITION BY voyage_key) AS g FROM h), n AS (SELECT *, CAST(dense_rank() OVER (ORDER BY g) AS INTEGER) AS group_no FROM r)
+    SELECT group_no, voyage_key, '## ' || voyage_key || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rk) AS context FROM n GROUP BY group_no, voyage_key"""
+)
 def context_text(s: SparkSession, d: str) -> DataFrame:
     """The best 60 documents as one text a group, groups by their best document, documents by rank."""
     docs = table(s, d, "documents", "doc_id", "text")
@@ -626,3 +757,66 @@ def answer_similarity(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings", "vec_id", "embedding")
     after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return v.join(after, "vec_id").select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
+
+
+_SHEET = "coalesce(vessel_name, '') || ': ' || coalesce(commodity, '')"
+_LETTER = "CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) ELSE chr(CAST(64 + (n - 1) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER)) END"
+
+
+@query(
+    f"""WITH h0 AS (SELECT d.voyage_key AS g, CASE WHEN d.lang IS NOT NULL THEN e.email_id END AS m, coalesce(d.source, '') AS st, coalesce(d.text, '') AS t, round(b.score, 6) AS sim, row_number() OVER (ORDER BY round(b.score, 9) DESC, d.doc_id) AS rk FROM {_BM25} b JOIN documents d USING (doc_id) LEFT JOIN (SELECT voyage_key, min(email_id) AS email_id FROM emails GROUP BY 1) e ON e.voyage_key = d.voyage_key WHERE d.voyage_key IS NOT NULL QUALIFY rk <= 30),
+    w AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) AS place FROM h0 GROUP BY g), sh AS (SELECT g, s, row_number() OVER (ORDER BY place) AS n FROM w JOIN (SELECT voyage_key AS g, {_SHEET} AS s FROM fixtures) USING (g)),
+    b AS (SELECT *, max(sim) OVER p AS best, min(rk) OVER p AS first FROM h0 WINDOW p AS (PARTITION BY g, m)), k AS (SELECT *, dense_rank() OVER (ORDER BY best DESC, first) AS block FROM b),
+    lab AS (SELECT g, n FROM sh UNION ALL SELECT g, (SELECT count(*) FROM sh) + row_number() OVER (ORDER BY min(block)) FROM k WHERE g NOT IN (SELECT g FROM sh) GROUP BY g), em AS (SELECT m, 'e' || CAST(row_number() OVER (ORDER BY min(block)) AS VARCHAR) AS e FROM k WHERE m IS NOT NULL GROUP BY m),
+    su AS (SELECT email_id AS m, min(subject) AS s FROM emails GROUP BY 1),
+    r AS (SELECT row_number() OVER (ORDER BY block, rk) AS no, row_number() OVER (PARTITION BY block ORDER BY rk) = 1 AS head, row_number() OVER (PARTITION BY block ORDER BY rk DESC) = 1 AS tail, {_LETTER} AS l, e, k.m, su.s, st, t, sim FROM k JOIN lab USING (g) LEFT JOIN em ON em.m = k.m LEFT JOIN su ON su.m = k.m),
+    o AS (SELECT string_agg(CASE WHEN head THEN '[VOYAGE ' || l || ' | ' || coalesce('EMAIL ' || e, '(no email)') || ']' || chr(10) || coalesce('THREAD SUMMARY: ' || s || chr(10), '') ELSE '' END || 'CHUNK ' || CAST(no AS VARCHAR) || ' [' || st || '] (similarity ' || printf('%.4f', sim) || '): ' || t || CASE WHEN tail THEN chr(10) ELSE '' END, chr(10) ORDER BY no) AS b FROM r),
+    i AS (SELECT string_agg('[' || {_LETTER} || ']' || chr(10) || s || chr(10), chr(10) ORDER BY n) AS a FROM sh)
+    SELECT {_STRIP("coalesce('=== VOYAGE FIXTURES ===' || chr(10) || nullif(a, '') || chr(10), '') || '=== SOURCES ===' || chr(10) || coalesce(b, '')")} AS context FROM i, o"""
+)
+def built_context(s: SparkSession, d: str) -> DataFrame:
+    """The context of a search: sheets of the groups with most hits, then the hits below their messages."""
+    docs = table(s, d, "documents", "doc_id", "text", "voyage_key", "lang", "source").where("voyage_key is not null")
+    first = table(s, d, "emails", "voyage_key", "email_id").groupBy("voyage_key").agg(F.min("email_id").alias("email_id"))
+    top = retrieval.topk(retrieval.bm25(_postings(s, d), list(_TERMS)).join(docs.select("doc_id"), "doc_id", "left_semi"), 30)
+    hits = top.join(docs, "doc_id").join(first, "voyage_key", "left").select(F.col("voyage_key").alias("group"), F.when(F.col("lang").isNotNull(), F.col("email_id")).alias("message"), F.coalesce("source", F.lit("")).alias("source_type"), F.round("score", 6).alias("similarity"), "text", "rank")
+    winners = hits.groupBy("group").agg(F.count("*").alias("votes")).select("group", F.row_number().over(Window.orderBy(F.desc("votes"), "group")).alias("place"))  # 30 rows at most
+    c = lambda x: F.coalesce(x, F.lit(""))
+    sheets = table(s, d, "fixtures", "voyage_key", "vessel_name", "commodity").select(F.col("voyage_key").alias("group"), F.concat(c("vessel_name"), F.lit(": "), c("commodity")).alias("summary"))
+    subjects = table(s, d, "emails", "email_id", "subject").groupBy(F.col("email_id").alias("message")).agg(F.min("subject").alias("summary"))
+    return contexts.build_context(hits, winners, sheets, subjects)
+
+
+_VOTES = f"(SELECT query_id, g, expected, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best) AS rk FROM (SELECT n.query_id, b.label AS g, a.label AS expected, count(*) AS votes, min(n.rank) AS best FROM {_NEAR} n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.vec_id WHERE a.label <> 0 GROUP BY ALL))"
+
+
+@query(
+    f"SELECT CASE WHEN grouping(expected) = 1 THEN 'total' ELSE CAST(expected AS VARCHAR) END AS expected, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, round(avg(CAST(hit AS INTEGER)), 6) AS recall FROM (SELECT query_id, expected, coalesce(bool_or(g = expected AND rk <= 2), false) AS hit FROM {_VOTES} GROUP BY ALL) GROUP BY ROLLUP (expected)"
+)
+def recall_of_votes(s: SparkSession, d: str) -> DataFrame:
+    """How often the expected group is among the first two by votes; group 0 is left out."""
+    labels = table(s, d, "embeddings", "vec_id", "label")
+    n = _near(s, d).join(labels.withColumnRenamed("label", "group"), "vec_id").join(labels.where("label <> 0").withColumnsRenamed({"vec_id": "query_id", "label": "expected"}), "query_id")
+    v = n.groupBy("query_id", "group", "expected").agg(F.count("*").alias("votes"), F.min("rank").alias("best"))
+    v = v.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "best")))
+    return evaluation.vote_recall(v, ["expected"], most=2).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"SELECT query_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY r) AS labels FROM (SELECT n.query_id, b.label, min(n.rank) AS r FROM {_NEAR} n JOIN embeddings b USING (vec_id) GROUP BY ALL) GROUP BY query_id")
+def labels_as_first_seen(s: SparkSession, d: str) -> DataFrame:
+    """The distinct labels of each result list in the order in which they appear."""
+    n = _near(s, d).join(table(s, d, "embeddings", "vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.min("rank").alias("r"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"].cast("string"))
+    return n.groupBy("query_id").agg(F.array_join(seen, ",").alias("labels"))
+
+
+@query(
+    """SELECT source_id, strategy, CASE WHEN strategy = 'summary' THEN source_id ELSE o.email_id END AS email_id FROM (SELECT DISTINCT sha256 AS source_id, 'plain' AS strategy FROM docling UNION ALL SELECT DISTINCT email_id, 'summary' FROM attachments WHERE email_id IS NOT NULL) r
+    LEFT JOIN (SELECT sha256, min(email_id) AS email_id FROM attachments WHERE sha256 IS NOT NULL GROUP BY sha256) o ON o.sha256 = r.source_id"""
+)
+def canonical_sources_by_strategy(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of files go to the first message that carries them, summaries bear their message's id already."""
+    files = table(s, d, "docling", "sha256").distinct().select(F.col("sha256").alias("source_id"), F.lit("plain").alias("strategy"))
+    notes = table(s, d, "attachments", "email_id").where("email_id is not null").distinct().select(F.col("email_id").alias("source_id"), F.lit("summary").alias("strategy"))
+    rows = files.unionByName(notes).withColumn("source_type", F.lit("attachment"))
+    return evaluation.canonical_source(rows, table(s, d, "attachments", "sha256", "email_id"), "strategy").select("source_id", "strategy", "email_id")

@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,7 +162,7 @@ def test_hybrid_modes_and_filter(spark):
 
     docs = spark.createDataFrame([(1, "pilot pilot rate"), (2, "rate"), (3, None), (4, "")], "doc_id bigint, text string")
     v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (5, 0, [0.9, 0.1])], "vec_id bigint, label int, embedding array<double>")
-    run = lambda mode: [r.doc_id for r in retrieval.hybrid(docs, v, [1.0, 0.0], ["pilot", "rate"], 3, mode).orderBy("rank").collect()]
+    run = lambda mode: [r.doc_id for r in retrieval.hybrid(retrieval.postings(docs), v, [1.0, 0.0], ["pilot", "rate"], 3, mode).orderBy("rank").collect()]
     assert run("vector_only") == [1, 5, 2] and run("bm25_only")[0] == 1 and run("rank_only") == [1, 2]
     assert run("hybrid")[0] == 1 and set(run("hybrid_rank")) == {1, 2, 5}
     assert evaluation.resolve_filter(None, ["a"], ["a"]) == ["a"] and evaluation.resolve_filter(["B", "b"], ["a", "b"], []) == ["b"] and evaluation.resolve_filter(["all"], ["a"], []) is None
@@ -173,3 +176,69 @@ def test_fixture_sheet(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Vessel_Name,VOYAGE_NO,Quantity\nM/V Foo,3,NaN\nBar,4,2.5\n")
     got = [tuple(r) for r in read_fixtures(spark, str(tmp_path / "f.csv")).orderBy("voyage_no").collect()]
     assert got == [("M/V Foo", 3, None, "M_V_FOO_3"), ("Bar", 4, 2.5, "BAR_4")]
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    n = 300
+    links = [(f"{i:04d}", f"{i + 1:04d}") for i in range(n)] + [("h", f"x{i}") for i in range(200)]
+    nodes = sorted({x for link in links for x in link} | {"alone"})
+    got = {r.id: r.root for r in threads.components(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {x: "alone" if x == "alone" else "h" if x[0] in "hx" else "0000" for x in nodes}
+    empty = spark.createDataFrame([], "a string, b string")
+    assert threads.components(spark.createDataFrame([("q",)], "id string"), empty).collect() == [("q", "q")]
+
+
+def test_rerank_by_a_given_scorer(spark):
+    import pandas as pd
+
+    rows = spark.createDataFrame([(1, "one two", 1), (2, "three", 2), (3, None, 3)], "doc_id bigint, text string, rank int")
+    some = lambda q, texts: texts.map(lambda t: {"three": 0.9, "one two": 0.4}.get(t))
+    none = lambda q, texts: pd.Series([None] * len(texts), dtype=float)
+    order = lambda df: [(r.doc_id, r["rank"]) for r in df.orderBy("rank").collect()]
+    assert order(retrieval.rerank(rows, "q", 5, some)) == [(2, 1), (1, 2)]
+    assert order(retrieval.rerank(rows, "q", 2, none)) == [(1, 1), (2, 2)]
+    assert order(retrieval.rerank(rows, "two", 1)) == [(1, 1)] and order(retrieval.rerank(rows.limit(0), "q", 2)) == []
+
+
+def test_search_over_odd_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 0.0]), (3, 1, None), (4, 1, [1.0]), (5, 1, [-1.0, 0.0]), (6, 1, [2.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, label bigint, embedding array<float>")
+    got = [(r.vec_id, r.similarity) for r in retrieval.vector_topk(v, [3.0, 0.0], 9).collect()]
+    assert got == [(1, 1.0), (6, 1.0), (2, 0.0), (5, -1.0)]
+    assert retrieval.vector_topk(v.limit(0), [3.0, 0.0], 9).count() == 0
+
+
+def test_context_of_a_search(spark):
+    from halyard.operators.contexts import attachment_prompts, build_context
+
+    hits = spark.createDataFrame([("g1", "m1", "email", 0.5, "a", 1), ("g2", None, "file", 0.9, "b", 2), ("g1", "m1", "file", 0.4, "c", 3), ("g3", "m2", "email", 0.9, "d", 4)], "group string, message string, source_type string, similarity double, text string, rank int")
+    winners = spark.createDataFrame([("g3", 1), ("g1", 2), ("g9", 3)], "group string, place int")
+    sheets = spark.createDataFrame([("g1", "sheet 1"), ("g3", "sheet 3"), ("g2", "sheet 2")], "group string, summary string")
+    notes = spark.createDataFrame([("m1", "note 1")], "message string, summary string")
+    expected = "=== VOYAGE FIXTURES ===\n[A]\nsheet 3\n\n[B]\nsheet 1\n\n=== SOURCES ===\n[VOYAGE C | (no email)]\nCHUNK 1 [file] (similarity 0.9000): b\n\n[VOYAGE A | EMAIL e1]\nCHUNK 2 [email] (similarity 0.9000): d\n\n[VOYAGE B | EMAIL e2]\nTHREAD SUMMARY: note 1\nCHUNK 3 [email] (similarity 0.5000): a\nCHUNK 4 [file] (similarity 0.4000): c"
+    assert build_context(hits, winners, sheets, notes).collect() == [(expected,)]
+    assert build_context(hits.limit(0), winners.limit(0), sheets, notes).collect() == [("=== SOURCES ===",)]
+    messages = spark.createDataFrame([("m1", "in", "d", " s "), ("m2", None, None, None)], "email_id string, direction string, date string, summary string")
+    files = spark.createDataFrame([("m1", 2, "b.pdf", None), ("m1", 1, "a.pdf", " text ")], "email_id string, ord int, file_name string, content string")
+    got = dict(attachment_prompts(messages, files).collect())
+    assert got["m1"] == "Direction: in\nDate: d\n\nEmail summary:\ns\n\n--- Attachment: a.pdf ---\ntext\n--- Attachment: b.pdf ---\n"
+
+
+def test_staged_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from halyard.sources import staging
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        staging.shared_folder(Cluster())
+    df = staging.staged(spark.range(3), "three")
+    path = df._halyard_path.removeprefix("file://")
+    assert df.count() == 3 and os.path.exists(path)
+    staging.discard(df)
+    assert not os.path.exists(path)
