@@ -1,7 +1,7 @@
 """Personal information inside free text: found by a character-level tagger, replaced by typed placeholders.
 
 A bidirectional LSTM with CRF transitions (pii_model) tags the characters of whole texts, batch by batch on the
-executors. Each tagged span is then settled by the exact form of its kind (pii_patterns): where it begins and
+executors; its path is decoded over all windows at once. Each tagged span is then settled by the exact form of its kind (pii_patterns): where it begins and
 ends, and whether it can be of its kind at all. Spans the tagger doesn't touch aren't looked for.
 """
 
@@ -19,7 +19,6 @@ from halyard.llm import pii_model as M
 from halyard.llm import pii_patterns as P
 
 AROUND = 60
-_SURNAME_FIRST = re.compile(r"(?<![^\W_])([A-ZÀ-ÖØ-ÞĀ-ŽŁŚȘ][A-ZÀ-ÖØ-ÞĀ-ŽŁŚȘŒ’'-]{3,}), ?\n?$")
 
 
 def weights() -> dict[str, np.ndarray]:
@@ -74,8 +73,6 @@ def _person(text: str, start: int, end: int) -> list[tuple[int, int]]:
         i, j = run[0][0], run[-1][1]
         if (m := P.TITLES.match(text, i)) and m.end() < j:
             i = m.end()
-        if m := _SURNAME_FIRST.search(text, max(0, i - 25), i):  # the capital surname of "SURNAME, Given"
-            i = m.start(1)
         if text[i:j].rstrip(".").isupper() and len(text[i:j].rstrip(".")) < 3 or P.SHIP.search(text[max(0, i - 12) : i]):
             continue
         if j - i >= 2:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW, MARGIN, BATCH = 768, 32, 384
+#: Characters of a block when the path over all windows is decoded.
+BLOCK = 512
 
 # Characters with a row of their own; the others share rows by what kind of character they are.
 ALPHABET = "\n\t !\"#&'()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]_`abcdefghijklmnopqrstuvwxyz|~°§¦–—’‘“”„′³²±☎€£" + "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿąćęłńóśźżĄĆĘŁŃŚŹŻčďěňřšťůžČŠŽāēģīķļņūėįųğışŞİșțăœŒ"
@@ -201,12 +203,13 @@ def emissions(p: dict, ids: np.ndarray) -> np.ndarray:
     return e
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Best labels (T, B) for emissions (T, B, labels)."""
+def viterbi(e: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Best labels (T, B) for emissions (T, B, labels). first holds the scores of the first labels, of all (labels) or of each
+    column (labels, B); last, if given, the label with which each column ends."""
     steps, b, k = e.shape
     e = np.ascontiguousarray(e.transpose(0, 2, 1))
     back = np.empty((steps, k, b), np.int8)
-    s = e[0] + first[:, None]
+    s = e[0] + (first if first.ndim == 2 else first[:, None])
     cand, win = np.empty((k, b), np.float32), np.empty((k, b), bool)
     for t in range(1, steps):
         best = s[0][None, :] + trans[0][:, None]
@@ -219,32 +222,82 @@ def viterbi(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
             np.copyto(arg, q, where=win)
         s = best + e[t]
     out = np.empty((steps, b), np.int8)
-    out[-1] = s.argmax(0)
+    out[-1] = s.argmax(0) if last is None else last
     cols = np.arange(b)
     for t in range(steps - 1, 0, -1):
         out[t - 1] = back[t, out[t], cols]
     return out
 
 
+def _transfers(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(labels + 1, labels, B): the best score of each block from every label before it (the last row: from nothing) to every label at its end."""
+    steps, b, k = e.shape
+    e = np.ascontiguousarray(e.transpose(0, 2, 1))
+    s = np.concatenate([trans, first[None, :]])[:, :, None] + e[0][None]
+    cand = np.empty((k + 1, k, b), np.float32)
+    for t in range(1, steps):
+        best = s[:, 0, None, :] + trans[0][None, :, None]
+        for q in range(1, k):
+            np.add(s[:, q, None, :], trans[q][None, :, None], out=cand)
+            np.maximum(best, cand, out=best)
+        best += e[t][None]
+        s = best
+    return s
+
+
+def decode(e: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The best labels of one whole sequence of emissions (n, labels): the same path as viterbi's over all of it.
+
+    Blocks are scored at once for every pair of labels before and at their ends; the best chain of these pairs settles
+    where the path stands at each block's end, and then all blocks are decoded at once.
+    """
+    n, k = e.shape
+    m = n // BLOCK
+    if m < 2:
+        return viterbi(e[:, None, :], trans, first)[:, 0]
+    blocks = e[: m * BLOCK].reshape(m, BLOCK, k).transpose(1, 0, 2)
+    scores = _transfers(blocks, trans, first).astype(np.float64)
+    v, chain = scores[k, :, 0], []
+    for j in range(1, m):
+        cand = v[:, None] + scores[:k, :, j]
+        chain.append(cand.argmax(0))
+        v = cand.max(0)
+    tail, end = e[m * BLOCK :], None
+    if len(tail):
+        cand = v[:, None] + trans
+        rest = viterbi(tail[:, None, :], trans, (cand.max(0) - v.max()).astype(np.float32))[:, 0]
+        end = int(cand.argmax(0)[rest[0]])
+    else:
+        rest, end = np.empty(0, np.int8), int(v.argmax())
+    ends = np.empty(m, np.int64)
+    ends[-1] = end
+    for j in range(m - 1, 0, -1):
+        ends[j - 1] = chain[j - 1][ends[j]]
+    begin = np.concatenate([first[:, None], trans[ends[:-1]].T], axis=1).astype(np.float32)
+    return np.concatenate([viterbi(blocks, trans, begin, ends).T.reshape(-1), rest])
+
+
 def tag(p: dict, ids: np.ndarray) -> np.ndarray:
-    """Labels of a stream of characters, decoded in overlapping windows."""
+    """Labels of a stream of characters: emissions come from overlapping windows, each character's from the window in which
+    it stands furthest from an end; the CRF's path is then one over all of them."""
     n = len(ids)
     if not n:
         return np.empty(0, np.int8)
     stride = WINDOW - 2 * MARGIN
     count = max(1, -(-(n - 2 * MARGIN) // stride))
-    width = WINDOW if count > 1 else n
-    padded = np.zeros((count - 1) * stride + width, ids.dtype)
-    padded[:n] = ids[: len(padded)]
-    out = np.zeros(len(padded), np.int8)
-    starts = np.arange(count) * stride
+    if count == 1:
+        return decode(emissions(p, ids[:, None])[:, 0], p["trans"], p["first"])
+    padded = np.zeros((count - 1) * stride + WINDOW, ids.dtype)
+    padded[:n] = ids
+    out = np.empty((len(padded), len(p["bias"])), np.float32)
     for a in range(0, count, BATCH):
-        at = starts[a : a + BATCH]
-        labels = viterbi(emissions(p, padded[at[None, :] + np.arange(width)[:, None]]), p["trans"], p["first"])
-        for j, s in enumerate(at):
-            lo = 0 if s == 0 else MARGIN
-            out[s + lo : s + width] = labels[lo:, j]  # the next window's middle replaces this one's end
-    return out[:n]
+        at = np.arange(a, min(a + BATCH, count)) * stride
+        e = emissions(p, padded[at[None, :] + np.arange(WINDOW)[:, None]])
+        if a == 0:
+            out[:MARGIN] = e[:MARGIN, 0]
+        out[at[0] + MARGIN : at[-1] + MARGIN + stride] = e[MARGIN:-MARGIN].transpose(1, 0, 2).reshape(-1, e.shape[2])  # the windows' middles lie side by side
+    out[len(padded) - MARGIN :] = e[-MARGIN:, -1]
+    return decode(out[:n], p["trans"], p["first"])
 
 
 def spans(labels: np.ndarray) -> list[tuple[int, int, int]]:

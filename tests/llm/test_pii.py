@@ -46,6 +46,19 @@ def test_viterbi_against_all_paths():
         assert tuple(got[:, b]) == max(itertools.product(range(3), repeat=5), key=score)
 
 
+def test_path_in_blocks_is_the_path_over_the_whole(monkeypatch):
+    """Whatever the emissions, decoding in blocks gives Viterbi's path over one sequence."""
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    monkeypatch.setattr(M, "BLOCK", 8)
+    for n in (1, 7, 8, 15, 16, 17, 64, 200, 333):
+        e, trans, first = rnd.normal(size=(n, 6)).astype(np.float32), rnd.normal(scale=3, size=(6, 6)).astype(np.float32), rnd.normal(size=6).astype(np.float32)
+        score = lambda y: first[y[0]] + e[np.arange(n), y].sum() + trans[y[:-1], y[1:]].sum()
+        whole, got = M.viterbi(e[:, None, :], trans, first)[:, 0], M.decode(e, trans, first)
+        assert abs(score(got) - score(whole)) < 1e-3 and (got != whole).sum() == 0
+
+
 def test_windows_agree_with_one_run(model, monkeypatch):
     text = "Dear Zofia,\n\nPlease call Ms Stavvik on +44 20 7946 0591 or mail zofia_stavvik@kestwick.example.\n\n" * 30
     ids = M.encode(text)
