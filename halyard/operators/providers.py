@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.functions.text import strip
+from halyard.functions.text import extraction_mode, real_length, strip
 
 Provider = Callable[[str], str]
 #: Fixed value: characters a token is estimated at before a call.
@@ -51,6 +51,57 @@ def complete(df: DataFrame, key: str, prompt: Column, provider: Provider = first
     return out.withColumnRenamed("key", key)
 
 
+class ContextOverflow(Exception):
+    """A provider's word that a text and its answer don't fit the model's window."""
+
+
+#: Characters that a file must hold to be sent, and those that are sent to be classified.
+LEAST_CHARS, CLASSIFIED_CHARS = 50, 25_000
+
+
+def extract(files: DataFrame, key: str, text: str, full: Provider = first_sentences, classify: Provider = first_sentences, threshold: int = 6000) -> DataFrame:
+    """(key, mode, status, n_sent, output, error): the whole text goes to `full` where the router lets it, else its beginning to `classify`.
+
+    A text that overflows the model's window after all is classified; one with too few characters besides placeholders
+    is skipped. Errors become rows. key is unique; null texts are skipped.
+    """
+    rows = files.select(F.col(key).alias("key"), F.col(text).alias("text"), extraction_mode(F.length(text), threshold).alias("mode"), real_length(F.col(text)).alias("real"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t, mode, real in zip(b["key"], b["text"], b["mode"], b["real"]):
+                if t is None or real < LEAST_CHARS:
+                    out.append((k, None, "skipped", 0, None, None))
+                    continue
+                sent = t if mode == "full" else t[:CLASSIFIED_CHARS]
+                try:
+                    try:
+                        answer = (full if mode == "full" else classify)(sent)
+                    except ContextOverflow:
+                        if mode != "full":
+                            raise
+                        mode, sent = "classify", t[:CLASSIFIED_CHARS]
+                        answer = classify(sent)
+                    out.append((k, mode, "ok", len(sent), answer, None))
+                except Exception as e:  # noqa: BLE001  whatever a provider raises
+                    out.append((k, mode, "error", len(sent), None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(out, columns=["key", "mode", "status", "n_sent", "output", "error"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return rows.mapInPandas(run, f"key {kind}, mode string, status string, n_sent int, output string, error string").withColumnRenamed("key", key)
+
+
+def reformulated(question: Column, provider: Callable[[pd.Series], pd.Series]) -> Column:
+    """A provider's wording of a question; the question itself where that is null or blank."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return provider(s)
+
+    return F.coalesce(F.nullif(strip(run(F.coalesce(question, F.lit("")))), F.lit("")), question)
+
+
 def labelled_line(text: Column, label: str) -> Column:
     """The rest of the last line that begins with a label and a colon, in any case; null where it is blank or missing. Every sign that ends a line counts, also those of whole texts."""
     lines = F.regexp_replace(text, LINE_END, "\n")

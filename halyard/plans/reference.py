@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import text as T
-from halyard.operators import chunking, contexts, evaluation, providers, retrieval, threads, upserts
+from halyard.operators import chunking, contexts, embeddings, evaluation, providers, retrieval, threads, upserts
 from halyard.sources.staging import staged
 from halyard.sources.tables import table
 
@@ -466,6 +466,57 @@ def email_summaries(s: SparkSession, d: str) -> DataFrame:
     return providers.complete(email_prompts(s, d), "email_id", F.col("prompt"), least=50)
 
 
+def _short_window(text: str) -> str:
+    """A model whose window is smaller than the router takes it for."""
+    if len(text) > 3000:
+        raise providers.ContextOverflow
+    return providers.first_sentences(text)
+
+
+@query(
+    rf"""WITH m AS (SELECT sha256, max(markdown) AS t FROM docling GROUP BY sha256), r AS (SELECT *, coalesce(length(regexp_replace(t, '<!--[^>]*-->|\s+', '', 'g')), 0) >= 50 AS ok, length(t) < 6000 AND length(t) <= 3000 AS whole FROM m)
+    SELECT sha256, CASE WHEN ok THEN CASE WHEN whole THEN 'full' ELSE 'classify' END END AS mode, CASE WHEN ok THEN 'ok' ELSE 'skipped' END AS status, CAST(CASE WHEN NOT ok THEN 0 WHEN whole THEN length(t) ELSE least(length(t), 25000) END AS INTEGER) AS n_sent FROM r"""
+)
+def extractions(s: SparkSession, d: str) -> DataFrame:
+    """Files sent to a model, with the fallback where the whole text overflows its window."""
+    files = table(s, d, "docling", "sha256", "markdown").groupBy("sha256").agg(F.max("markdown").alias("markdown"))
+    return providers.extract(files, "sha256", "markdown", full=_short_window).select("sha256", "mode", "status", "n_sent")
+
+
+@query(f"SELECT email_id, coalesce(nullif(trim(regexp_replace(coalesce(subject, ''), '[0-9]+', '', 'g')), ''), subject) AS question FROM {_EMAILS}")
+def reformulated_subjects(s: SparkSession, d: str) -> DataFrame:
+    """Questions in a provider's words (here: without numbers), or as they are where it gives none."""
+    provider = lambda x: x.str.replace("[0-9]+", "", regex=True).str.strip(" ")
+    return _emails(s, d, "subject").select("email_id", providers.reformulated(F.col("subject"), provider).alias("question"))
+
+
+def _file_texts(s: SparkSession, d: str) -> DataFrame:
+    """(id, text, summary) of files: the summary is the first heading."""
+    m = table(s, d, "docling", "sha256", "markdown").groupBy("sha256").agg(F.max("markdown").alias("text"))
+    return m.select(F.col("sha256").alias("id"), "text", F.regexp_extract("text", r"(?m)^[ \t]*#+[ \t]*([^\n]*)", 1).alias("summary"))
+
+
+@query()
+def context_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of files embedded below their file's heading."""
+    files = _file_texts(s, d)
+    return embeddings.context_embedded(chunking.chunks(files, "id", "text"), files.select("id", "summary")).select("id", "chunk_index", "embedding")
+
+
+@query()
+def late_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Chunks of files pooled from the token vectors of the whole file."""
+    files = _file_texts(s, d).withColumn("text", T.strip(F.col("text")))
+    return embeddings.late_embedded(files, chunking.chunks(files, "id", "text"))
+
+
+@query()
+def summary_vectors(s: SparkSession, d: str) -> DataFrame:
+    """One vector of each message's summary."""
+    notes = providers.complete(email_prompts(s, d), "email_id", F.col("prompt"), least=50).where("status = 'ok'").select("email_id", F.col("text").alias("summary"))
+    return embeddings.summary_embedded(notes).select("source_id", "chunk_index", "embedding")
+
+
 _STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+\\z', '', 'g')"
 
 

@@ -242,3 +242,49 @@ def test_staged_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert df.count() == 3 and os.path.exists(path)
     staging.discard(df)
     assert not os.path.exists(path)
+
+
+def test_pooled_vectors_against_a_loop():
+    import numpy as np
+
+    from halyard.operators.embeddings import pooled
+
+    spans, v = [(0, 0), (0, 3), (4, 8), (9, 12), (13, 15)], np.arange(8, dtype=float).reshape(4, 2)  # the server cut the last token off
+    pieces = [(0, 3), (0, 9), (2, 5), (3, 4), (12, 15), (0, 20)]
+    expected = []
+    for a, b in pieces:
+        rows = [v[k] for k, (i, j) in enumerate(spans[:4]) if j > i and j > a and i < b]
+        expected.append(np.mean(rows, axis=0).tolist() if rows else [0.0, 0.0])
+    assert pooled(spans, v, pieces) == expected and pooled([], np.zeros((0, 2)), [(0, 5)]) == [[0.0, 0.0]]
+
+
+def test_embeddings_of_chunks_and_summaries(spark):
+    from halyard.operators import embeddings
+
+    docs = spark.createDataFrame([("d", "one two three four", " head "), ("e", "five", None), ("n", None, None)], "id string, text string, summary string")
+    chunks = spark.createDataFrame([("d", 0, 0, 7, "one two"), ("d", 1, 8, 10, "three four"), ("e", 0, 0, 4, "five")], "id string, chunk_index int, start int, n_chars int, text string")
+    late = {(r.id, r.chunk_index): r.embedding for r in embeddings.late_embedded(docs, chunks).collect()}
+    spans, v = embeddings.word_vectors("head\n\n---\n\none two three four")
+    assert late["d", 0] == pytest.approx(((v[1] + v[2]) / 2).tolist()) and late["d", 1] == pytest.approx(((v[3] + v[4]) / 2).tolist()) and len(late) == 3
+    ctx = {(r.id, r.chunk_index): (r.text, r.embedding) for r in embeddings.context_embedded(chunks, docs.select("id", "summary")).collect()}
+    import pandas as pd
+
+    assert ctx["d", 0] == ("one two", retrieval.hash_embedding(pd.Series(["head\n\none two"]))[0]) and ctx["e", 0] == ("five", retrieval.hash_embedding(pd.Series(["five"]))[0])
+    notes = spark.createDataFrame([("m", " text "), ("b", " "), ("x", None)], "email_id string, summary string")
+    assert [(r.source_id, r.chunk_index, r.text) for r in embeddings.summary_embedded(notes).collect()] == [("m", 0, "text")]
+
+
+def test_extraction_falls_back(spark):
+    from halyard.operators import providers
+
+    def full(t):
+        if "long" in t:
+            raise providers.ContextOverflow
+        if "bad" in t:
+            raise RuntimeError("down")
+        return "full"
+
+    rows = [("a", "x" * 60), ("b", "long" + "x" * 60), ("c", "short"), ("d", None), ("e", "bad" + "x" * 60), ("f", "y" * 30_000), ("g", "<!-- image -->" * 20)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    got = {r.k: (r["mode"], r.status, r.n_sent, r.output) for r in providers.extract(df, "k", "t", full, lambda t: "class").collect()}
+    assert got == {"a": ("full", "ok", 60, "full"), "b": ("classify", "ok", 64, "class"), "c": (None, "skipped", 0, None), "d": (None, "skipped", 0, None), "e": ("full", "error", 63, None), "f": ("classify", "ok", 25_000, "class"), "g": (None, "skipped", 0, None)}
