@@ -246,14 +246,16 @@ def fixture_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "fixtures", "voyage_key", "vessel_name", "voyage_no").select("voyage_key", T.name_key(F.col("vessel_name"), F.col("voyage_no")).alias("name_key"))
 
 
-@query(rf"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g')), '\s+', ' ', 'g')) AS words FROM documents WHERE lang IN ('en', 'nb', 'de')")
+@query(rf"SELECT doc_id, replace(trim(regexp_replace(lower(replace(regexp_replace(text, '[^\p{{L}}\p{{N}}_\s]+', ' ', 'g'), 'İ', 'i')), '\s+', ' ', 'g')), 'ς', 'σ') AS words FROM documents")
 def query_words(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents", "doc_id", "text", "lang").where("lang in ('en', 'nb', 'de')").select("doc_id", T.query_text(F.col("text")).alias("words"))
+    """The words of every document. Two letters that engines lower differently are folded: the dotted capital I and the final sigma."""
+    text = F.replace("text", F.lit("İ"), F.lit("i"))
+    return table(s, d, "documents", "doc_id", "text").select("doc_id", F.replace(T.query_text(text), F.lit("ς"), F.lit("σ")).alias("words"))
 
 
 @query()
 def query_words_whole(s: SparkSession, d: str) -> DataFrame:
-    """The words of every document, whatever its language; no SQL, as DuckDB's lower() differs for some letters."""
+    """The words of every document as they are lowered here; no SQL, as DuckDB's lower() differs for some letters."""
     return table(s, d, "documents", "doc_id", "text").select("doc_id", T.query_text(F.col("text")).alias("words"))
 
 
@@ -575,18 +577,6 @@ def extraction_inputs(s: SparkSession, d: str) -> DataFrame:
     return m.withColumn("mode", mode).select("sha256", "mode", F.md5(F.when(F.col("mode") == "classify", F.substring("t", 1, 25_000)).otherwise(F.col("t")).cast("binary")).alias("sent"))
 
 
-@query(
-    r"""WITH t AS (SELECT doc_id, 'document_type: draft' || chr(10) || 'DOCUMENT_TYPE: ' || coalesce(source, '') || chr(10) || 'Summary: ' || coalesce(substr(text, 1, 40), '') AS x FROM documents),
-    l AS (SELECT doc_id, regexp_extract_all(x, '(?im)^[ 	]*DOCUMENT_TYPE:[ 	]*([^
-]*)$', 1) AS a, regexp_extract_all(x, '(?im)^[ 	]*SUMMARY:[ 	]*([^
-]*)$', 1) AS b FROM t)
-    SELECT doc_id, nullif(regexp_replace(a[len(a)], '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS document_type, nullif(regexp_replace(b[len(b)], '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS summary FROM l"""
-)
-def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
-    x = F.concat(F.lit("document_type: draft\nDOCUMENT_TYPE: "), F.coalesce("source", F.lit("")), F.lit("\nSummary: "), F.coalesce(F.substring("text", 1, 40), F.lit("")))
-    return table(s, d, "documents", "doc_id", "source", "text").select("doc_id", providers.labelled_line(x, "DOCUMENT_TYPE").alias("document_type"), providers.labelled_line(x, "SUMMARY").alias("summary"))
-
-
 _ENDS = r"'\r\n|[\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]'"
 
 
@@ -601,16 +591,10 @@ def parsed_classifications_whole(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents", "doc_id", "source", "text").select("doc_id", providers.labelled_line(x, "DOCUMENT_TYPE").alias("document_type"), providers.labelled_line(x, "SUMMARY").alias("summary"))
 
 
-@query(
-    r"""SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS mean_score, CAST(count(*) FILTER (WHERE score >= 4) AS BIGINT) AS good, CAST(count(reasoning) AS BIGINT) AS explained FROM
-    (SELECT lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:\s*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:\s*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
-    (SELECT lang, 'SCORE: ' || CAST(coalesce(n_chars, 0) % 7 AS VARCHAR) || chr(10) || 'REASONING: ' || coalesce(substr(text, 1, 30), '') AS x FROM documents)) GROUP BY lang"""
-)
-def judged_by_language(s: SparkSession, d: str) -> DataFrame:
-    x = F.concat(F.lit("SCORE: "), (F.coalesce("n_chars", F.lit(0)) % 7).cast("string"), F.lit("\nREASONING: "), F.coalesce(F.substring("text", 1, 30), F.lit("")))
-    score, reasoning = providers.judgement(x)
-    docs = table(s, d, "documents", "lang", "n_chars", "text").select("lang", score.alias("score"), reasoning.alias("reasoning"))
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 4).alias("good"), F.count("reasoning").alias("explained"))
+@query(SQL["parsed_classifications_whole"])
+def parsed_classifications(s: SparkSession, d: str) -> DataFrame:
+    """The same rows under the name this query had first."""
+    return parsed_classifications_whole(s, d)
 
 
 _JUDGED = r"""SELECT doc_id, lang, TRY_CAST(nullif(regexp_extract(x, 'SCORE:[\s\p{Z}\x{0085}]*([1-5])', 1), '') AS INTEGER) AS score, nullif(regexp_replace(regexp_extract(x, 'REASONING:[\s\p{Z}\x{0085}]*([^\n]+)', 1), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'), '') AS reasoning FROM
@@ -629,6 +613,12 @@ def judged_by_language_whole(s: SparkSession, d: str) -> DataFrame:
     return _judged(s, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), F.count_if(F.col("score") >= 4).alias("good"), F.count("reasoning").alias("explained"))
 
 
+@query(SQL["judged_by_language_whole"])
+def judged_by_language(s: SparkSession, d: str) -> DataFrame:
+    """The same rows under the name this query had first."""
+    return judged_by_language_whole(s, d)
+
+
 def _judged(s: SparkSession, d: str) -> DataFrame:
     x = F.concat(F.lit("SCORE: "), (F.coalesce("n_chars", F.lit(0)) % 7).cast("string"), F.lit("\nREASONING: "), F.coalesce("text", F.lit("")))
     score, reasoning = providers.judgement(x)
