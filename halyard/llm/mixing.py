@@ -71,7 +71,10 @@ def land(pi: list[float], size: list[float], rng: random.Random) -> list[float]:
 
 
 def exchange(pi: list[float], size: list[float], target: float) -> list[float]:
-    """Decided units with one taken and one left swapped, if that brings the tokens nearer to the target; again while it does."""
+    """Decided units with one taken and one left swapped, if that brings the tokens nearer to the target; up to four times.
+
+    The swaps aren't drawn by chance, so they move the units' inclusion probabilities a little from those asked for.
+    """
     pi = list(pi)
     for _ in range(4):
         off = target - sum(p * s for p, s in zip(pi, size))
@@ -169,7 +172,7 @@ def _select(units: DataFrame, targets: DataFrame) -> DataFrame:
         rest = flown.where("pi > 0 and pi < 1")
         left = rest.drop("in_source").join(rest.groupBy("mix_id", "source").agg(F.count("*").alias("in_source")), ["mix_id", "source"]).select("mix_id", "source", "doc_id", "n_tokens", "pi", "whole", "in_source")
         salt += 1
-        if left.agg(F.max("in_source")).first()[0] is None or left.agg(F.max("in_source")).first()[0] <= BLOCK:
+        if (left.agg(F.max("in_source")).first()[0] or 0) <= BLOCK:
             break
     landed = left.unionByName(reserve).groupBy("mix_id", "source").applyInPandas(_fly(True, salt), _UNIT)
     decided.append(landed.select("mix_id", "source", "doc_id", "n_tokens", (F.col("whole") + F.col("pi")).cast("bigint").alias("repeats")))

@@ -63,6 +63,8 @@ _PAGENO = [
     ("bare", re.compile(r"(\d{1,4})")),
     ("roman", re.compile(r"([ivxlcIVXLC1]{1,7})")),
 ]
+#: The signs that a page number can end with.
+_LAST = frozenset("0123456789OolISBivxlcIVXLC-–—])")
 _BESIDE = re.compile(r"^(?P<left>\S.*?)[ \t]{3,}(?P<right>\S.*)$")
 _LETTERS = re.compile(r"[^\W\d_]{3}")
 _DIGIT = str.maketrans("OolISB", "001158")
@@ -93,7 +95,7 @@ def _as_roman(n: int) -> str:
 
 def _pageno(s: str) -> tuple[str, int] | None:
     s = s.strip()
-    if not s:
+    if not s or s[-1] not in _LAST and not s[-1].isdigit():
         return None
     for style, p in _PAGENO:
         if m := p.fullmatch(s):
