@@ -191,6 +191,25 @@ def sidecar_fields(s: SparkSession, d: str) -> DataFrame:
     return _emails(s, d, "email_json").select("email_id", j("$.DocumentGid").alias("gid"), F.when(way == "Incoming", "in").when(way == "Outgoing", "out").alias("direction"), j("$.Mailboxes[0].Name").alias("mailbox"))
 
 
+@query(f"SELECT email_id, CASE WHEN json_valid(email_json) AND starts_with(ltrim(email_json), '{{') THEN json_extract_string(email_json, '$.DocumentGid') END AS gid FROM {_EMAILS}")
+def fenced_answers(s: SparkSession, d: str) -> DataFrame:
+    """The JSON object of answers that come in a fenced block."""
+    fenced = F.concat(F.lit("```json\n"), F.col("email_json"), F.lit("\n```"))
+    return _emails(s, d, "email_json").select("email_id", F.get_json_object(T.first_json_object(fenced), "$.DocumentGid").alias("gid"))
+
+
+@query(f"SELECT email_id, strftime(ingested_at, CASE WHEN strftime(ingested_at, '%H:%M:%S') = '00:00:00' THEN '%Y-%m-%d' ELSE '%Y-%m-%d %H:%M' END) AS shown FROM {_EMAILS}")
+def shown_times(s: SparkSession, d: str) -> DataFrame:
+    return _emails(s, d).select("email_id", T.short_time(F.col("ingested_at")).alias("shown"))
+
+
+@query(f"SELECT direction, CAST(count(*) AS BIGINT) AS n FROM {_EMAILS} WHERE lower(direction) IN ('in', 'out') GROUP BY direction")
+def chosen_directions(s: SparkSession, d: str) -> DataFrame:
+    """A filter as a user gives it: values in any case, each once."""
+    chosen = evaluation.resolve_filter(["In", "OUT", "in"], ["in", "out"], ["in"])
+    return _emails(s, d, "direction").where(F.lower("direction").isin(*chosen)).groupBy("direction").agg(F.count("*").alias("n"))
+
+
 _SUBJECT = r"lower(regexp_replace(regexp_replace(regexp_replace(subject, '^(\s*(re|fw|fwd|sv|vs|tr|aw)\s*:\s*)+', '', 'i'), '\s+', ' ', 'g'), '^[\s\p{Z}\x{0085}]+|[\s\p{Z}\x{0085}]+$', '', 'g'))"
 
 
