@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.text import words
+from halyard.sources.staging import staged
 
 #: BM25 saturation and length weight, rank offset of the fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -116,9 +117,10 @@ def postings(docs: DataFrame) -> DataFrame:
     number of words; n_docs and total_len are sums over all documents that have a text, the same in every row. The
     range of a word that very many documents hold is split by document.
     """
-    w = docs.where("text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    sums = w.agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).cast("bigint").alias("total_len"))
-    counted = w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    known = docs.where("text is not null")
+    w = known.select("doc_id", words(F.col("text")).alias("w"))
+    counted = staged(w.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf")), "words")  # ranges are sampled from it
+    sums = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("total_len")).crossJoin(known.agg(F.count("*").alias("n_docs")))
     ordered = counted.crossJoin(F.broadcast(sums))  # sums has one row
     return ordered.select("term", "doc_id", "tf", "len", "n_docs", "total_len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
 
