@@ -10,8 +10,11 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,12 +27,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BLOCK, OPEN = 1 << 14, 1 << 12
 #: Bytes of a piece between looks for tokens that are stable.
 STEP = 1 << 6
-#: Entries of the caches, and bytes of the pieces that are cached.
+#: Bytes of a piece after which the state of the transducer is remembered for pieces that begin alike.
+HEAD = 4
+#: Entries of the caches, and bytes of the pieces (characters of the words) that are cached.
 CACHE, CACHED = 1 << 18, 64
+_NONE = 1 << 30
 DEFAULT_FOLDER = "/opt/tokenizers"
 
 _CLASSES = tuple((c, regex.compile(p)) for c, p in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("S", r"\s+"), ("P", r"[^\s\p{L}\p{N}]+")))
 
+#: White space and what follows it; digits stand by themselves between ASCII characters. No piece goes on from one into the next.
+_WORDS = re.compile(r"\s*(?:[0-9]++(?![^\x00-\x7f])|[^\s0-9]++(?<![^\x00-\x7f])|\S+)|\s+").findall
+#: These are white space for `re`, but not for the pre-tokeniser.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ids of a tiktoken vocabulary file."""
@@ -55,6 +66,24 @@ def sufficient_lookahead(ranks: dict[bytes, int]) -> dict[int, int]:
     return {rank: max(reach[rank], best.get(token, 0)) for token, rank in ranks.items()}  # it may itself be taken by a later merge
 
 
+class _Made(dict):
+    """Ids of strings, made when first asked for; of those asked for last between CACHE and twice as many stay."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]], size: Callable[[str], int]) -> None:
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        if (ids := self.old.get(text)) is None:
+            ids = self.make(text)
+        if self.size(text) <= CACHED:
+            if len(self) >= CACHE:
+                self.old = self.copy()
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Bpe:
     """A vocabulary with its merges and sufficient lookahead; caches are bounded."""
 
@@ -63,42 +92,106 @@ class Bpe:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.lookahead = lookahead or sufficient_lookahead(ranks)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.words = _Made(self._word, len)
+        self.cache = _Made(self._piece, lambda p: len(p.encode("utf-8", "surrogatepass")))
         self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.ends: dict[int, tuple | None] = {}
+        self.begun: dict[bytes, list[int]] = {}
+        sizes = defaultdict(set)  # of the tokens that end with these three bytes, or are these one or two
+        for t in ranks:
+            sizes[t[-3:]].add(len(t))
+        self.sizes = {t: tuple(sorted(n | {k for k in (1, 2) if k < len(t) and t[-k:] in ranks}, reverse=True)) for t, n in sizes.items()}
         self.pieces = regex.compile(PATTERN).findall
         self.match = regex.compile(PATTERN).match
         self.texts = self.runs = 0  # texts and distinct pieces that went through the transducer
 
-    def merge(self, raw: bytes) -> list[int]:
-        """Ids of a few bytes by the definition: of all adjacent pairs the one of the lowest rank is merged, again and again."""
+    def merge(self, raw: bytes, trace: list | None = None) -> list[int]:
+        """Ids of a few bytes by the definition: of all adjacent pairs the one of the lowest rank is merged, again and again.
+
+        trace: gets the rank of each merge, the bytes that are now first, or None if they are as before, and the same for the last.
+        """
         ranks = self.ranks
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [ranks.get(raw[i : i + 2], 1 << 30) for i in range(len(raw) - 1)]
-        while pairs and (low := min(pairs)) < 1 << 30:
+        pairs = [ranks.get(raw[i : i + 2], _NONE) for i in range(len(raw) - 1)]
+        while pairs and (low := min(pairs)) < _NONE:
             i = pairs.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del pairs[i]
+            if trace is not None:
+                trace.append((low, parts[0] if i == 0 else None, parts[-1] if i == len(parts) - 1 else None))
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
         return [ranks[p] for p in parts]
 
+    def edges(self, token: int) -> tuple | None:
+        """How a token's first and its last bytes grow while it is merged: (highest rank up to the change, bytes then), in turn.
+
+        None if its bytes aren't encoded as that token.
+        """
+        if token in self.ends:
+            return self.ends[token]
+        trace: list = []
+        if self.merge(self.bytes_of[token], trace) != [token]:
+            self.ends[token] = None
+            return None
+        found = []
+        for side in (1, 2):
+            steps, high = [], -1
+            for step in trace:
+                high = max(high, step[0])
+                if step[side] is not None:
+                    steps.append((high, step[side]))
+                    high = -1
+            found.append((*steps, (_NONE, b"")))
+        v = self.ends[token] = tuple(found)
+        return v
+
     def stands(self, token: int) -> bool:
         """Whether a token's bytes are encoded as that token."""
-        if (v := self.whole.get(token)) is None:
-            v = self.whole[token] = self.merge(self.bytes_of[token]) == [token]
-        return v
+        return self.edges(token) is not None
 
     def adjacent(self, a: int, b: int) -> bool:
-        """Whether the tokens a and b stay apart when they are merged together."""
-        key = (a, b)
-        if (v := self.fits.get(key)) is None:
-            if len(self.fits) >= CACHE:
-                self.fits.clear()
-            v = self.fits[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return v
+        """Whether the tokens a and b, which stand, stay apart when they are merged together.
+
+        Until a merge crosses the border, each side goes its own way: of the next merge of a, the one across the
+        border and the next of b the lowest is done, of equal ones the leftmost. Merges that leave the edges as
+        they are count as one with the highest rank among them, which alone can let the other side go first.
+        """
+        get = self.ranks.get
+        left, right = self.edges(a)[1], self.edges(b)[0]
+        x, y = self.bytes_of[a][-1:], self.bytes_of[b][:1]
+        i = j = 0
+        while True:
+            across, own, other = get(x + y, _NONE), left[i][0], right[j][0]
+            if across < own and across <= other:
+                return False
+            if own <= other:
+                if own == _NONE:
+                    return True
+                x = left[i][1]
+                i += 1
+            else:
+                y = right[j][1]
+                j += 1
+
+    def _piece(self, text: str) -> tuple[int, ...]:
+        """Ids of a piece that is there as a whole."""
+        ids: list[int] = []
+        raw = text.encode("utf-8", "surrogatepass")
+        run = Piece(self)
+        if (whole := self.ranks.get(raw)) is not None and self.stands(whole):
+            ids.append(whole)
+        else:
+            run.whole(raw, ids)
+        return tuple(ids)
+
+    def _word(self, text: str) -> tuple[int, ...]:
+        """Ids of a word: no piece goes on beyond it or begins before."""
+        if text.isascii() and text[text[0] == " " :].isdigit():  # one piece
+            return self._piece(text)
+        return tuple(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -118,6 +211,8 @@ class Piece:
     emitted with all before it, and their bytes are forgotten.
     """
 
+    __slots__ = ("bpe", "raw", "last", "before")
+
     def __init__(self, bpe: Bpe) -> None:
         self.bpe = bpe
         self.raw = b""
@@ -130,21 +225,44 @@ class Piece:
             self._feed(raw[i : i + STEP])
             self._emit(out)
 
+    def whole(self, raw: bytes, out: list[int]) -> None:
+        """All bytes of a piece and its end."""
+        begun, head = self.bpe.begun, raw[:HEAD]
+        if (last := begun.get(head)) is None:
+            self._feed(head)
+            if len(begun) >= CACHE:
+                begun.clear()
+            begun[head] = self.last.copy()
+        else:
+            self.raw, self.last = head, last.copy()
+        for i in range(HEAD, len(raw), STEP):
+            if i > HEAD:
+                self._emit(out)
+            self._feed(raw[i : i + STEP])
+        self.close(out)
+
     def _feed(self, raw: bytes) -> None:
         bpe, last, before = self.bpe, self.last, self.before
-        get, longest, fits, whole = bpe.ranks.get, bpe.longest, bpe.fits.get, bpe.whole.get
+        get, sizes, fits, ends = bpe.ranks.get, bpe.sizes.get, bpe.fits, bpe.ends
+        fit = fits.get
         at = len(self.raw)
         self.raw = raw = self.raw + raw
         for end in range(at + 1, len(raw) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(raw[start:end])
-                if token is None:
+            tail = raw[end - 3 if end > 3 else 0 : end]
+            for n in sizes(tail) or sizes(tail[-2:]) or (1,):
+                start = end - n
+                if start < 0 or (token := get(raw[start:end])) is None:
                     continue
-                left = last[start - 1] if start else before
-                if left >= 0 and (ok := fits((left, token))) is not True and (ok is False or not bpe.adjacent(left, token)):
-                    continue
-                if end - start > 1 and whole(token) is not True and not bpe.stands(token):
+                if n > 1 and (ends[token] if token in ends else bpe.edges(token)) is None:
                     continue
+                left = last[start - 1] if start else before
+                if left >= 0:
+                    if (ok := fit((left, token))) is None:
+                        if len(fits) >= CACHE:
+                            fits.clear()
+                        ok = fits[left, token] = bpe.adjacent(left, token)
+                    if not ok:
+                        continue
                 last.append(token)
                 break
 
@@ -192,31 +310,17 @@ class Transducer:
         while at > 0 and text[at - 1].isspace():
             at -= 1
         if at > 0:
-            self._encode(self.bpe.pieces(text[:at]), out)
+            self._encode(text[:at], out)
             self.buffer = text[at:]
         if len(self.buffer) > OPEN:
             self._open(out)
 
-    def _encode(self, pieces: list[str], out: list[int]) -> None:
-        get, add, piece = self.bpe.cache.get, out.extend, self._piece
-        for p in pieces:
-            add(get(p) or piece(p))
-
-    def _piece(self, text: str) -> tuple[int, ...]:
-        bpe, ids = self.bpe, []
-        raw = text.encode("utf-8", "surrogatepass")
-        run = Piece(bpe)
-        if (whole := bpe.ranks.get(raw)) is not None and bpe.stands(whole):
-            ids.append(whole)
+    def _encode(self, text: str, out: list[int]) -> None:
+        """Text that begins and ends with a piece. Words are looked up as a whole: no piece goes from other characters over to white space."""
+        if _SEPARATORS(text):
+            out.extend(chain.from_iterable(map(self.bpe.cache.__getitem__, self.bpe.pieces(text))))
         else:
-            run.push(raw, ids)
-            run.close(ids)
-        found = tuple(ids)
-        if len(raw) <= CACHED:
-            if len(bpe.cache) >= CACHE:
-                bpe.cache.clear()
-            bpe.cache[text] = found
-        return found
+            out.extend(chain.from_iterable(map(self.bpe.words.__getitem__, _WORDS(text))))
 
     def _open(self, out: list[int]) -> None:
         """A buffer without such a place: pieces that end well before its end are closed, the bytes of the open one go on by themselves."""
@@ -225,7 +329,7 @@ class Transducer:
             end = self.bpe.match(text, at).end()
             if end >= len(text) - 8:
                 break
-            self._encode([text[at:end]], out)
+            out.extend(self.bpe.cache[text[at:end]])
             at = end
         self.buffer = text[at:]
         if len(self.buffer) > OPEN // 2:
@@ -261,7 +365,7 @@ class Transducer:
                 self.buffer = ""
             self.run.close(out)
             self.run = None
-        self._encode(self.bpe.pieces(self.buffer), out)
+        self._encode(self.buffer, out)
         self.buffer = ""
 
 
@@ -295,34 +399,47 @@ class _Shared:
         return self.made
 
 
-def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """(key, ids): the token ids of every text without special tokens; null and empty texts have an empty list.
-
-    Every row gives a row, repeated ones too; other columns are ignored. What is broadcast is the public
-    vocabulary (50,256 tokens, under 2 MB).
-    """
+def _encoded(docs: DataFrame, key: str, text: str, folder: str | None, column: Callable[[Bpe, pa.Array], pa.Array], field: str) -> DataFrame:
+    """(key, what column makes of the texts of a batch)."""
     spark: SparkSession = docs.sparkSession
     words = vocabulary(folder)
     shared = spark.sparkContext.broadcast(_Shared(words, sufficient_lookahead(words)))
+    name = field.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value.bpe()
         for b in batches:
-            flat, offsets = array("i"), array("i", [0])
-            for cell in b.column(1):
-                if t := cell.as_py():
-                    flat.extend(bpe.encode(t))
-                offsets.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], [key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), column(bpe, b.column(1))], [key, name])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {field}")
+
+
+def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """(key, ids): the token ids of every text without special tokens; null and empty texts have an empty list.
+
+    Every row gives a row, repeated ones too; other columns are ignored. What is broadcast is the public
+    vocabulary (50,256 tokens, under 2 MB).
+    """
+
+    def run(bpe: Bpe, column: pa.Array) -> pa.Array:
+        flat, offsets = array("i"), array("i", [0])
+        for cell in column:
+            if t := cell.as_py():
+                flat.extend(bpe.encode(t))
+            offsets.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+    return _encoded(docs, key, text, folder, run, "ids array<int>")
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """(key, n_tokens) of every row; 0 for null and empty texts."""
-    return encode_texts(docs, key, text, folder).select(key, F.size("ids").alias("n_tokens"))
+    """(key, n_tokens) of every row; 0 for null and empty texts. The ids are counted where they are made."""
+
+    def run(bpe: Bpe, column: pa.Array) -> pa.Array:
+        return pa.array([len(bpe.encode(t)) if (t := cell.as_py()) else 0 for cell in column], pa.int32())
+
+    return _encoded(docs, key, text, folder, run, "n_tokens int")
 
 
 def decode_ids(encoded: DataFrame, key: str = "doc_id", folder: str | None = None) -> DataFrame:
